@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, shared_dir, stage, table, text_column, work_path
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Else each partition's store takes some megabytes of disk in advance, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Staged files that one micro-batch reads.
 FILES_PER_BATCH = 2000
 #: Hit digests up to which the comparison of bytes finds its rows by broadcast (8 bytes each); beyond, by a shuffle.
@@ -40,9 +44,9 @@ def fold_stream(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path, out = work_path(spark, "digests"), work_path(spark, "digest-state")
     rows.write.parquet(path)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
         query = (
@@ -57,7 +61,8 @@ def fold_stream(rows: DataFrame) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     batches = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
     best = "struct<points:int,no_id:boolean,doc_id:bigint,uid:bigint>"
     if not batches:
