@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,14 @@ from .common import offsets_of, strings, sums_by, words_of
 
 #: Kept pieces of a Python worker; pieces beyond it are encoded anew in each slice.
 KEPT_PIECES = 400_000
+#: Pieces that are encoded as one text.
+JOINED = 512
 #: Longer pieces are not kept.
 KEPT_LENGTH = 40
 #: White space other than ASCII's, and the mark that `_byte_pieces` cuts at.
 _ODD = "[\\x00\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _RUNS = "[\\t-\\r ][\\t-\\r ]|[\\t\\x0b\\x0c\\r]"
+_JOINS = re.compile(" ?[!-~\u00a1-\u02ff\u0370-\u03ff\u0400-\u052f\u4e00-\u9fff]+\\Z")
 _PIECE = re.compile("(?: ?[^ \\t-\\r]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]+)")
 
 
@@ -34,7 +38,12 @@ def _loaded(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    # Byte-level pieces have a character for each byte.
+    vocabulary = tokenizer.get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, number in vocabulary.items():
+        sizes[number] = len(token.removesuffix("</w>"))
+    return tokenizer, sizes, {}
 
 
 def _by_word(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -71,23 +80,55 @@ def _byte_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.chunked_array(parts, pa.large_string()).combine_chunks(), counts
 
 
+def _encode_distinct(tokenizer, sizes: np.ndarray, pieces: list[str], drops_space: bool) -> list[bytes]:
+    """The ids of each piece, as little-endian unsigned 32-bit integers.
+
+    Many pieces are encoded as one text, with line feeds between them, which end pre-tokens; the bytes
+    that tokens stand for tell where a piece's ids end.  Where they do not fit, pieces are encoded one by one.
+    """
+    out: list[bytes] = []
+    for begin in range(0, len(pieces), JOINED):
+        some = pieces[begin : begin + JOINED]
+        joined = "\n".join(some)
+        # What the tokenizer's normaliser makes of it, where it has one.
+        bare = unicodedata.normalize("NFC", joined).lower() if drops_space else joined
+        length = np.array([len(x) for x in bare.encode().split(b"\n")], np.int64)
+        ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        at = offsets_of(sizes[ids])
+        first = offsets_of(length + (not drops_space))[:-1]
+        a, b = np.searchsorted(at, first), np.searchsorted(at, first + length)
+        fits = b.max() < len(at) and (at[a] == first).all() and (at[b] == first + length).all() and first[-1] + length[-1] == at[-1]
+        if fits:
+            frame = ids.tobytes()
+            out += [frame[x:y] for x, y in zip((4 * a).tolist(), (4 * b).tolist(), strict=True)]
+        else:
+            out += [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    return out
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts in a row, and the offsets at which each text's ids begin; null texts are empty."""
-    tokenizer, kept = _loaded(path)
+    tokenizer, token_sizes, kept = _loaded(path)
     drops_space = tokenizer.normalizer is not None
     pieces, counts = (_by_word if drops_space else _byte_pieces)(strings(texts))
     if not len(pieces):
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     coded = pieces.dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    found = [kept.get(x) for x in distinct]
+    found = list(map(kept.get, distinct))
     missing = [i for i, x in enumerate(found) if x is None]
-    for begin in range(0, len(missing), 20_000):
-        some = missing[begin : begin + 20_000]
-        for i, got in zip(some, tokenizer.encode_batch_fast([distinct[i] for i in some], add_special_tokens=False), strict=True):
-            found[i] = ids = np.array(got.ids, "<u4").tobytes()
-            if len(kept) < KEPT_PIECES and len(distinct[i]) <= KEPT_LENGTH:
-                kept[distinct[i]] = ids
+    # Joined pieces must hold no white space but a blank before their first character.
+    alone = [i for i in missing if not drops_space and not _JOINS.match(distinct[i])]
+    for some, one_by_one in ((sorted(set(missing).difference(alone)), False), (alone, True)):
+        texts_of = [distinct[i] for i in some]
+        if one_by_one:
+            ids_of = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts_of, add_special_tokens=False)]
+        else:
+            ids_of = _encode_distinct(tokenizer, token_sizes, texts_of, drops_space)
+        for i, piece, ids in zip(some, texts_of, ids_of, strict=True):
+            found[i] = ids
+            if len(piece) <= KEPT_LENGTH and len(kept) < KEPT_PIECES:
+                kept[piece] = ids
     table = np.frombuffer(b"".join(found), "<u4")
     lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
     begins, sizes = offsets_of(lengths)[codes], lengths[codes]
