@@ -68,8 +68,12 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
 
 
 def strings(column: pa.Array) -> pa.Array:
-    """Texts of a column, nulls as empty ones, with offsets that cannot overflow."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts of a column, nulls as empty ones, with offsets that cannot overflow.
+
+    They are a copy that begins at its buffers' start: some of Arrow's kernels (ascii_lower) misread slices.
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    return pa.concat_arrays([pa.array([], pa.large_string()), texts])
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
