@@ -65,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         while begin < n:
             yield batch.slice(begin, step)
             begin += step
+            pa.default_memory_pool().release_unused()
 
 
 def strings(column: pa.Array) -> pa.Array:

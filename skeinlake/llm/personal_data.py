@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import OTHER, PAD, Tagger, class_table
-from .common import map_arrow, slices, small_batches, strings, table
+from .common import map_arrow, slices, small_batches, stage, strings, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the kinds.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docum
             rows = sorted(rows)
             yield pa.RecordBatch.from_pydict({"x": pa.array([r[0] for r in rows], pa.binary()), "y": pa.array([r[1] for r in rows], pa.binary())})
 
-    found = map_arrow(chosen.select(F.col(text_col).cast("string").alias("text")), task, "x binary, y binary").distinct()
+    found = stage(map_arrow(chosen.select(F.col(text_col).cast("string").alias("text")), task, "x binary, y binary").distinct(), "training-windows")
     labelled = F.col("y") != F.lit(bytes(WINDOW))
     order = F.xxhash64("x", "y"), F.col("x"), F.col("y")
     rows = found.where(labelled).orderBy(*order).limit(windows // 2).collect() + found.where(~labelled).orderBy(*order).limit(windows // 2).collect()

@@ -25,7 +25,7 @@ from .common import codes_of, hashes_of, offsets_of, slices, small_batches, stag
 
 WINDOW_WORDS = 20
 #: Hashes that one task compares.
-TASK_HASHES = 2_500_000
+TASK_HASHES = 1_500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CELLS = "part int, path string, slice int, data binary"
@@ -197,7 +197,7 @@ def find_hits(places: DataFrame, block: int, parts: int) -> DataFrame:
         return _answers(group, cell[live], place[live])
 
     cells = places.select("path", "slice").mapInArrow(probe, _CELLS)
-    return stage(cells.groupBy("part").applyInArrow(compare, "path string, slice int, data binary"), "hits")
+    return stage(cells.repartition(2 * parts, "part").groupBy("part").applyInArrow(compare, "path string, slice int, data binary"), "hits")
 
 
 def _answers(group: pa.Table, cell: np.ndarray, place: np.ndarray) -> pa.Table:
@@ -209,7 +209,7 @@ def _answers(group: pa.Table, cell: np.ndarray, place: np.ndarray) -> pa.Table:
     return pa.table({"path": group.column("path").take(pa.array(rows)), "slice": group.column("slice").take(pa.array(rows)), "data": pa.array(data, pa.binary())})
 
 
-def find_repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
+def find_repeats(hits: DataFrame, block: int, window: int, parts: int, slots: int) -> DataFrame:
     """Compares the windows around hits; for each slice, the first windows that occur earlier in another slice."""
     kind = _kind(parts)
 
@@ -248,8 +248,8 @@ def find_repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFr
         later[order[1:]] = hashes[order][1:] == hashes[order][:-1]
         return _answers(group, cell[later], place[later])
 
-    cells = hits.groupBy("path", "slice").applyInArrow(send, _CELLS)
-    return stage(cells.groupBy("part").applyInArrow(compare, "path string, slice int, data binary"), "repeats")
+    cells = hits.repartition(slots, "path", "slice").groupBy("path", "slice").applyInArrow(send, _CELLS)
+    return stage(cells.repartition(2 * parts, "part").groupBy("part").applyInArrow(compare, "path string, slice int, data binary"), "repeats")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, with_text: bool = False) -> DataFrame:
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = total // TASK_HASHES + 1
     spread = places.repartition(slots)
     hits = find_hits(spread, block, parts)
-    again = find_repeats(hits, block, window, parts // 2 + 1)
+    again = find_repeats(hits, block, window, parts // 2 + 1, slots)
 
     def finish(group: pa.Table) -> pa.Table:
         held = _Slice(group.column("path")[0].as_py(), group.column("slice")[0].as_py())
@@ -303,7 +303,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = places.select("path", "slice", F.lit(0).alias("sort"), F.lit(b"").alias("data"))
     rows = rows.unionByName(hits.withColumn("sort", F.lit(1))).unionByName(again.withColumn("sort", F.lit(2)))
-    return rows.groupBy("path", "slice").applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    # The rows are small, but each slice's work is not: their number of tasks is not left to their size.
+    return rows.repartition(slots, "path", "slice").groupBy("path", "slice").applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .common import offsets_of, strings, sums_by, words_of
 
 #: Kept pieces of a Python worker; pieces beyond it are encoded anew in each slice.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Pieces that are encoded as one text.
 JOINED = 512
 #: Longer pieces are not kept.

@@ -38,3 +38,25 @@ def learner_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("seconds"),
         F.least(F.lit(1.0), F.col("value") / 100).alias("score"),
     )
+
+
+#: Concepts 0 to 99; concept k requires k div 2, and k - 1 if k is divisible by 3.
+CONCEPT_COUNT = 100
+CONCEPTS_SQL = "concepts AS (SELECT CAST(range AS INTEGER) AS node FROM range(0, 100))"
+PREREQUISITES_SQL = """prerequisites AS (
+  SELECT CAST(range AS INTEGER) AS src, CAST(range // 2 AS INTEGER) AS dst, 'STRONG' AS strength FROM range(1, 100)
+  UNION SELECT CAST(range AS INTEGER), CAST(range - 1 AS INTEGER), 'WEAK' FROM range(1, 100) WHERE range % 3 = 0 AND range - 1 <> range // 2
+)"""
+
+
+def concepts(spark: SparkSession) -> DataFrame:
+    return spark.range(CONCEPT_COUNT).select(F.col("id").cast("int").alias("node"))
+
+
+def prerequisites(spark: SparkSession) -> DataFrame:
+    """Edges (src requires dst, strength)."""
+    k = spark.range(1, CONCEPT_COUNT).select(F.col("id").cast("int").alias("k"))
+    half = F.floor(F.col("k") / 2).cast("int")
+    strong = k.select(F.col("k").alias("src"), half.alias("dst"), F.lit("STRONG").alias("strength"))
+    weak = k.where((F.col("k") % 3 == 0) & (F.col("k") - 1 != half)).select(F.col("k").alias("src"), (F.col("k") - 1).alias("dst"), F.lit("WEAK").alias("strength"))
+    return strong.unionByName(weak)
