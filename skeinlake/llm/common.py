@@ -23,15 +23,20 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 8 << 20
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors and the driver share.
 
-    Only where that setting is missing (tests, a notebook on one machine) a temporary folder is set.
+    Only where that setting is missing (tests, a notebook on one machine) a temporary folder is taken, one for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
+        path = _OWN_DIRS[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
