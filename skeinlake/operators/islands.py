@@ -17,6 +17,7 @@ def streaks(activity: DataFrame, who: str, day: str) -> DataFrame:
 def gap_sessions(events: DataFrame, who: str, ts: str, gap_seconds: int) -> DataFrame:
     """Events with session_no: a new session begins after a gap of more than `gap_seconds`."""
     order = Window.partitionBy(who).orderBy(ts, "event_id")
-    gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(order)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = at - F.lag(at).over(order)
     starts = F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)
     return events.withColumn("_new", starts).withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

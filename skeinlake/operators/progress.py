@@ -14,7 +14,7 @@ def leaderboard(progress: DataFrame, least: int = 5, top: int = 10) -> DataFrame
     finished = progress.where(F.col("status").isin("completed", "mastered"))
     scores = finished.groupBy("student_id").agg(
         F.count("*").alias("concepts"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
+        F.round(F.avg("score") + 1e-12, 6).alias("avg_score"),
         F.round(F.sum(F.when(F.col("status") == "mastered", 1).otherwise(0)) / F.count("*"), 6).alias("mastery_rate"),
     )
     order = [F.col("mastery_rate").desc_nulls_last(), F.col("avg_score").desc_nulls_last(), F.col("student_id").asc_nulls_last()]

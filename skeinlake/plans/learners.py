@@ -17,6 +17,10 @@ _LATEST_SQL = f"""{_LE}, latest AS (
 )"""
 
 
+#: Added to means before rounding: ties then round alike, whatever the order of summing was.
+NUDGE = 1e-12
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.newest(learner_events(spark, sf_dir), ["student_id", "concept_id"], ["ts", "event_id"])
 
@@ -27,7 +31,7 @@ def _count_if(condition) -> F.Column:
 
 @query(f"""{_LE},
 s AS (
-  SELECT student_id, count(*) AS concepts, round(avg(score), 6) AS avg_score, round(sum(CASE WHEN status = 'mastered' THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS mastery_rate
+  SELECT student_id, count(*) AS concepts, round(avg(score) + 1e-12, 6) AS avg_score, round(sum(CASE WHEN status = 'mastered' THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS mastery_rate
   FROM learner_events WHERE status IN ('completed', 'mastered') GROUP BY student_id HAVING count(*) >= 5
 ), r AS (SELECT *, row_number() OVER (ORDER BY mastery_rate DESC, avg_score DESC, student_id) AS place FROM s)
 SELECT place, student_id, concepts, avg_score, mastery_rate FROM r WHERE place <= 10""")
@@ -35,26 +39,26 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.leaderboard(learner_events(spark, sf_dir))
 
 
-@query(f"""{_LE} SELECT student_id, count(*) AS events, count(DISTINCT concept_id) AS concepts, round(avg(score), 6) AS avg_score, max(score) AS best_score,
+@query(f"""{_LE} SELECT student_id, count(*) AS events, count(DISTINCT concept_id) AS concepts, round(avg(score) + 1e-12, 6) AS avg_score, max(score) AS best_score,
   min(score) AS least_score, CAST(sum(CASE WHEN status = 'mastered' THEN 1 ELSE 0 END) AS BIGINT) AS mastered, count(DISTINCT CAST(ts AS DATE)) AS active_days
   FROM learner_events GROUP BY student_id""")
 def personal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learner_events(spark, sf_dir).groupBy("student_id").agg(
-        F.count("*").alias("events"), F.count_distinct("concept_id").alias("concepts"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("best_score"),
+        F.count("*").alias("events"), F.count_distinct("concept_id").alias("concepts"), F.round(F.avg("score") + 1e-12, 6).alias("avg_score"), F.max("score").alias("best_score"),
         F.min("score").alias("least_score"), _count_if(F.col("status") == "mastered").alias("mastered"), F.count_distinct(F.to_date("ts")).alias("active_days"))
 
 
 @query(f"""{_LATEST_SQL} SELECT student_id, count(DISTINCT concept_id) FILTER (WHERE status = 'mastered') AS mastered, count(DISTINCT concept_id) FILTER (WHERE status = 'completed') AS completed,
-  count(DISTINCT concept_id) FILTER (WHERE status = 'in_progress') AS in_progress, round(avg(score) FILTER (WHERE status <> 'not_started'), 6) AS avg_started FROM latest GROUP BY student_id""")
+  count(DISTINCT concept_id) FILTER (WHERE status = 'in_progress') AS in_progress, round(avg(score) FILTER (WHERE status <> 'not_started') + 1e-12, 6) AS avg_started FROM latest GROUP BY student_id""")
 def progress_filter_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A latest row is one per concept already: counting rows needs no distinct.
     return _latest(spark, sf_dir).groupBy("student_id").agg(
-        *(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("mastered", "completed", "in_progress")), F.round(F.avg(F.when(F.col("status") != "not_started", F.col("score"))), 6).alias("avg_started"))
+        *(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("mastered", "completed", "in_progress")), F.round(F.avg(F.when(F.col("status") != "not_started", F.col("score"))) + 1e-12, 6).alias("avg_started"))
 
 
-@query(f"{_LATEST_SQL} SELECT status, count(*) AS rows, round(avg(score), 6) AS avg_score FROM latest GROUP BY status")
+@query(f"{_LATEST_SQL} SELECT status, count(*) AS rows, round(avg(score) + 1e-12, 6) AS avg_score FROM latest GROUP BY status")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(spark, sf_dir).groupBy("status").agg(F.count("*").alias("rows"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return _latest(spark, sf_dir).groupBy("status").agg(F.count("*").alias("rows"), F.round(F.avg("score") + 1e-12, 6).alias("avg_score"))
 
 
 @query(f"{_LATEST_SQL} SELECT student_id, concept_id, status, score, seconds, ts FROM latest")
@@ -71,10 +75,10 @@ def milestone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("done") / F.col("total"), 2))
 
 
-@query(f"""{_LATEST_SQL} SELECT student_id, count(*) AS concepts, CAST(floor(sum(seconds) / 60) AS BIGINT) AS minutes, round(avg(score), 2) AS avg_score, max(ts) AS last_seen, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM latest GROUP BY student_id""")
+@query(f"""{_LATEST_SQL} SELECT student_id, count(*) AS concepts, CAST(floor(sum(seconds) / 60) AS BIGINT) AS minutes, round(avg(score) + 1e-12, 2) AS avg_score, max(ts) AS last_seen, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM latest GROUP BY student_id""")
 def user_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(spark, sf_dir).groupBy("student_id").agg(
-        F.count("*").alias("concepts"), F.floor(F.sum("seconds") / 60).alias("minutes"), F.round(F.avg("score"), 2).alias("avg_score"), F.max("ts").alias("last_seen"), F.to_date(F.min("ts")).alias("first_day"))
+        F.count("*").alias("concepts"), F.floor(F.sum("seconds") / 60).alias("minutes"), F.round(F.avg("score") + 1e-12, 2).alias("avg_score"), F.max("ts").alias("last_seen"), F.to_date(F.min("ts")).alias("first_day"))
 
 
 _VELOCITY_SQL = f"""{_LE}, velocity AS (
@@ -146,9 +150,9 @@ def streak_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(F.broadcast(today), runs.last_day == F.col("today")).select("student_id", F.col("days").alias("streak"))
 
 
-@query(f"{_LE} SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT student_id) AS students, round(avg(score), 6) AS avg_score FROM learner_events GROUP BY 1")
+@query(f"{_LE} SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT student_id) AS students, round(avg(score) + 1e-12, 6) AS avg_score FROM learner_events GROUP BY 1")
 def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learner_events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("student_id").alias("students"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return learner_events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("student_id").alias("students"), F.round(F.avg("score") + 1e-12, 6).alias("avg_score"))
 
 
 @query(f"""{_LE}, d AS (SELECT student_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE status = 'mastered') AS n FROM learner_events GROUP BY 1, 2)
@@ -163,11 +167,11 @@ def time_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learner_events(spark, sf_dir).groupBy("student_id", F.floor(F.col("concept_id") / 10).cast("int").alias("milestone")).agg(F.round(F.sum("seconds") / 60, 4).alias("minutes"), F.count_distinct("concept_id").alias("concepts"))
 
 
-@query(f"""{_LE} SELECT concept_id, count(*) AS attempts, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS spread, min(score) AS least, max(score) AS most,
+@query(f"""{_LE} SELECT concept_id, count(*) AS attempts, round(avg(score) + 1e-12, 6) AS mean, round(stddev_samp(score), 6) AS spread, min(score) AS least, max(score) AS most,
   round(count(*) FILTER (WHERE score < 0.5) * 1.0 / count(*), 6) AS low_share FROM learner_events GROUP BY 1 HAVING count(*) >= 5""")
 def difficulty_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = learner_events(spark, sf_dir).groupBy("concept_id").agg(
-        F.count("*").alias("attempts"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("spread"), F.min("score").alias("least"), F.max("score").alias("most"),
+        F.count("*").alias("attempts"), F.round(F.avg("score") + 1e-12, 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("spread"), F.min("score").alias("least"), F.max("score").alias("most"),
         F.round(F.count(F.when(F.col("score") < 0.5, 1)) / F.count("*"), 6).alias("low_share"))
     return rows.where("attempts >= 5")
 
@@ -180,7 +184,7 @@ def retention_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_LE}, o AS (SELECT student_id, concept_id, score, ts, event_id FROM learner_events)
-SELECT student_id, concept_id, count(*) AS n, round(avg(score), 6) AS running_mean, round(sum(seconds), 4) AS total_seconds, max(ts) AS last_reviewed FROM learner_events GROUP BY 1, 2""")
+SELECT student_id, concept_id, count(*) AS n, round(avg(score) + 1e-12, 6) AS running_mean, round(sum(seconds), 4) AS total_seconds, max(ts) AS last_reviewed FROM learner_events GROUP BY 1, 2""")
 def upsert_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the events meet as an old table and an insert: counts and sums add up, the mean runs on."""
     events = learner_events(spark, sf_dir)
@@ -202,19 +206,19 @@ def upsert_best(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.when(F.col("status").isin("completed", "mastered"), F.col("ts"))).alias("completed_at"), F.count("*").alias("attempts"))
 
 
-@query(f"""{_LE} SELECT student_id, concept_id, event_id, round(avg(score) OVER (PARTITION BY student_id, concept_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM learner_events""")
+@query(f"""{_LE} SELECT student_id, concept_id, event_id, round(avg(score) OVER (PARTITION BY student_id, concept_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-12, 6) AS running_mean FROM learner_events""")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("student_id", "concept_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return learner_events(spark, sf_dir).select("student_id", "concept_id", "event_id", F.round(F.avg("score").over(order), 6).alias("running_mean"))
+    return learner_events(spark, sf_dir).select("student_id", "concept_id", "event_id", F.round(F.avg("score").over(order) + 1e-12, 6).alias("running_mean"))
 
 
 @query(f"""{_LE}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM learner_events WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
 s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY student_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g)
-SELECT student_id, session_no, min(ts) AS started, max(ts) AS ended, count(*) AS events, count(DISTINCT concept_id) AS concepts, round(avg(score), 6) AS avg_score FROM s GROUP BY 1, 2""")
+SELECT student_id, session_no, min(ts) AS started, max(ts) AS ended, count(*) AS events, count(DISTINCT concept_id) AS concepts, round(avg(score) + 1e-12, 6) AS avg_score FROM s GROUP BY 1, 2""")
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = islands.gap_sessions(learner_events(spark, sf_dir), "student_id", "ts", 6 * 3600)
     return rows.groupBy("student_id", F.col("session_no").cast("long").alias("session_no")).agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.count_distinct("concept_id").alias("concepts"), F.round(F.avg("score"), 6).alias("avg_score"))
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.count_distinct("concept_id").alias("concepts"), F.round(F.avg("score") + 1e-12, 6).alias("avg_score"))
 
 
 _MASTERY_SQL = f"""{_LE}, a AS (SELECT max(ts) AS as_of FROM learner_events), m AS (
@@ -226,7 +230,7 @@ def _mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = learner_events(spark, sf_dir)
     as_of = events.agg(F.max("ts").alias("as_of"))
     rows = events.groupBy("student_id", "concept_id").agg(F.avg("score").alias("u"), F.count("*").alias("reviews"), F.max("ts").alias("last")).join(F.broadcast(as_of))
-    days = F.floor((F.unix_seconds("as_of") - F.unix_seconds("last")) / 86400)
+    days = F.floor((F.unix_seconds(F.col("as_of").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 86400)
     return rows.withColumn("days", days).select("student_id", "concept_id", "reviews", "days", F.round(mastery.concept_mastery(F.col("u"), F.col("reviews"), F.col("days")), 6).alias("mastery"))
 
 
@@ -303,7 +307,7 @@ SELECT student_id, concept_id, CASE WHEN d < 1 THEN 0.2 WHEN d < 3 THEN 0.5 WHEN
 def recency_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = learner_events(spark, sf_dir)
     rows = events.groupBy("student_id", "concept_id").agg(F.max("ts").alias("last")).join(F.broadcast(events.agg(F.max("ts").alias("as_of"))))
-    d = (F.unix_micros("as_of") - F.unix_micros("last")) / 86_400_000_000
+    d = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 86_400_000_000
     return rows.select("student_id", "concept_id", F.when(d < 1, 0.2).when(d < 3, 0.5).when(d < 7, 0.8).when(d < 14, 0.9).otherwise(1.0).alias("recency"))
 
 
