@@ -1,7 +1,8 @@
 """Prerequisite graphs: edges are rows (src, dst), src requires dst.
 
 Searches are breadth first, a join for each hop, with distinct frontiers, so that cycles and many
-paths do not multiply rows; the number of hops is a parameter.
+paths do not multiply rows; the number of hops is a parameter.  Each hop is checkpointed: plans stay small, and a
+lost executor repeats one hop at most.
 """
 
 from __future__ import annotations
@@ -9,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, node, depth: the nodes within `hops` edges of each start (column node), at their least depth."""
-    frontier = starts.select(F.col("node").alias("start"), "node").distinct()
+    frontier = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     found = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(found.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = cut(step.join(found.select("start", "node"), ["start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
     return found
 
@@ -34,7 +39,7 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     now = starts.select(F.array("node").alias("path"))
     found = None
     for _ in range(hops):
-        now = now.join(edges, F.element_at("path", -1) == edges.src).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        now = cut(now.join(edges, F.element_at("path", -1) == edges.src).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         found = now if found is None else found.unionByName(now)
     return found
 
@@ -47,10 +52,12 @@ def closes_cycle(edges: DataFrame, proposed: DataFrame, hops: int) -> DataFrame:
 
 def levels(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """node, level: edges on the longest way to a node without prerequisites, up to `most`."""
-    level = nodes.select("node", F.lit(0).alias("level"))
+    level = cut(nodes.select("node", F.lit(0).alias("level")))
     for _ in range(most):
         below = edges.join(level, edges.dst == level.node).groupBy("src").agg((F.max("level") + 1).alias("up"))
-        level = level.join(below, level.node == below.src, "left").select("node", F.coalesce("up", F.lit(0)).alias("level"))
+        before, level = level, cut(level.join(below, level.node == below.src, "left").select("node", F.coalesce("up", F.lit(0)).alias("level")))
+        if before.exceptAll(level).isEmpty():
+            break
     return level
 
 

@@ -1,3 +1,3 @@
 """Modules whose import registers queries."""
 
-from . import learners  # noqa: F401
+from . import graphs, learners, relational  # noqa: F401
