@@ -10,11 +10,11 @@ STOP_WORDS = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "ha
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def sentence_count(text: Column) -> Column:
@@ -56,5 +56,5 @@ def clean(text: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " "))

@@ -1,3 +1,3 @@
 """Modules whose import registers queries."""
 
-from . import graphs, learners, relational  # noqa: F401
+from . import graphs, learners, relational, streams, texts, vector_search  # noqa: F401

@@ -68,7 +68,7 @@ def newest_per_milestone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.broadcast(read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))  # 25 rows
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("milestone")).agg(F.grouping("milestone").cast("long").alias("level"), F.count("*").alias("submissions"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("points"))
+    return rows.select(F.col("r_name").alias("region"), F.col("n_name").alias("milestone"), "l_extendedprice", "l_discount").rollup("region", "milestone").agg(F.grouping("milestone").cast("long").alias("level"), F.count("*").alias("submissions"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("points"))
 
 
 @query("SELECT c_custkey AS learner, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -124,7 +124,7 @@ def active_tickets_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BANDS_SQL = ", ".join(f"({low}, '{name}')" for low, name in BANDS)
 
 
-@query(f"""WITH b AS (SELECT column0 AS low, column1 AS band, lead(column0) OVER (ORDER BY column0) AS high FROM (VALUES {_BANDS_SQL}))
+@query(f"""WITH b AS (SELECT low, band, lead(low) OVER (ORDER BY low) AS high FROM (VALUES {_BANDS_SQL}) v(low, band))
 SELECT band, count(*) AS tickets, max(o_totalprice) AS most FROM orders JOIN b ON o_totalprice >= low AND (high IS NULL OR o_totalprice < high) GROUP BY 1""")
 def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point lies in one of few intervals: an expression does what a range join would."""
