@@ -7,7 +7,8 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from conftest import DATA
+
+DATA = "/root/testdata/sf0.001"
 
 SQL = {k: v for k, v in entry.oracle_sql().items() if not k.startswith("op")}
 PLAIN = sorted(set(k for k in entry.queries() if not k.startswith("op") and k != "pipeline") - set(SQL))
