@@ -223,7 +223,7 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MASTERY_SQL = f"""{_LE}, a AS (SELECT max(ts) AS as_of FROM learner_events), m AS (
   SELECT student_id, concept_id, avg(score) AS understanding, count(*) AS reviews, floor((epoch(max(as_of)) - epoch(max(ts))) / 86400) AS days FROM learner_events, a GROUP BY 1, 2),
-mastery AS (SELECT student_id, concept_id, reviews, CAST(days AS BIGINT) AS days, round(0.5 * understanding + 0.3 * least(1.0, reviews / 5.0) + 0.2 * exp(-0.1 * days), 6) AS mastery FROM m)"""
+mastery AS (SELECT student_id, concept_id, reviews, CAST(days AS BIGINT) AS days, round(0.5 * understanding + 0.3 * least(1.0, reviews / 5.0) + 0.2 * exp(-0.1 * days) + 1e-12, 6) AS mastery FROM m)"""
 
 
 def _mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ def _mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = events.agg(F.max("ts").alias("as_of"))
     rows = events.groupBy("student_id", "concept_id").agg(F.avg("score").alias("u"), F.count("*").alias("reviews"), F.max("ts").alias("last")).join(F.broadcast(as_of))
     days = F.floor((F.unix_seconds(F.col("as_of").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 86400)
-    return rows.withColumn("days", days).select("student_id", "concept_id", "reviews", "days", F.round(mastery.concept_mastery(F.col("u"), F.col("reviews"), F.col("days")), 6).alias("mastery"))
+    return rows.withColumn("days", days).select("student_id", "concept_id", "reviews", "days", F.round(mastery.concept_mastery(F.col("u"), F.col("reviews"), F.col("days")) + NUDGE, 6).alias("mastery"))
 
 
 @query(f"{_MASTERY_SQL} SELECT * FROM mastery")
