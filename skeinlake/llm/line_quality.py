@@ -4,9 +4,9 @@ A first reading hashes the normalised lines of each text.  For each host, the di
 lines above the limits are boilerplate.  A second reading computes the rules of each text, removes its
 boilerplate lines and rejects documents that this leaves depleted.
 
-Copies of a document must not make its lines boilerplate.  A document is therefore known by a sketch, the two least
-hashes of its lines, which copies share: a line is above the limits only if its documents have enough
-different sketches, and more than half as many of them as there are documents.
+Copies of a document must not make its lines boilerplate.  A document is therefore known by a digest of its whole text,
+which copies share and no other document has: a line is above the limits only if its documents have enough
+different digests, and more than half as many of them as there are documents.
 """
 
 from __future__ import annotations
@@ -61,12 +61,14 @@ class _Lines:
 
 
 def line_counts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """host, line, documents and sketches for each line of at least one word."""
+    """host, line, documents and distinct documents for each line of at least one word."""
     small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            lines = _Lines(strings(batch.column(1)))
+            texts = strings(batch.column(1))
+            digest = hashes_of(texts).view(np.int64)
+            lines = _Lines(texts)
             some = lines.words > 0
             doc, line = lines.doc[some], lines.hashes[some]
             order = np.lexsort((line, doc))
@@ -74,26 +76,20 @@ def line_counts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
             doc, line = doc[new], line[new]
-            starts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            least = np.minimum(starts[:-1], max(len(line) - 1, 0))
-            second = np.minimum(least + 1, np.maximum(starts[1:] - 1, 0))
-            sketch = (line[least] * 31 + line[second]) if len(line) else np.zeros(batch.num_rows, np.int64)
-            # A sketch that rests on the line itself says nothing about the rest of the document: fine for counting, as
-            # the other of the two least hashes differs between documents that share only that line.
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line), pa.array(sketch[doc])], ["host", "line", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line), pa.array(digest[doc])], ["host", "line", "digest"])
 
-    rows = map_arrow(docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")), task, "host string, line long, sketch long")
-    # Copies meet before the shuffle: one row for each line, sketch and task.
-    by_sketch = rows.groupBy("host", "line", "sketch").agg(F.count("*").alias("n"))
-    return by_sketch.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count("*").alias("sketches"))
+    rows = map_arrow(docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")), task, "host string, line long, digest long")
+    # Copies meet before the shuffle: one row for each line, digest and task.
+    by_digest = rows.groupBy("host", "line", "digest").agg(F.count("*").alias("n"))
+    return by_digest.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count("*").alias("distinct"))
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """host and line (a hash) of the lines above the limits.  A null host is a host of its own."""
     hosts = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count("*").alias("all"))
-    counts = line_counts(docs, host_col, text_col).where(F.col("sketches") > documents)
-    counts = counts.where(2 * F.col("sketches") > F.col("documents"))
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("sketches") > share * F.col("all")).select("host", "line")
+    counts = line_counts(docs, host_col, text_col).where(F.col("distinct") > documents)
+    counts = counts.where(2 * F.col("distinct") > F.col("documents"))
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("distinct") > share * F.col("all")).select("host", "line")
 
 
 def rules_of(texts: pa.Array, hosts: list, bad: dict) -> tuple[dict, _Lines, np.ndarray]:
