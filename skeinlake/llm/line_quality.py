@@ -5,8 +5,8 @@ lines above the limits are boilerplate.  A second reading computes the rules of
 boilerplate lines and rejects documents that this leaves depleted.
 
 Copies of a document must not make its lines boilerplate.  A document is therefore known by a digest of its whole text,
-which copies share and no other document has: a line is above the limits only if its documents have enough
-different digests, and more than half as many of them as there are documents.
+which copies share and no other document has: the limits are on different digests, of the documents with a line
+and of all documents of the host, so that copies count once on both sides.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SYMBOLS = "[#*$%&|<>]"
 REPEAT_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: A line is boilerplate above so many documents of a host, and above this share of its documents.
+#: A line is boilerplate above so many distinct documents of a host, and above this share of its distinct documents.
 LINE_DOCUMENTS = 50
 LINE_SHARE = 0.005
 #: A document is depleted if less than this share of its words is left.
@@ -61,7 +61,7 @@ class _Lines:
 
 
 def line_counts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """host, line, documents and distinct documents for each line of at least one word."""
+    """host, line and distinct documents for each line of at least one word; for a null line, those of the whole host."""
     small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,21 +75,22 @@ def line_counts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
             doc, line = doc[order], line[order]
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-            doc, line = doc[new], line[new]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line), pa.array(digest[doc])], ["host", "line", "digest"])
+            doc, line = np.concatenate((doc[new], np.arange(batch.num_rows))), line[new]
+            line = pa.concat_arrays([pa.array(line), pa.nulls(batch.num_rows, pa.int64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), line, pa.array(digest[doc])], ["host", "line", "digest"])
 
     rows = map_arrow(docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")), task, "host string, line long, digest long")
     # Copies meet before the shuffle: one row for each line, digest and task.
-    by_digest = rows.groupBy("host", "line", "digest").agg(F.count("*").alias("n"))
-    return by_digest.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count("*").alias("distinct"))
+    return rows.distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """host and line (a hash) of the lines above the limits.  A null host is a host of its own."""
-    hosts = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count("*").alias("all"))
-    counts = line_counts(docs, host_col, text_col).where(F.col("distinct") > documents)
-    counts = counts.where(2 * F.col("distinct") > F.col("documents"))
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("distinct") > share * F.col("all")).select("host", "line")
+    counts = line_counts(docs, host_col, text_col)
+    counts = stage(counts.where((F.col("documents") > documents) | F.col("line").isNull()), "line-counts")
+    hosts = counts.where("line IS NULL").select(F.col("host").alias("h"), F.col("documents").alias("all"))
+    lines = counts.where("line IS NOT NULL")
+    return lines.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("documents") > share * F.col("all")).select("host", "line")
 
 
 def rules_of(texts: pa.Array, hosts: list, bad: dict) -> tuple[dict, _Lines, np.ndarray]:

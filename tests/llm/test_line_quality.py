@@ -64,3 +64,18 @@ def test_many_shared_and_few_own_lines(spark, tmp_path):
     want = brute_force(rows)
     assert sum(kept for kept, _ in want.values()) == 200
     assert judged(spark, tmp_path, rows) == want
+
+
+def test_copies_count_once(spark, tmp_path):
+    """A footer on 400 different pages stays boilerplate beside 1,000 copies of one page, which share it or do not."""
+    rows = []
+    for host, footer in (("a", lines_of("footer", 1)), ("b", [])):
+        page = "\n".join([*lines_of(f"page{host}x", 6), *footer])
+        rows += [(len(rows) + i, host, page) for i in range(1000)]
+        rows += [(len(rows) + i, host, "\n".join([*lines_of(f"own{letters(i)}x", 6), *lines_of("footer", 1)])) for i in range(400)]
+    # Copies must not weigh in the host's share either: 60 of 12,560 documents are 61 distinct ones at most.
+    rows += [(len(rows) + i, "c", "\n".join(lines_of("pagec", 6))) for i in range(12_500)]
+    rows += [(len(rows) + i, "c", "\n".join([*lines_of(f"own{letters(i)}x", 6), *lines_of("footer", 1)])) for i in range(60)]
+    want = brute_force(rows)
+    assert sum("footer" in text for _, text in want.values()) == 0
+    assert judged(spark, tmp_path, rows) == want
