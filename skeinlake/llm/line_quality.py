@@ -156,18 +156,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     small_batches(spark)
     fits = lines.count() <= BROADCAST_LINES
     rest = [c for c in docs.columns if c not in (id_col, host_col, text_col)] if with_text else []
+    more = [F.col(c).alias(f"_c{k}") for k, c in enumerate(rest)]
     fixed = [F.col(id_col).cast("long").alias("_id"), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text")]
     if fits:
         known: dict = {}
         for row in lines.collect():  # BROADCAST_LINES rows at most
             known.setdefault(row["host"], []).append(row["line"])
         sent = spark.sparkContext.broadcast({h: np.sort(np.array(v, np.int64)) for h, v in known.items()})
-        rows = docs.select(*fixed, F.lit(None).cast("array<long>").alias("_bad"), *rest)
+        rows = docs.select(*fixed, F.lit(None).cast("array<long>").alias("_bad"), *more)
     else:
         sent = None
-        numbered = stage(docs.select(*fixed, F.monotonically_increasing_id().alias("_uid"), *rest), "rows")
-        own = _lines_of(numbered).join(lines, ["host", "line"]).groupBy("uid").agg(F.collect_set("line").alias("_bad"))
-        rows = numbered.join(own, numbered["_uid"] == own["uid"], "left").select("_id", "_host", "_text", "_bad", *rest)
+        numbered = stage(docs.select(*fixed, F.monotonically_increasing_id().alias("_uid"), *more), "rows")
+        bad = lines.select(F.col("host").alias("_h"), F.col("line").alias("_l"))
+        own = _lines_of(numbered).join(bad, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l")))
+        own = own.groupBy("uid").agg(F.collect_set("line").alias("_bad"))
+        rows = numbered.join(own, F.col("_uid") == F.col("uid"), "left").select("_id", "_host", "_text", "_bad", *(f"_c{k}" for k in range(len(rest))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):

@@ -7,7 +7,10 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+import test_edges
+import test_operators
 from skeinlake.llm import line_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,3 +82,25 @@ def test_copies_count_once(spark, tmp_path):
     want = brute_force(rows)
     assert sum("footer" in text for _, text in want.values()) == 0
     assert judged(spark, tmp_path, rows) == want
+
+
+@pytest.fixture
+def joined(monkeypatch):
+    """Boilerplate lines are joined to their documents, however few there are."""
+    monkeypatch.setattr(line_quality, "BROADCAST_LINES", -1)
+
+
+def test_joined_lines_of_a_null_host(spark, tmp_path, joined):
+    rows = many_shared_lines(None, 0) + many_shared_lines("a", 1000)
+    want = brute_force(rows)
+    assert sum(kept for kept, _ in want.values()) == 200
+    assert judged(spark, tmp_path, rows) == want
+
+
+def test_joined_lines_of_odd_rows(spark, sf_dir, texts, odd_docs, joined):
+    test_operators.test_op6_line_quality(spark, sf_dir, texts)
+    test_edges.test_odd_rows_give_a_row_each(spark, odd_docs, "quality")
+    test_edges.test_empty_table(spark, odd_docs, "quality")
+    kept = line_quality.keep_good(odd_docs)
+    assert kept.dtypes == odd_docs.dtypes
+    assert {r[c] for r in kept.collect() for c in ("uid", "_c0", "host", "line", "kept")} == {"mine"}
