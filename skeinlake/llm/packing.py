@@ -2,7 +2,8 @@
 
 Of a group's pieces, longest first, each goes where the sum, over residual gaps, of the squared number of
 open sequences with that gap becomes smallest.  Groups of documents are packed apart;
-sequences that stay too empty are opened again, and their documents packed with those of other groups.
+sequences that stay too empty are opened again, and their documents packed with those of other groups, in as many groups
+as there are documents for.  This ends with one group, or where lengths do not fill sequences any better.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ SEQUENCE_TOKENS = 1024
 GROUP_PIECES = 6_000
 #: Sequences with a gap of more than one such part are opened again.
 SLACK = 16
-#: Groups whose left-over pieces meet in one group of the next round.
-MERGE = 8
+#: Where a round closes the sequences of less than this share of its pieces, more rounds do not pay.
+LEAST_CLOSED = 0.1
+#: Rounds at most: sequence numbers have room for so many.
+MOST_ROUNDS = 15
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -110,24 +113,28 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group: int = GROUP_PIEC
 
     Full pieces are sequences of their own.  All columns are kept, nulls in them do not matter, and
     equal rows are packed apart.  Each round packs groups of about `group` pieces in parallel; the pieces
-    of sequences with too large a gap go on to a round with fewer groups, until one group is left.
+    of sequences with too large a gap go on to the next round.  The last round, whose sequences stay as they are,
+    has one group, or closes less than LEAST_CLOSED of its pieces, or is number MOST_ROUNDS.
     """
     spark = pieces.sparkSession
     names = pieces.columns
     pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == size).select("_row", F.lit(0).alias("_round"), F.lit(0).alias("_group"), F.col("_row").alias("_sequence"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < size).select("_row", "length")
-    groups, level, done = max(1, -(-rest.count() // group)), 1, [full]
+    n, level, done = rest.count(), 1, [full]
     schema = "_row long, length long, _round int, _group int, _sequence long, offset long, _open boolean"
     while True:
-        last = groups == 1
+        groups = max(1, -(-n // group))
+        last = groups == 1 or level == MOST_ROUNDS
         spread = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)).cast("int"))
         packed = stage(spread.groupBy("_group").applyInPandas(_packer(size, level, last), schema), "packed")
-        done.append(packed.where(~F.col("_open")).select("_row", "_round", "_group", "_sequence", "offset"))
-        if last:
-            break
         rest = packed.where("_open").select("_row", "length")
-        groups, level = (-(-groups // MERGE) if groups > 1 else 1), level + 1
+        still = rest.count()
+        last = last or n - still < LEAST_CLOSED * n
+        done.append((packed if last else packed.where(~F.col("_open"))).select("_row", "_round", "_group", "_sequence", "offset"))
+        if last or not still:
+            break
+        n, level = still, level + 1
     placed = done[0]
     for other in done[1:]:
         placed = placed.unionByName(other)
