@@ -1,4 +1,4 @@
-"""Exact nearest neighbours, fusion of ranked lists and re-ranking."""
+"""Exact nearest neighbours, searches by context, concepts and learning path, and fusion of ranked lists."""
 
 from __future__ import annotations
 
@@ -69,3 +69,58 @@ def fuse(lists: list[tuple[DataFrame, float]], id_col: str = "id", score_col: st
         part = rows.select(F.col(id_col).alias("id"), (F.col(score_col) * weight).alias("weighted"), F.lit(weight).alias("weight"))
         every = part if every is None else every.unionByName(part)
     return every.groupBy("id").agg(F.round(F.sum("weighted") / F.sum("weight"), 6).alias("score"), F.count("*").alias("lists"))
+
+
+#: Searches take no chunk of less similarity, but those that concepts or a path lead to.
+LEAST_SCORE = 0.5
+#: Weights of the semantic, contextual, conceptual and path lists in a hybrid search.
+WEIGHTS = (0.4, 0.2, 0.3, 0.1)
+
+
+def _raised(found: DataFrame, chunks: DataFrame, query: list[float], boost: Column) -> DataFrame:
+    """id and score of found chunks that have a vector: their similarity times `boost`, 1 at most."""
+    score = vectors.cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in query)))
+    held = found.join(chunks.select("id", "vector").where(F.col("vector").isNotNull()), "id")
+    return held.select("id", F.round(F.least(F.lit(1.0), score * boost), 6).alias("score"))
+
+
+def contextual(chunks: DataFrame, query: list[float], k: int, current: int | None) -> DataFrame:
+    """The k nearest chunks, raised where they share the section or else the chapter of the current one."""
+    base = nearest(chunks, query, "id", "vector", k, LEAST_SCORE)
+    own = chunks.where(F.col("id") == F.lit(current)).select(F.col("section").alias("own_section"), F.col("chapter").alias("own_chapter")).limit(1)
+    boost = F.when(F.col("section") == F.col("own_section"), 1.3).when(F.col("chapter") == F.col("own_chapter"), 1.15).otherwise(1.0)
+    rows = base.join(chunks.select("id", "section", "chapter"), "id").join(F.broadcast(own), F.lit(True), "left")
+    return rows.select("id", F.round(F.least(F.lit(1.0), F.col("score") * boost), 6).alias("score"))
+
+
+def conceptual(chunks: DataFrame, mentions: DataFrame, query: list[float], k: int) -> DataFrame:
+    """The k / 2 nearest chunks, and as many others that mention two or more concepts of the first five."""
+    base = nearest(chunks, query, "id", "vector", k // 2, LEAST_SCORE)
+    concepts = mentions.join(base.orderBy(F.desc("score"), "id").limit(5), "id").select("concept").distinct()
+    others = mentions.join(concepts, "concept").join(base, "id", "left_anti").groupBy("id").agg(F.countDistinct("concept").alias("n"))
+    found = others.where("n >= 2").orderBy(F.desc("n"), "id").limit(k // 2)
+    return base.unionByName(_raised(found, chunks, query, 1 + 0.1 * F.col("n")))
+
+
+def learning_path(chunks: DataFrame, steps: DataFrame, query: list[float], k: int, history: list[int]) -> DataFrame:
+    """The k / 2 nearest chunks, and as many others that lie one to three steps (src, dst) after the last ten of the history."""
+    base = nearest(chunks, query, "id", "vector", k // 2, LEAST_SCORE)
+    steps = steps.select("src", "dst").distinct()
+    reached = steps.where(F.col("src").isin(history[-10:])).select(F.col("src").alias("learned"), F.col("dst").alias("id"))
+    every = reached
+    for _ in range(2):
+        reached = reached.join(steps, F.col("id") == F.col("src")).select("learned", F.col("dst").alias("id")).distinct()
+        every = every.unionByName(reached)
+    others = every.where(~F.col("id").isin(history)).join(base, "id", "left_anti").groupBy("id").agg(F.countDistinct("learned").alias("n"))
+    return base.unionByName(_raised(others.orderBy(F.desc("n"), "id").limit(k // 2), chunks, query, F.lit(1.2)))
+
+
+def hybrid(chunks: DataFrame, mentions: DataFrame, steps: DataFrame, query: list[float], k: int, current: int | None = None, history: list[int] | None = None) -> DataFrame:
+    """id, score and number of lists: the semantic, contextual, conceptual and, with a history, path lists, fused.
+
+    Chunks are (id, vector, section, chapter), mentions (id, concept), steps (src, dst).
+    """
+    lists = [nearest(chunks, query, "id", "vector", k, LEAST_SCORE), contextual(chunks, query, k, current), conceptual(chunks, mentions, query, k)]
+    if history:
+        lists.append(learning_path(chunks, steps, query, k, history))
+    return fuse(list(zip(lists, WEIGHTS, strict=False)))
