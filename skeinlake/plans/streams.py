@@ -11,7 +11,7 @@ from .registry import query
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS chunks, round(sum(value), 3) AS seconds FROM events GROUP BY 1, 2")
 def stream_daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.counters(E.source(spark, f"{sf_dir}/events.parquet"), ["user_id"], "1 day", "40 days", {"chunks": F.count("*"), "seconds": F.round(F.sum("value"), 3)})
+    rows = E.counters(E.source(spark, f"{sf_dir}/events.parquet"), ["user_id"], "1 day", {"chunks": F.count("*"), "seconds": F.round(F.sum("value"), 3)})
     return rows.select("user_id", F.to_date("start").alias("day"), "chunks", "seconds")
 
 
@@ -24,5 +24,5 @@ def stream_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learners at or above two failures in a fixed hour."""
     failures = E.source(spark, f"{sf_dir}/events.parquet").where("event_type = 'error'")
-    rows = E.counters(failures, ["user_id"], "1 hour", "40 days", {"attempts": F.count("*")})
+    rows = E.counters(failures, ["user_id"], "1 hour", {"attempts": F.count("*")})
     return rows.where("attempts >= 2").select("user_id", F.col("start").cast("timestamp_ntz").alias("hour"), "attempts")

@@ -41,9 +41,12 @@ def newest(written: DataFrame, keys: list[str]) -> DataFrame:
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def counters(events: DataFrame, keys: list[str], duration: str, late: str, measures: dict[str, Column]) -> DataFrame:
-    """Tumbling windows by key; `start` is the window's begin."""
-    windows = events.withWatermark("ts", late).groupBy(*keys, F.window("ts", duration).alias("w")).agg(*(c.alias(n) for n, c in measures.items()))
+def counters(events: DataFrame, keys: list[str], duration: str, measures: dict[str, Column]) -> DataFrame:
+    """Tumbling windows by key; `start` is the window's begin.
+
+    Runs end with what is there, so there is no watermark: rows count however late they come, and the state holds all windows.
+    """
+    windows = events.groupBy(*keys, F.window("ts", duration).alias("w")).agg(*(c.alias(n) for n, c in measures.items()))
     return newest(run(windows.select(*keys, F.col("w.start").alias("start"), *measures)), [*keys, "start"])
 
 
