@@ -7,7 +7,8 @@ elsewhere has a hit.  Around hits, all windows of the passage length are compare
 earlier are joined to maximal repeats, and their words are removed.
 
 A slice sends each different hash once, however often it holds it, so that no passage makes a large group.
-Equality of words and windows is that of 64-bit hashes, told apart further by the task that compares them.
+Equality of words and windows is that of 64-bit hashes (blocks, which only select windows, by fewer bits); words
+are not compared, and hits are not extended word by word.
 """
 
 from __future__ import annotations
