@@ -6,19 +6,19 @@ import numpy as np
 
 #: ASCII punctuation that has a class of its own.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PAD, LOWER, UPPER, DIGIT, BLANK, OTHER = range(6)
-CLASSES = 6 + len(PUNCTUATION)
+PAD, UPPER, DIGIT, BLANK, OTHER, LETTER = range(6)
+CLASSES = LETTER + 26 + len(PUNCTUATION)
 
 
 def class_table() -> np.ndarray:
-    """Class of each code point below 256; higher ones are letters of a class with other non-ASCII."""
+    """Class of each code point below 256: small letters and punctuation have their own; higher ones are OTHER."""
     out = np.full(256, OTHER, np.uint8)
-    out[ord("a") : ord("z") + 1] = LOWER
+    out[ord("a") : ord("z") + 1] = LETTER + np.arange(26)
     out[ord("A") : ord("Z") + 1] = UPPER
     out[ord("0") : ord("9") + 1] = DIGIT
     out[[9, 10, 11, 12, 13, 32]] = BLANK
     for k, c in enumerate(PUNCTUATION):
-        out[ord(c)] = 6 + k
+        out[ord(c)] = LETTER + 26 + k
     return out
 
 
@@ -27,121 +27,127 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """Parameters by name; windows are arrays (windows, length) of character classes, tags likewise."""
+    """Parameters by name; windows are arrays (windows, length) of character classes, tags likewise.
 
-    def __init__(self, tags: int, hidden: int = 16, seed: int = 7):
+    Both directions run side by side: their arrays have a leading axis of two, and the second one reads windows backwards.
+    """
+
+    def __init__(self, tags: int, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         small = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
         self.hidden = hidden
-        self.p = {"out": small(2 * hidden, tags), "bias": np.zeros(tags, np.float32), "step": small(tags, tags), "first": np.zeros(tags, np.float32)}
-        for d in "fb":
-            self.p[f"in_{d}"] = small(CLASSES, 4 * hidden)
-            self.p[f"rec_{d}"] = small(hidden, 4 * hidden)
-            self.p[f"in_{d}"][:, hidden : 2 * hidden] += 1  # forget gates begin open
+        self.p = {"out": small(2 * hidden, tags), "bias": np.zeros(tags, np.float32), "step": small(tags, tags), "first": np.zeros(tags, np.float32), "in": small(2, CLASSES, 4 * hidden), "rec": small(2, hidden, 4 * hidden)}
+        self.p["in"][:, :, hidden : 2 * hidden] += 1  # forget gates begin open
 
-    def _pass(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _states(self, x: np.ndarray, saved: list | None = None) -> np.ndarray:
+        """Hidden states (length, windows, 2 * hidden); `saved` takes what gradients need."""
         n, length = x.shape
-        h = c = np.zeros((n, self.hidden), np.float32)
-        out, saved = np.empty((length, n, self.hidden), np.float32), []
-        k = self.hidden
-        for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            z = self.p[f"in_{d}"][x[:, t]] + h @ self.p[f"rec_{d}"]
-            i, f, o, g = _sigmoid(z[:, :k]), _sigmoid(z[:, k : 2 * k]), _sigmoid(z[:, 2 * k : 3 * k]), np.tanh(z[:, 3 * k :])
-            before, c = c, f * c + i * g
-            if keep:
-                saved.append((t, h, before, i, f, o, g, np.tanh(c)))
-            h = o * np.tanh(c)
-            out[t] = h
-        return out, saved
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Scores (length, windows, tags)."""
-        return np.concatenate((self._pass(x, "f", False)[0], self._pass(x, "b", False)[0]), axis=2) @ self.p["out"] + self.p["bias"]
+        k, enter = self.hidden, self.p["in"]
+        h = c = np.zeros((2, n, k), np.float32)
+        out = np.empty((length, n, 2 * k), np.float32)
+        for t in range(length):
+            z = np.stack((enter[0][x[:, t]], enter[1][x[:, length - 1 - t]])) + h @ self.p["rec"]
+            gates, a = _sigmoid(z[:, :, : 3 * k]), np.tanh(z[:, :, 3 * k :])
+            before, old = c, h
+            c = gates[:, :, k : 2 * k] * c + gates[:, :, :k] * a
+            tc = np.tanh(c)
+            h = gates[:, :, 2 * k :] * tc
+            out[t, :, :k], out[length - 1 - t, :, k:] = h[0], h[1]
+            if saved is not None:
+                saved.append((old, before, gates, a, tc))
+        return out
+
+    def _chain(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward over scores (length, windows, tags): the probability of each tag at each place, that of each pair of tags summed over all places, and the logarithm of the sum over all taggings."""
+        length = len(e)
+        top = e.max(axis=2)
+        w, step = np.exp(e - top[:, :, None]), np.exp(self.p["step"].astype(np.float64))
+        alpha, beta, scale = np.empty_like(w), np.ones_like(w), np.empty_like(top)
+        reach = w[0] * np.exp(self.p["first"])
+        for t in range(length):
+            if t:
+                reach = (alpha[t - 1] @ step) * w[t]
+            scale[t] = reach.sum(axis=1)
+            alpha[t] = reach / scale[t][:, None]
+        for t in range(length - 2, -1, -1):
+            beta[t] = (w[t + 1] * beta[t + 1] / scale[t + 1][:, None]) @ step.T
+        pairs = step * np.einsum("tni,tnj->ij", alpha[:-1], w[1:] * beta[1:] / scale[1:, :, None])
+        return alpha * beta, pairs, np.log(scale).sum(axis=0) + top.sum(axis=0)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tags and its gradients."""
         n, length = x.shape
-        (hf, sf), (hb, sb) = self._pass(x, "f", True), self._pass(x, "b", True)
-        states = np.concatenate((hf, hb), axis=2)
-        e, step = states @ self.p["out"] + self.p["bias"], self.p["step"]
-        tags = e.shape[2]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + self.p["first"]
-        for t in range(1, length):
-            alpha[t] = _logsum(alpha[t - 1][:, :, None] + step) + e[t]
-        for t in range(length - 2, -1, -1):
-            beta[t] = _logsum((step.T[None] + (e[t + 1] + beta[t + 1])[:, :, None]))
-        total = _logsum1(alpha[-1])
-        rows = np.arange(n)
-        gold = self.p["first"][y[:, 0]] + sum(e[t, rows, y[:, t]] for t in range(length)) + sum(step[y[:, t - 1], y[:, t]] for t in range(1, length))
-        de = np.exp(alpha + beta - total[None, :, None])
-        g = {"first": de[0].sum(axis=0) - np.bincount(y[:, 0], minlength=tags)}
-        gstep = np.zeros_like(step)
-        for t in range(1, length):
-            gstep += np.exp(alpha[t - 1][:, :, None] + step + (e[t] + beta[t])[:, None, :] - total[:, None, None]).sum(axis=0)
-            np.add.at(gstep, (y[:, t - 1], y[:, t]), -1)
-        for t in range(length):
-            de[t, rows, y[:, t]] -= 1
-        g |= {"step": gstep, "out": np.einsum("tnh,tny->hy", states, de), "bias": de.sum(axis=(0, 1))}
-        dstates = de @ self.p["out"].T
-        k = self.hidden
-        for d, saved, grad in (("f", sf, dstates[:, :, :k]), ("b", sb, dstates[:, :, k:])):
-            gin, grec = np.zeros_like(self.p[f"in_{d}"]), np.zeros_like(self.p[f"rec_{d}"])
-            dh = dc = np.zeros((n, k), np.float32)
-            for t, h, c, i, f, o, a, tc in reversed(saved):
-                dh = dh + grad[t]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate((dc * a * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - a * a)), axis=1)
-                np.add.at(gin, x[:, t], dz)
-                grec += h.T @ dz
-                dh, dc = dz @ self.p[f"rec_{d}"].T, dc * f
-            g |= {f"in_{d}": gin, f"rec_{d}": grec}
+        saved: list = []
+        states = self._states(x, saved)
+        e, step = (states @ self.p["out"] + self.p["bias"]).astype(np.float64), self.p["step"]
+        tags, k = e.shape[2], self.hidden
+        marginal, pairs, total = self._chain(e)
+        at = y.T
+        gold = self.p["first"][at[0]] + np.take_along_axis(e, at[:, :, None], 2)[:, :, 0].sum(axis=0) + step[at[:-1], at[1:]].sum(axis=0)
+        gstep = pairs.copy()
+        np.add.at(gstep, (at[:-1].ravel(), at[1:].ravel()), -1)
+        de = marginal.copy()
+        np.put_along_axis(de, at[:, :, None], np.take_along_axis(de, at[:, :, None], 2) - 1, 2)
+        first = marginal[0].sum(axis=0) - np.bincount(at[0], minlength=tags)
+        de = de.astype(np.float32)
+        g = {"first": first, "step": gstep, "out": np.einsum("tnh,tny->hy", states, de), "bias": de.sum(axis=(0, 1))}
+        back = de @ self.p["out"].T
+        gin, grec = np.zeros_like(self.p["in"]), np.zeros_like(self.p["rec"])
+        turned, each = self.p["rec"].transpose(0, 2, 1), np.arange(CLASSES)
+        dh = dc = np.zeros((2, n, k), np.float32)
+        for t in range(length - 1, -1, -1):
+            old, before, gates, a, tc = saved[t]
+            i, f, o = gates[:, :, :k], gates[:, :, k : 2 * k], gates[:, :, 2 * k :]
+            dh = dh + np.stack((back[t, :, :k], back[length - 1 - t, :, k:]))
+            dc = dc + dh * o * (1 - tc * tc)
+            dz = np.concatenate((dc * a * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - a * a)), axis=2)
+            seen = np.stack((x[:, t], x[:, length - 1 - t]))[:, None, :] == each[None, :, None]
+            gin += seen.astype(np.float32) @ dz
+            grec += old.transpose(0, 2, 1) @ dz
+            dh, dc = dz @ turned, dc * f
+        g |= {"in": gin, "rec": grec}
         return float((total - gold).mean()), {name: (v / n).astype(np.float32) for name, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 11) -> float:
-        """Trains with Adam; the order of windows depends on the seed alone.  Returns the last epoch's mean loss."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 0.015, seed: int = 11) -> float:
+        """Trains with Adam for so many steps, or until nothing is left to learn; the order of windows depends on the seed alone.
+
+        Returns the mean loss of the last steps.
+        """
         rng = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        steps, loss = 0, 0.0
-        for epoch in range(epochs):
-            losses = []
-            for some in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                loss, g = self.gradients(x[some], y[some])
-                losses.append(loss)
-                steps += 1
-                for k, grad in g.items():
-                    grad = np.clip(grad, -1, 1)
-                    m[k] = 0.9 * m[k] + 0.1 * grad
-                    v[k] = 0.999 * v[k] + 0.001 * grad * grad
-                    self.p[k] -= rate * (1 - 0.8 * epoch / epochs) * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.999**steps)) + 1e-8)
-            loss = float(np.mean(losses))
-        return loss
+        m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
+        losses, order = [], np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            while len(order) < min(batch, len(x)):
+                order = np.concatenate((order, rng.permutation(len(x))))
+            some, order = order[:batch], order[batch:]
+            loss, g = self.gradients(x[some], y[some])
+            losses.append(loss)
+            if step > 100 and np.mean(losses[-30:]) < 0.02:
+                break
+            for k, grad in g.items():
+                grad = np.clip(grad, -1, 1)
+                m[k] = 0.9 * m[k] + 0.1 * grad
+                v[k] = 0.999 * v[k] + 0.001 * grad * grad
+                self.p[k] -= rate * (1 - 0.9 * step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        return float(np.mean(losses[-30:]))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags of each window, and at each place the best tag's probability by the emissions alone."""
-        e, step = self.emissions(x), self.p["step"]
+        """The best tags of each window, and at each place the probability of that tag under the whole chain."""
+        e, step = self._states(x) @ self.p["out"] + self.p["bias"], self.p["step"]
         length, n, tags = e.shape
         came = np.empty((length, n, tags), np.int8)
         value = e[0] + self.p["first"]
         for t in range(1, length):
             reach = value[:, :, None] + step
             came[t] = reach.argmax(axis=1)
-            value = reach.max(axis=1) + e[t]
+            value = np.take_along_axis(reach, came[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
         best = np.empty((n, length), np.int8)
         best[:, -1] = value.argmax(axis=1)
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             best[:, t - 1] = came[t, rows, best[:, t]]
-        soft = np.exp(e - e.max(axis=2, keepdims=True))
-        soft /= soft.sum(axis=2, keepdims=True)
-        return best, np.take_along_axis(soft, best.T[:, :, None].astype(np.int64), axis=2)[:, :, 0].T
-
-
-def _logsum(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1)
-    return top + np.log(np.exp(a - top[:, None, :]).sum(axis=1))
-
-
-def _logsum1(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1)
-    return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
+        sure = np.ones((n, length), np.float32)
+        if len(some := np.flatnonzero(best.any(axis=1))):
+            marginal = self._chain(e[:, some].astype(np.float64))[0]
+            sure[some] = np.take_along_axis(marginal, best[some].T[:, :, None].astype(np.int64), 2)[:, :, 0].T
+        return best, sure

@@ -1,9 +1,12 @@
-"""Personal data in texts: patterns, and a character tagger that adds what it learned to see.
+"""Personal data in texts: patterns, and a character tagger that adds what they cannot match.
 
-The tagger is trained on windows around digits and at signs, labelled by the spans that the patterns found in a
-bounded sample.  Each kind of span holds a digit or an at sign, so that only the surroundings of these need windows:
-elsewhere no tag but `none` is possible.  Windows overlap; each place takes the tag of the window it lies most central in,
-the tags of a text are then read as spans, and spans that meet one of the patterns are dropped.
+The tagger is trained on windows of a bounded sample, labelled by the spans that the patterns found there, as they are and
+respelled: "jo at example dot com", cards with other separators or next to each other, phones without a plus sign,
+addresses with brackets around their dots.  Windows that hold a failed match of a pattern are not shown to it.
+
+Windows lie around digits, at signs and written-out signs ("[at]", " dot "); text without these, as a name alone or
+a number in words, is never tagged.  Windows overlap; each place takes the tag of the window it lies most
+central in, the tags of a text are then read as spans, checked, and dropped where they meet a span of the patterns.
 """
 
 from __future__ import annotations
@@ -15,33 +18,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .char_tagger import OTHER, PAD, Tagger, class_table
 from .common import map_arrow, slices, small_batches, stage, strings, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: The patterns of the kinds.
-PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-_COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
-TRIGGER = "[0-9@]"
+#: The parts of the kinds' patterns.  None of them is ever tried twice at a place, so that time is linear in the text.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Where the tagger looks.
+TRIGGER = r"[0-9@]|[ (\[](?:dot|DOT)[ )\]]|[(\[](?:at|AT)[)\]]"
 _TRIGGER = re.compile(TRIGGER)
 
-WINDOW = 48
-REACH = 24
+WINDOW = 64
+REACH = 32
 #: Documents that training looks at, about, and windows it uses at most.
 TRAIN_DOCUMENTS = 4000
-TRAIN_WINDOWS = 1500
-EPOCHS = 20
-#: A span of the tagger counts if its tags' mean probability is at least this, and it has so many digits (or an at sign).
-CONFIDENCE = 0.95
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 8}
+TRAIN_WINDOWS = 1800
+#: Respelled copies of each labelled span.
+RESPELLED = 4
+STEPS = 550
+#: A span of the tagger counts if its tags' mean probability is at least this.
+CONFIDENCE = 0.9
 PLACEHOLDER = "<{}>"
 _CLASS = class_table()
 
@@ -63,16 +66,42 @@ def _holds(kind: str, text: str) -> bool:
     return 8 <= len(digits) <= 15 if kind == "phone" else 16 <= len(digits) <= 19 and _luhn(digits)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches: an at sign has one run of characters before it, and at most one domain after it."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield begin, end
+        at = text.find("@", max(at + 1, end))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers each of a run of numbers with single dots between."""
+    for m in _NUMBERS.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        ends = [n.span() for n in re.finditer("[0-9]++", m.group())]
+        for k in range(0, len(ends) - 3, 4):
+            yield m.start() + ends[k][0], m.start() + ends[k + 3][1]
+
+
+def matches(text: str) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of all matches of the patterns by kind, then start, whether they hold or not."""
+    if "@" in text:
+        yield from ((0, a, b) for a, b in _emails(text))
+    yield from ((1, a, b) for a, b in _addresses(text))
+    yield from ((2, *m.span()) for m in _CARD.finditer(text))
+    if "+" in text:
+        yield from ((3, *m.span()) for m in _PHONE.finditer(text))
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the spans that the patterns find, by kind, then start."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text:
-            continue
-        if kind == "phone" and "+" not in text:
-            continue
-        out += [(k, m.start(), m.end()) for m in _COMPILED[kind].finditer(text) if _holds(kind, m.group())]
-    return out
+    return [(k, a, b) for k, a, b in matches(text) if _holds(KINDS[k], text[a:b])]
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -110,10 +139,71 @@ def tags_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return tags
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = TRAIN_DOCUMENTS, windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger | None:
+def respell(kind: str, span: str, rng: np.random.Generator) -> list[tuple[str, str]]:
+    """The span in a spelling that the patterns miss, as pieces (kind or nothing, text)."""
+    pick = lambda *some: some[int(rng.integers(len(some)))]
+    if kind == "email":
+        local, domain = span.rsplit("@", 1)
+        # Not all have a number, or the sample's top-level domain.
+        local, domain = (re.sub("[.0-9]*[0-9]", "", x) or "a" if rng.integers(2) else x for x in (local, domain))
+        domain = domain.rsplit(".", 1)[0] + pick(".com", ".org", ".net", ".de", ".co.uk", ".io")
+        return [(kind, local + pick(" at ", " (at) ", "[at]", " [at] ", "(at)") + domain.replace(".", pick(" dot ", " (dot) ", "[dot]", " [dot] ")))]
+    if kind == "ip":
+        return [(kind, span.replace(".", pick("[.]", "(.)", " . ", "[dot]", " dot ")))]
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "card":
+        if rng.integers(3) == 0:  # two in a row are one match, too long for a card
+            return [(kind, span), ("", " "), (kind, span)]
+        return [(kind, pick(".", "/", "_", " - ", "  ").join(digits[i : i + 4] for i in range(0, len(digits), 4)))]
+    if rng.integers(3) == 0:  # a number behind it that the pattern takes for a part of the phone
+        return [(kind, span), ("", " "), ("ip", ".".join(str(x) for x in rng.integers(0, 256, 4)))]
+    a, b, c = digits[:-7], digits[-7:-4], digits[-4:]
+    return [(kind, pick(f"({a[-3:]}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"{a}/{b}-{c}"))]
+
+
+def _labelled_windows(text: str, spans: list[tuple[int, int, int]], banned: list[tuple[int, int]]) -> Iterator[tuple[int, bytes, bytes]]:
+    """(a kind in it or -1, classes, tags) of the windows of a text that touch no banned stretch."""
+    found, starts = windows_of(text)
+    tags = np.concatenate((tags_of(len(text), spans), np.zeros(WINDOW, np.int8)))
+    stop = np.zeros(len(text) + WINDOW + 1, np.int64)
+    for a, b in banned:
+        stop[a + 1 : b + 1] = 1
+    stop = np.cumsum(stop)
+    for x, s in zip(found, starts.tolist(), strict=True):
+        if stop[s + WINDOW] == stop[s]:
+            y = tags[s : s + WINDOW]
+            yield int(y.max() - 1) // 2 if y.any() else -1, x.tobytes(), y.tobytes()
+
+
+def training_windows(text: str, respelled: int = RESPELLED) -> set[tuple[int, bytes, bytes]]:
+    """The labelled windows of a text: (group, classes, tags); groups are a kind, a kind respelled, or neither."""
+    every = [(k, a, b, _holds(KINDS[k], text[a:b])) for k, a, b in matches(text)]
+    good = [(k, a, b) for k, a, b, holds in every if holds]
+    taken = np.zeros(len(text) + 1, bool)
+    for _, a, b in good:
+        taken[a:b] = True
+    # Long numbers that fail a check may be personal data all the same.
+    unsure = [(a, b) for k, a, b, holds in every if not holds and b - a >= 7 and not taken[a:b].all()]
+    out = set(_labelled_windows(text, good, unsure))
+    for n, (k, a, b) in enumerate(good):
+        rng = np.random.default_rng([n, a, b])
+        for _ in range(respelled):
+            left, right = text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
+            new, spans = left, []
+            for kind, piece in respell(KINDS[k], text[a:b], rng):
+                if kind:
+                    spans.append((KINDS.index(kind), len(new), len(new) + len(piece)))
+                new += piece
+            others = [(x, y) for _, x, y in matches(left)] + [(len(new) + x, len(new) + y) for _, x, y in matches(right)]
+            out |= {(k + len(KINDS), x, y) for g, x, y in _labelled_windows(new + right, spans, others) if g >= 0}
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = TRAIN_DOCUMENTS, windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> Tagger | None:
     """Trains on at most `windows` windows of about `documents` documents with a digit or at sign; None without any.
 
-    Half of the windows, if there are as many, hold a labelled span.
+    A tenth of the windows at most have each kind as it is, as many have it respelled, and the others have none.  Which ones are
+    taken depends on their own hashes alone.
     """
     small_batches(docs.sparkSession)
     usable = docs.where(F.col(text_col).rlike(TRIGGER))
@@ -124,25 +214,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docum
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = set()
-            for text in batch.column(0).to_pylist():
-                found, starts = windows_of(text)
-                tags = np.concatenate((tags_of(len(text), pattern_spans(text)), np.zeros(WINDOW, np.int8)))
-                for x, s in zip(found, starts, strict=True):
-                    rows.add((x.tobytes(), tags[s : s + WINDOW].tobytes()))
-            rows = sorted(rows)
-            yield pa.RecordBatch.from_pydict({"x": pa.array([r[0] for r in rows], pa.binary()), "y": pa.array([r[1] for r in rows], pa.binary())})
-
-    found = stage(map_arrow(chosen.select(F.col(text_col).cast("string").alias("text")), task, "x binary, y binary").distinct(), "training-windows")
-    labelled = F.col("y") != F.lit(bytes(WINDOW))
-    order = F.xxhash64("x", "y"), F.col("x"), F.col("y")
-    rows = found.where(labelled).orderBy(*order).limit(windows // 2).collect() + found.where(~labelled).orderBy(*order).limit(windows // 2).collect()
-    if not rows:
+            rows = sorted({row for text in batch.column(0).to_pylist() for row in training_windows(text)})
+            yield pa.RecordBatch.from_pydict({"g": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.binary()), "y": pa.array([r[2] for r in rows], pa.binary())})
+
+    found = map_arrow(chosen.select(F.col(text_col).cast("string").alias("text")), task, "g int, x binary, y binary").distinct()
+    order = Window.partitionBy("g").orderBy(F.xxhash64("x", "y"), "x", "y")
+    limit = F.when(F.col("g") < 0, windows - 2 * len(KINDS) * (windows // 10)).otherwise(windows // 10)
+    rows = found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= windows) & (F.col("rank") <= limit)).orderBy("g", "rank").collect()  # `windows` rows at most
+    if not any(r["g"] >= 0 for r in rows):
         return None
     x = np.stack([np.frombuffer(r["x"], np.uint8) for r in rows])
     y = np.stack([np.frombuffer(r["y"], np.int8) for r in rows]).astype(np.int64)
     tagger = Tagger(2 * len(KINDS) + 1)
-    tagger.fit(x, y, epochs)
+    tagger.fit(x, y, steps)
     return tagger
 
 
@@ -171,27 +255,36 @@ def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
 
 
 def _read(text: str, place: np.ndarray, tag: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int]]:
-    spans, i = [], 0
-    while i < len(place):
-        if tag[i] % 2 == 1:
-            k, j = int(tag[i] - 1) // 2, i + 1
-            while j < len(place) and place[j] == place[j - 1] + 1 and tag[j] == 2 * k + 2:
-                j += 1
-            a, b = int(place[i]), int(place[j - 1]) + 1
-            digits = sum("0" <= c <= "9" for c in text[a:b])
-            if p[i:j].mean() >= CONFIDENCE and digits >= LEAST_DIGITS[KINDS[k]] and (KINDS[k] != "email" or "@" in text[a + 1 : b - 1]):
-                spans.append((k, a, b))
-            i = j
-        else:
-            i += 1
+    """The spans that tags at ascending places tell, as far as they are sure and hold."""
+    spans = []
+    inner = np.append(tag, 0)
+    follows = np.append(np.diff(place) == 1, False)
+    for i in np.flatnonzero(tag % 2 == 1).tolist():
+        k, j = int(tag[i] - 1) // 2, i + 1
+        while inner[j] == 2 * k + 2 and follows[j - 1]:
+            j += 1
+        a, b = int(place[i]), int(place[j - 1]) + 1
+        if p[i:j].mean() >= CONFIDENCE and _plausible(KINDS[k], text[a:b]):
+            spans.append((k, a, b))
     return spans
 
 
+def _plausible(kind: str, text: str) -> bool:
+    """What any spelling of the kind must have."""
+    if kind == "email":
+        return "@" in text[1:-1] or re.search(r"[ (\[]at[ )\]].*\b(?:dot\b|\.)", text, re.I | re.S) is not None
+    numbers = re.findall("[0-9]+", text)
+    digits = "".join(numbers)
+    if kind == "ip":
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    return 8 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and _luhn(digits)
+
+
 def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans; with `redact` the input's columns, spans replaced by the kind's name.
 
     The counts are those of the patterns' spans, as base_sha256 is; `spans` holds the tagger's as well.  Null texts
-    are empty (and stay null when redacted).  Ids may be null or repeat; other columns are ignored, or kept with `redact`.
+    are empty (and stay null when redacted); time is linear in a text's length, whatever it holds.  Ids may be null or repeat; other columns are ignored, or kept with `redact`.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tagger)  # a few thousand numbers
