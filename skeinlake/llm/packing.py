@@ -111,14 +111,15 @@ def _packer(size: int, level: int, last: bool):
 def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` from 1 to `size`.
 
-    Full pieces are sequences of their own.  All columns are kept, nulls in them do not matter, and
-    equal rows are packed apart.  Each round packs groups of about `group` pieces in parallel; the pieces
+    Full pieces are sequences of their own.  All columns are kept but earlier ones of these two names, nulls in them
+    do not matter, and equal rows are packed apart.  Each round packs groups of about `group` pieces in parallel; the pieces
     of sequences with too large a gap go on to the next round.  The last round, whose sequences stay as they are,
     has one group, or closes less than LEAST_CLOSED of its pieces, or is number MOST_ROUNDS.
     """
     spark = pieces.sparkSession
-    names = pieces.columns
-    pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    row = F.monotonically_increasing_id().alias("_row")
+    pieces = stage(pieces.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(names)), F.col("length").cast("long").alias("length"), row), "pieces")
     full = pieces.where(F.col("length") == size).select("_row", F.lit(0).alias("_round"), F.lit(0).alias("_group"), F.col("_row").alias("_sequence"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < size).select("_row", "length")
     n, level, done = rest.count(), 1, [full]
@@ -141,7 +142,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group: int = GROUP_PIEC
     # One integer: full pieces have their row number, others a negative number of round, group and place in the group,
     # which has room for 15 rounds, 2^32 groups and 2^26 sequences in a group.
     number = F.when(F.col("_round") == 0, F.col("_sequence")).otherwise(-((F.col("_round").cast("long") * (1 << 32) + F.col("_group")) * (1 << 26) + F.col("_sequence")) - 1)
-    return pieces.join(placed.select("_row", "offset", number.alias("sequence_id")), "_row").select(*names, "sequence_id", "offset")
+    return pieces.join(placed.select("_row", "offset", number.alias("sequence_id")), "_row").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
