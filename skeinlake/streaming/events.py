@@ -6,12 +6,13 @@ it is repeated, and the newest row of each key is the result.  No table passes t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream of Parquet files with the schema that the files have; times without a zone are UTC's."""
@@ -20,8 +21,7 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run(rows: DataFrame, mode: str = "update") -> DataFrame:
