@@ -48,6 +48,8 @@ class Pieces:
         self.of_byte = np.array([next(i for i in range(count) if byte[i] and self.bytes[i][0] == b) for b in range(256)], np.uint32)
         self.score = np.array([model.get_score(i) for i in range(count)], np.float64)
         own = [i for i in range(count) if not special[i] and not byte[i]]
+        if any(self.score[i] != int(self.score[i]) for i in own):
+            raise ValueError("scores that are no ranks of merges: this is not a BPE model")
         self.ids = np.array(own, np.int64)
         self.length = np.array([len(text[i]) for i in own], np.int64)
         self.longest = int(self.length.max())
@@ -187,6 +189,26 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     return [frame[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
+def independent_parts(chunk: str, pieces: Pieces, step: int = INDEXED_CHARACTERS) -> list[str]:
+    """A long chunk, cut wherever no occurrence of a piece reaches over: no merge can either.
+
+    Occurrences are looked up in overlapping stretches, so that only a mark for each character is held.
+    """
+    crossed = np.zeros(len(chunk), bool)
+    for begin in range(0, len(chunk), step):
+        text = chunk[begin : begin + step + pieces.longest]
+        _, _, edge = edges_of([text], pieces)
+        change = np.zeros(len(text) + 2, np.int64)
+        place, length = np.nonzero(edge[: min(step, len(text)), 2:] >= 0)
+        np.add.at(change, place, 1)
+        np.add.at(change, np.minimum(place + length + 1, len(text)), -1)
+        crossed[begin : begin + len(text)] |= np.cumsum(change)[: len(text)] > 0
+    cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist()]
+    if cuts[-1] != len(chunk):
+        cuts.append(len(chunk))
+    return [chunk[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 _CHUNK = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
 
@@ -215,6 +237,24 @@ def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.chunked_array(parts, pa.large_string()).combine_chunks(), counts
 
 
+def _encode_parts(chunks: list[str], pieces: Pieces) -> list[bytes]:
+    """The ids of each chunk; a chunk that is too long to be indexed at once goes by its independent parts."""
+    if max(map(len, chunks)) <= INDEXED_CHARACTERS:
+        return encode_chunks(chunks, pieces)
+    out = []
+    for chunk in chunks:
+        parts, ids, at = independent_parts(chunk, pieces) if len(chunk) > INDEXED_CHARACTERS else [chunk], [], 0
+        while at < len(parts):
+            size, n = 0, 0
+            while at + n < len(parts) and (n == 0 or size < INDEXED_CHARACTERS):
+                size += len(parts[at + n]) + 1
+                n += 1
+            ids += encode_chunks(parts[at : at + n], pieces)
+            at += n
+        out.append(b"".join(ids))
+    return out
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts in a row, and the offsets at which each text's ids begin."""
     pieces, kept = _loaded(path)
@@ -232,9 +272,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             n += 1
         some, missing = missing[:n], missing[n:]
         # A mark of ours inside a chunk would cut it: such chunks are encoded by their parts.
-        clean = [distinct[i] for i in some]
-        parts = [x.split("\0") for x in clean]
-        got = encode_chunks([y for x in parts for y in x], pieces)
+        parts = [distinct[i].split("\0") for i in some]
+        got = _encode_parts([y for x in parts for y in x], pieces)
         zero, at = ids_frame(pieces.of_byte[:1]), 0
         for i, x in zip(some, parts, strict=True):
             found[i] = ids = zero.join(got[at : at + len(x)])
@@ -259,7 +298,8 @@ def decode(ids: np.ndarray, path: str) -> str:
 def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256 (of the ids decoded again), round_trip and, if asked for, the ids.
 
-    Null texts are empty and have no pieces.  Ids may be null or repeat; other columns are ignored.
+    Null texts are empty and have no pieces.  Ids may be null or repeat; other columns are ignored.  Very long runs without
+    a blank are cut where no piece reaches over; only a run without such a place, as of one letter, is held whole.
     """
     small_batches(docs.sparkSession)
 
