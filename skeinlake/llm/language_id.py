@@ -167,12 +167,12 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     order = order[lengths[order] > 0]
     begin, length = offsets[:-1][order], lengths[order]
     active = len(length) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")
-    came = np.zeros(scores.shape, np.int8)
-    best = np.zeros(len(scores), np.int8)
+    came = np.zeros(scores.shape, np.int16)
+    best = np.zeros(len(scores), np.int16)
     if not len(order):
         return best
     value = scores[begin].copy()
-    every = np.arange(scores.shape[1], dtype=np.int8)
+    every = np.arange(scores.shape[1], dtype=np.int16)
     for t in range(1, len(active)):
         k = active[t]
         now = value[:k]
@@ -180,7 +180,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         switched = now[np.arange(k), top][:, None] - penalty
         at = begin[:k] + t
         leave = switched > now
-        came[at] = np.where(leave, top[:, None].astype(np.int8), every)
+        came[at] = np.where(leave, top[:, None].astype(np.int16), every)
         value[:k] = np.where(leave, switched, now) + scores[at]
     state = value.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
@@ -195,7 +195,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, n_spans and, if asked for, the spans (lang, first word, word after the last).
 
-    The prediction is the language with most letters (ties: the first by name), the score its share of the letters.
+    The prediction is the language with most characters in words with letters (ties: the first by name), the score its share of them.
     A text that is null or has no letter is `und` with score 0 and no span, as all are if no language was
     learned.  Words without letters stand with their neighbours.  Ids may be null or repeat; other columns are ignored.
     """
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             n, many = batch.num_rows, len(model.languages)
             letters = np.zeros((n, many + 1), np.int64)
             spans = np.zeros(0, np.int64)
-            label = np.zeros(len(codes), np.int8)
+            label = np.zeros(len(codes), np.int16)
             if len(codes) and many:
                 words = _Words(distinct)
                 label = viterbi(model.word_scores(words)[codes], offsets, penalty)
