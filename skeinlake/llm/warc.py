@@ -27,7 +27,6 @@ LEVEL = 4
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 HEADERS = "path string, begin long, size long, record_type string, page_id long, record_id string, url string, payload_bytes long, payload_digest string, content_key string"
 
@@ -70,7 +69,7 @@ def parse(stream) -> Iterator[tuple[dict, bytes]]:
 
 
 def http_parts(block: bytes) -> tuple[int, bytes]:
-    """Content-Length as the HTTP head states it, and the payload after the head."""
+    """Content-Length as the HTTP head states it (else the payload's), and the payload after the head; a block without a head has none."""
     head, _, payload = block.partition(b"\r\n\r\n")
     length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     return length, payload
@@ -114,7 +113,7 @@ def write_archives(pages: DataFrame, date: str, id_col: str = "page_id", url_col
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
                 digest, key = digest_of(payload), hashlib.sha256(payload).hexdigest()
-                record_id = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {url}')}>"
+                record_id = f"<urn:uuid:{uuid.uuid4()}>"  # repeated rows are records of their own
                 place = archives.add(record("response", record_id, url or "", date, digest, page_id, payload, len(payload)))
                 rows.append((*place, "response", page_id, record_id, url, len(payload), digest, key))
             yield _batch(rows)
@@ -124,6 +123,56 @@ def write_archives(pages: DataFrame, date: str, id_col: str = "page_id", url_col
     return stage(chosen.mapInArrow(task, HEADERS), "warc-headers")
 
 
+def scan_archives(paths: DataFrame) -> DataFrame:
+    """Headers and places of the records in existing archives (`path`), for `resolve_revisits`.
+
+    Archives must have a gzip member for each record.  A revisit that was written without payload gets the content key of
+    the one payload that responses with its digest have; where there are none, or several, its key is null and it stays as it is.
+    Records of other types are left out.  Absent page ids and addresses are null.
+    """
+    count = paths.count()
+
+    def members(raw) -> Iterator[tuple[int, int, bytes]]:
+        at, begin, rest = 0, 0, b""
+        while True:
+            out, unpack = [], zlib.decompressobj(31)
+            while not unpack.eof:
+                if not rest:
+                    rest = raw.read(1 << 20)
+                    if not rest:
+                        return
+                    at += len(rest)
+                out.append(unpack.decompress(rest))
+                rest = unpack.unused_data
+            yield begin, at - len(rest) - begin, b"".join(out)
+            begin = at - len(rest)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                rows = []
+                with files.open_file(path) as raw:
+                    for begin, size, data in members(raw):
+                        ((fields, block),) = parse(io.BytesIO(data))
+                        kind = fields["warc-type"]
+                        if kind not in ("response", "revisit"):
+                            continue
+                        length, payload = http_parts(block)
+                        digest = fields.get("warc-payload-digest", "").partition(":")[2] or (digest_of(payload) if kind == "response" else None)
+                        key = hashlib.sha256(payload).hexdigest() if kind == "response" else None
+                        page = fields.get("x-page-id")
+                        rows.append((path, begin, size, kind, int(page) if page else None, fields.get("warc-record-id"), fields.get("warc-target-uri"), len(payload) if kind == "response" else length, digest, key))
+                        if len(rows) == 5000:
+                            yield _batch(rows)
+                            rows = []
+                yield _batch(rows)
+
+    found = stage(paths.select("path").repartition(max(1, min(count, 20_000))).mapInArrow(task, HEADERS), "warc-scanned")
+    known = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.min("content_key").alias("_key"), F.max("content_key").alias("_other")).where("_key = _other")
+    revisits = found.where("record_type = 'revisit'").drop("content_key").join(known, "payload_digest", "left").withColumn("content_key", F.col("_key"))
+    return found.where("record_type = 'response'").unionByName(revisits.select(found.columns))
+
+
 def _batch(rows: list[tuple], kinds: str = HEADERS) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds.split(","))
     types = {"string": pa.string(), "long": pa.int64()}
@@ -151,9 +200,16 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def rewrite_archives(resolved: DataFrame, date: str) -> DataFrame:
-    """Writes the archives anew with fresh headers and without the payloads of revisits; returns their paths."""
+    """Writes the archives anew with fresh headers and without the payloads of revisits; returns their paths.
+
+    Each record gets an id of its own that follows from its old one, so that revisits refer to the new response.
+    """
     spark = resolved.sparkSession
     folder = work_path(spark, "warc-archives")
+    load = uuid.uuid4()
+
+    def fresh(record_id: str) -> str:
+        return f"<urn:uuid:{uuid.uuid5(load, record_id)}>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archives, source, name = _Archives(folder), None, None
@@ -169,8 +225,8 @@ def rewrite_archives(resolved: DataFrame, date: str) -> DataFrame:
                     refers = {"WARC-Profile": IDENTICAL_PAYLOAD}
                     if row["refers_to_record"]:
                         page = row["refers_to"]
-                        refers |= {"WARC-Refers-To": row["refers_to_record"], "WARC-Refers-To-Target-URI": row["refers_to_url"] or "", "X-Refers-To-Page-ID": "" if page is None else str(page)}
-                archives.add(record(row["new_type"], fields["warc-record-id"], row["url"] or "", date, row["payload_digest"], row["page_id"], payload, row["payload_bytes"], refers))
+                        refers |= {"WARC-Refers-To": fresh(row["refers_to_record"]), "WARC-Refers-To-Target-URI": row["refers_to_url"] or "", "X-Refers-To-Page-ID": "" if page is None else str(page)}
+                archives.add(record(row["new_type"], fresh(fields["warc-record-id"]), row["url"] or "", date, row["payload_digest"], row["page_id"], payload, row["payload_bytes"], refers))
                 if archives.at >= ARCHIVE_BYTES:
                     archives.close()
                     yield pa.RecordBatch.from_pydict({"path": [archives.path]})
