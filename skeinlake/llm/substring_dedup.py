@@ -31,7 +31,8 @@ from .common import codes_of, hashes_of, offsets_of, slices, small_batches, stag
 WINDOW_WORDS = 20
 #: Hashes that one task compares.
 TASK_HASHES = 2_000_000
-#: Slices that are stored, sent and answered together.
+#: Bytes of text of a slice, which tasks work on at once, and slices that are stored, sent and answered together.
+SLICE_BYTES = 4 << 20
 CHUNK_SLICES = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -164,7 +165,7 @@ def store(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, writer, sizes = "", None, None, []
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             words, offsets = words_of(strings(batch.column(1)))
             codes, distinct = codes_of(words)
             record = [batch.column(0).to_pylist(), np.diff(offsets), codes.astype(np.int32), distinct.cast(pa.large_string())]
@@ -244,7 +245,7 @@ def find_hits(places: DataFrame, folder: str, block: int, parts: int) -> DataFra
         return pa.table({"name": group.column("name").take(rows), "chunk": group.column("chunk").take(rows), "data": pa.array([b"".join(x) for x in answers.values()], pa.binary())})
 
     cells = places.select("name", "chunk", "n").mapInArrow(probe, _CELLS)
-    return stage(cells.repartition(parts, "part").groupBy("part").applyInArrow(compare, "name string, chunk int, data binary"), "hits")
+    return stage(cells.repartition(2 * parts, "part").groupBy("part").applyInArrow(compare, "name string, chunk int, data binary"), "hits")
 
 
 def _live(data: list[bytes]) -> dict[int, np.ndarray]:
@@ -317,8 +318,8 @@ def find_repeats(hits: DataFrame, folder: str, block: int, window: int, parts: i
         at = pa.array(rows, pa.int64())
         return pa.table({"name": group.column("name").take(at), "chunk": group.column("chunk").take(at), "data": pa.array([b"".join(answers[i]) for i in rows], pa.binary()), "sources": pa.array(table_of, pa.list_(pa.string()))})
 
-    cells = stage(hits.repartition(slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(send, _CELLS), "cells")
-    again = cells.where(F.col("part") >= 0).repartition(parts, "part").groupBy("part").applyInArrow(compare, "name string, chunk int, data binary, sources array<string>")
+    cells = stage(hits.repartition(2 * slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(send, _CELLS), "cells")
+    again = cells.where(F.col("part") >= 0).repartition(2 * parts, "part").groupBy("part").applyInArrow(compare, "name string, chunk int, data binary, sources array<string>")
     return stage(again, "repeats"), cells.where(F.col("part") == _COLLIDED).select("data")
 
 
@@ -373,7 +374,7 @@ def verify(again: DataFrame, folder: str, window: int, slots: int, keep: int) ->
                     bad.update(int(hashes[i]) for i in range(len(hashes)) if own[i : i + window] != asked[i : i + window])
             yield pa.RecordBatch.from_pydict({"data": pa.array([np.array(sorted(bad), "<u8").tobytes()] if bad else [], pa.binary())})
 
-    rows = again.repartition(slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(ask, "name string, slice int, at long, words string")
+    rows = again.repartition(2 * slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(ask, "name string, slice int, at long, words string")
     # By ranges, so that a passage that many documents have is looked up by many tasks.
     rows = stage(rows, "repeated-words").repartitionByRange(slots, "name", "slice", "at", F.xxhash64("words")).sortWithinPartitions("name", "slice", "at", "words")
     return stage(rows.mapInArrow(answer, "data binary"), "collisions")
@@ -396,7 +397,7 @@ def tell_apart(hits: DataFrame, folder: str, block: int, window: int, slots: int
         kinds = (("words", pa.string()), ("id", pa.int64()), ("mixed", pa.int64()), ("name", pa.string()), ("chunk", pa.int32()), ("slice", pa.int32()), ("at", pa.int64()))
         return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds)})
 
-    rows = hits.repartition(slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(task, "words string, id long, mixed long, name string, chunk int, slice int, at long")
+    rows = hits.repartition(2 * slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(task, "words string, id long, mixed long, name string, chunk int, slice int, at long")
     rows = stage(rows, "collided-windows")
     place = F.struct("id", "mixed", "name", "slice", "at")
     firsts = rows.groupBy("words").agg(F.min(place).alias("first"))
@@ -469,7 +470,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for other in rows[1:]:
         every = every.unionByName(other)
     # The rows are small, but each chunk's work is not: their number of tasks is not left to their size.
-    return every.repartition(slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return every.repartition(2 * slots, "name", "chunk").groupBy("name", "chunk").applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
