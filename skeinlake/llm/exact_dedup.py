@@ -34,6 +34,8 @@ STATE_CONF = {
 FILES_PER_BATCH = 2000
 #: Characters of the digest that are the key: all of them.
 DIGEST_CHARS = 64
+#: Keys above this share of the rows, at most its inverse in number, are joined by broadcast.
+HOT_SHARE = 0.001
 #: Bytes of contents that a task keeps while it compares.
 KEPT_BYTES = 32 << 20
 ROWS = "sha string, doc_id long, uid long, points long, file string, at long, size long"
@@ -172,7 +174,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_
         store_texts(docs, contents, id_col, text_col, uid_col).write.mode("overwrite").parquet(digests)
     state = fold_stream(spark, folder, load, chars)
     key = F.substring("sha", 1, chars).alias("key")
-    rows = stage(spark.read.schema(ROWS).parquet(digests).select("*", key).join(state, "key"), "decided")
+    state, rows = stage(state, "state"), spark.read.schema(ROWS).parquet(digests).select("*", key)
+    # Keys with more than a HOT_SHARE of the rows are as few as that allows: they are sent to all tasks, so that no task gets all rows of one.
+    total = state.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(state.where(F.col("n") > HOT_SHARE * total))
+    cold = rows.join(hot.select("key"), "key", "left_anti").join(state.where(F.col("n") <= HOT_SHARE * total), "key")
+    rows = stage(rows.join(hot, "key").unionByName(cold), "decided")
     apart = compare(rows.where("n > 1 AND NOT (file = best.file AND at = best.at)"), contents)
     if exists(spark, known):
         apart = apart.unionByName(spark.read.schema("key string").parquet(known)).distinct()
