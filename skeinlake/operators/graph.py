@@ -51,17 +51,21 @@ def closes_cycle(edges: DataFrame, proposed: DataFrame, hops: int) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """node, level: edges on the longest way to a node without prerequisites, up to `most`."""
-    level = cut(nodes.select("node", F.lit(0).alias("level")))
-    for _ in range(most):
-        below = edges.join(level, edges.dst == level.node).groupBy("src").agg((F.max("level") + 1).alias("up"))
-        before, level = level, cut(level.join(below, level.node == below.src, "left").select("node", F.coalesce("up", F.lit(0)).alias("level")))
-        if before.exceptAll(level).isEmpty():
+    """node, level: edges on the longest way to a node without prerequisites, up to `most`.
+
+    Round k holds the nodes from which a way of k edges leads down: a node's level is the last round that it is in.
+    """
+    frontier = cut(nodes.select("node").distinct())
+    found = frontier.withColumn("level", F.lit(0))
+    for level in range(1, most + 1):
+        frontier = cut(edges.join(frontier, edges.dst == frontier.node, "left_semi").select(F.col("src").alias("node")).distinct())
+        if frontier.isEmpty():
             break
-    return level
+        found = found.unionByName(frontier.withColumn("level", F.lit(level)))
+    return found.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def shortest(edges: DataFrame, start: int, hops: int) -> DataFrame:
     """node, distance over undirected edges from one start."""
     spark = edges.sparkSession
-    return reach(undirected(edges), spark.createDataFrame([(start,)], "node int"), hops).select("node", F.col("depth").alias("distance"))
+    return reach(undirected(edges), spark.createDataFrame([(start,)], "node long"), hops).select("node", F.col("depth").alias("distance"))

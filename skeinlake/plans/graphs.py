@@ -10,7 +10,7 @@ from .projection import CONCEPTS_SQL, PREREQUISITES_SQL, concepts, prerequisites
 from .registry import query
 
 #: Hops that reach every concept from every other.
-FAR = 15
+FAR = 30
 _WITH = f"WITH RECURSIVE {CONCEPTS_SQL}, {PREREQUISITES_SQL}"
 
 
@@ -22,46 +22,46 @@ c AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2)"""
 
 @query(_closure_sql("src>dst", 5) + " SELECT * FROM c WHERE depth > 0")
 def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(prerequisites(spark), concepts(spark), 5).where("depth > 0")
+    return graph.reach(prerequisites(spark, sf_dir), concepts(spark, sf_dir), 5).where("depth > 0")
 
 
 @query(_closure_sql("dst>src", 3) + " SELECT * FROM c WHERE depth > 0")
 def dependent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(graph.reversed_edges(prerequisites(spark)), concepts(spark), 3).where("depth > 0")
+    return graph.reach(graph.reversed_edges(prerequisites(spark, sf_dir)), concepts(spark, sf_dir), 3).where("depth > 0")
 
 
-@query(f"""{_WITH}, r AS (SELECT [CAST(99 AS INTEGER)] AS path UNION ALL SELECT list_append(path, dst) FROM r JOIN prerequisites ON src = path[-1] WHERE len(path) <= 6 AND NOT list_contains(path, dst))
+@query(f"""{_WITH}, r AS (SELECT [CAST(99 AS BIGINT)] AS path UNION ALL SELECT list_append(path, dst) FROM r JOIN prerequisites ON src = path[-1] WHERE len(path) <= 6 AND NOT list_contains(path, dst))
 SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM r WHERE len(path) > 1""")
 def concept_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.paths(prerequisites(spark), concepts(spark).where("node = 99"), 6)
+    found = graph.paths(prerequisites(spark, sf_dir), concepts(spark, sf_dir).where("node = 99"), 6)
     return found.select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
-@query(_closure_sql("src>dst", FAR) + """, proposed AS (SELECT CAST(node // 3 AS INTEGER) AS src, node AS dst FROM concepts)
+@query(_closure_sql("src>dst", FAR) + """, proposed AS (SELECT node // 3 + 1 AS src, node AS dst FROM concepts)
 SELECT p.src, p.dst, c.start IS NOT NULL AS is_cycle FROM proposed p LEFT JOIN c ON c.start = p.dst AND c.node = p.src""")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proposed = concepts(spark).select(F.floor(F.col("node") / 3).cast("int").alias("src"), F.col("node").alias("dst"))
-    return graph.closes_cycle(prerequisites(spark), proposed, FAR)
+    proposed = concepts(spark, sf_dir).select((F.floor(F.col("node") / 3) + 1).alias("src"), F.col("node").alias("dst"))
+    return graph.closes_cycle(prerequisites(spark, sf_dir), proposed, FAR)
 
 
 @query(f"""{_WITH}, r AS (SELECT node, 0 AS level FROM concepts UNION SELECT src, level + 1 FROM r JOIN prerequisites ON dst = node WHERE level < {FAR}) SELECT node, max(level) AS level FROM r GROUP BY 1""")
 def concept_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.levels(prerequisites(spark), concepts(spark), FAR)
+    return graph.levels(prerequisites(spark, sf_dir), concepts(spark, sf_dir), FAR)
 
 
-@query(f"""{_WITH}, e AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites), r AS (SELECT CAST(77 AS INTEGER) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM r JOIN e ON src = node WHERE distance < 12)
+@query(f"""{_WITH}, e AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites), r AS (SELECT CAST(77 AS BIGINT) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM r JOIN e ON src = node WHERE distance < 12)
 SELECT node, min(distance) AS distance FROM r GROUP BY 1""")
 def shortest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest(prerequisites(spark), 77, 12)
+    return graph.shortest(prerequisites(spark, sf_dir), 77, 12)
 
 
 @query(f"""WITH {PREREQUISITES_SQL}, {CONCEPTS_SQL} SELECT node, (SELECT count(*) FROM prerequisites WHERE src = node) AS requires, (SELECT count(*) FROM prerequisites WHERE dst = node) AS required_by,
   (SELECT count(*) FROM prerequisites WHERE src = node AND strength = 'WEAK') AS weak FROM concepts""")
 def concept_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = prerequisites(spark)
+    edges = prerequisites(spark, sf_dir)
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("requires"), F.count(F.when(F.col("strength") == "WEAK", 1)).alias("weak"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("required_by"))
-    rows = concepts(spark).join(out, "node", "left").join(into, "node", "left")
+    rows = concepts(spark, sf_dir).join(out, "node", "left").join(into, "node", "left")
     return rows.select("node", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("requires", "required_by", "weak")))
 
 
@@ -95,14 +95,16 @@ def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PREREQUISITES_SQL} SELECT strength AS kind, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM prerequisites GROUP BY 1")
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prerequisites(spark).groupBy(F.col("strength").alias("kind")).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    return prerequisites(spark, sf_dir).groupBy(F.col("strength").alias("kind")).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
 
 
 @query(_closure_sql("src>dst", FAR) + f""", lv AS (SELECT node, 0 AS level FROM concepts UNION SELECT p.src, lv.level + 1 FROM lv JOIN prerequisites p ON p.dst = lv.node WHERE lv.level < {FAR}), l AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)
 SELECT c.node, l.level, row_number() OVER (ORDER BY l.level, c.node) AS place, CAST(sum(5) OVER (ORDER BY l.level, c.node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS minutes FROM c JOIN l ON l.node = c.node WHERE c.start = 99""")
 def learning_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that one target needs, prerequisites first, five minutes each; a path has as many rows as one concept has prerequisites."""
-    edges = prerequisites(spark)
-    needed = graph.reach(edges, concepts(spark).where("node = 99"), FAR).select("node").join(graph.levels(edges, concepts(spark), FAR), "node")
+    """All that one target needs, prerequisites first, five minutes each; one concept has few prerequisites, which one task can order."""
+    edges = prerequisites(spark, sf_dir)
+    needed = graph.reach(edges, concepts(spark, sf_dir).where("node = 99"), FAR).select("node")
+    # What a needed concept requires is needed as well: levels follow from these edges alone.
+    needed = graph.levels(edges.join(needed.select(F.col("node").alias("src")), "src", "left_semi"), needed, FAR)
     place = F.row_number().over(Window.orderBy("level", "node")).cast("long")
     return needed.select("node", "level", place.alias("place"), (place * 5).alias("minutes"))

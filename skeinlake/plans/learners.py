@@ -109,7 +109,7 @@ def completion_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = learner_events(spark, sf_dir).where(F.col("status").isin("completed", "mastered")).groupBy("student_id").agg(F.count_distinct("concept_id").alias("done"))
     pace = _velocity(spark, sf_dir).groupBy("student_id").agg(F.avg("concepts").alias("pace")).where("pace > 0")
-    total = concepts(spark).agg(F.count("*").alias("total"))
+    total = concepts(spark, sf_dir).agg(F.count("*").alias("total"))
     return done.join(pace, "student_id").join(F.broadcast(total)).select("student_id", "done", F.round("pace", 6).alias("per_week"), F.ceil((F.col("total") - F.col("done")) / (F.col("pace") / 7)).alias("days_left"))
 
 
@@ -250,10 +250,10 @@ need AS (SELECT src AS concept_id, count(*) AS need FROM prerequisites GROUP BY
 SELECT met.student_id, concept_id, met, need FROM met JOIN need USING (concept_id) WHERE met >= 0.7 * need AND NOT EXISTS (SELECT 1 FROM mastery m WHERE m.student_id = met.student_id AND m.concept_id = met.concept_id)""")
 def new_concepts_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts a learner never studied of whose prerequisites at least seven tenths are known well enough."""
-    known, edges = _mastery(spark, sf_dir), prerequisites(spark)
-    met = known.join(F.broadcast(edges), known.concept_id == edges.dst).groupBy("student_id", F.col("src").alias("concept_id")).agg(F.count(F.when(F.col("mastery") >= 0.56, 1)).alias("met"))
+    known, edges = _mastery(spark, sf_dir), prerequisites(spark, sf_dir)
+    met = known.join(edges, known.concept_id == edges.dst).groupBy("student_id", F.col("src").alias("concept_id")).agg(F.count(F.when(F.col("mastery") >= 0.56, 1)).alias("met"))
     need = edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("need"))
-    ready = met.join(F.broadcast(need), "concept_id").where(F.col("met") >= F.col("need") * F.lit(0.7))
+    ready = met.join(need, "concept_id").where(F.col("met") >= F.col("need") * F.lit(0.7))
     return ready.join(known.select("student_id", "concept_id"), ["student_id", "concept_id"], "left_anti").select("student_id", "concept_id", "met", "need")
 
 
@@ -266,7 +266,7 @@ def roadmap_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = _latest(spark, sf_dir).select("student_id", "concept_id", "status")
     is_done = F.col("status").isin("completed", "mastered")
     done = latest.where(is_done).select("student_id", F.col("concept_id").alias("dst"), F.lit(1).alias("hit"))
-    wanted = latest.where(~is_done).join(F.broadcast(prerequisites(spark)), F.col("concept_id") == F.col("src"), "left")
+    wanted = latest.where(~is_done).join(prerequisites(spark, sf_dir), F.col("concept_id") == F.col("src"), "left")
     counts = wanted.join(done, ["student_id", "dst"], "left").groupBy("student_id", "concept_id").agg(F.count("dst").alias("need"), F.count("hit").alias("met")).where("met = need")
     place = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("need"), "concept_id"))
     return counts.withColumn("place", place.cast("long")).where("place <= 5").select("student_id", "concept_id", "need", "place")

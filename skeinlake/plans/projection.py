@@ -40,23 +40,21 @@ def learner_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Concepts 0 to 99; concept k requires k div 2, and k - 1 if k is divisible by 3.
-CONCEPT_COUNT = 100
-CONCEPTS_SQL = "concepts AS (SELECT CAST(range AS INTEGER) AS node FROM range(0, 100))"
+#: Concepts are parts; concept k requires k div 2, and k div 3 as well if the size of its part is divisible by 3.
+CONCEPTS_SQL = "concepts AS (SELECT p_partkey AS node FROM part)"
 PREREQUISITES_SQL = """prerequisites AS (
-  SELECT CAST(range AS INTEGER) AS src, CAST(range // 2 AS INTEGER) AS dst, 'STRONG' AS strength FROM range(1, 100)
-  UNION SELECT CAST(range AS INTEGER), CAST(range - 1 AS INTEGER), 'WEAK' FROM range(1, 100) WHERE range % 3 = 0 AND range - 1 <> range // 2
+  SELECT p_partkey AS src, p_partkey // 2 AS dst, 'STRONG' AS strength FROM part WHERE p_partkey >= 2
+  UNION ALL SELECT p_partkey, p_partkey // 3, 'WEAK' FROM part WHERE p_partkey >= 4 AND p_size % 3 = 0
 )"""
 
 
-def concepts(spark: SparkSession) -> DataFrame:
-    return spark.range(CONCEPT_COUNT).select(F.col("id").cast("int").alias("node"))
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
 
 
-def prerequisites(spark: SparkSession) -> DataFrame:
+def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (src requires dst, strength)."""
-    k = spark.range(1, CONCEPT_COUNT).select(F.col("id").cast("int").alias("k"))
-    half = F.floor(F.col("k") / 2).cast("int")
-    strong = k.select(F.col("k").alias("src"), half.alias("dst"), F.lit("STRONG").alias("strength"))
-    weak = k.where((F.col("k") % 3 == 0) & (F.col("k") - 1 != half)).select(F.col("k").alias("src"), (F.col("k") - 1).alias("dst"), F.lit("WEAK").alias("strength"))
-    return strong.unionByName(weak)
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), "p_size")
+    kinds = F.array(F.struct(F.lit(2).alias("by"), F.lit("STRONG").alias("strength")), F.struct(F.lit(3).alias("by"), F.lit("WEAK").alias("strength")))
+    edges = rows.withColumn("kind", F.explode(kinds)).where("kind.by = 2 AND src >= 2 OR kind.by = 3 AND src >= 4 AND p_size % 3 = 0")
+    return edges.select("src", F.floor(F.col("src") / F.col("kind.by")).alias("dst"), "kind.strength")
