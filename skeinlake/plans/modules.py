@@ -1,3 +1,3 @@
 """Modules whose import registers queries."""
 
-from . import collections, graphs, learners, relational, streams, structure, texts, vector_search  # noqa: F401
+from . import assessment, collections, graphs, intervals, learners, prose, relational, streams, structure, texts, vector_search  # noqa: F401
