@@ -84,27 +84,27 @@ def _raised(found: DataFrame, chunks: DataFrame, query: list[float], boost: Colu
     return held.select("id", F.round(F.least(F.lit(1.0), score * boost), 6).alias("score"))
 
 
-def contextual(chunks: DataFrame, query: list[float], k: int, current: int | None) -> DataFrame:
+def contextual(chunks: DataFrame, query: list[float], k: int, current: int | None, least: float = LEAST_SCORE) -> DataFrame:
     """The k nearest chunks, raised where they share the section or else the chapter of the current one."""
-    base = nearest(chunks, query, "id", "vector", k, LEAST_SCORE)
+    base = nearest(chunks, query, "id", "vector", k, least)
     own = chunks.where(F.col("id") == F.lit(current)).select(F.col("section").alias("own_section"), F.col("chapter").alias("own_chapter")).limit(1)
     boost = F.when(F.col("section") == F.col("own_section"), 1.3).when(F.col("chapter") == F.col("own_chapter"), 1.15).otherwise(1.0)
     rows = base.join(chunks.select("id", "section", "chapter"), "id").join(F.broadcast(own), F.lit(True), "left")
     return rows.select("id", F.round(F.least(F.lit(1.0), F.col("score") * boost), 6).alias("score"))
 
 
-def conceptual(chunks: DataFrame, mentions: DataFrame, query: list[float], k: int) -> DataFrame:
+def conceptual(chunks: DataFrame, mentions: DataFrame, query: list[float], k: int, least: float = LEAST_SCORE) -> DataFrame:
     """The k / 2 nearest chunks, and as many others that mention two or more concepts of the first five."""
-    base = nearest(chunks, query, "id", "vector", k // 2, LEAST_SCORE)
+    base = nearest(chunks, query, "id", "vector", k // 2, least)
     concepts = mentions.join(base.orderBy(F.desc("score"), "id").limit(5), "id").select("concept").distinct()
     others = mentions.join(concepts, "concept").join(base, "id", "left_anti").groupBy("id").agg(F.countDistinct("concept").alias("n"))
     found = others.where("n >= 2").orderBy(F.desc("n"), "id").limit(k // 2)
     return base.unionByName(_raised(found, chunks, query, 1 + 0.1 * F.col("n")))
 
 
-def learning_path(chunks: DataFrame, steps: DataFrame, query: list[float], k: int, history: list[int]) -> DataFrame:
+def learning_path(chunks: DataFrame, steps: DataFrame, query: list[float], k: int, history: list[int], least: float = LEAST_SCORE) -> DataFrame:
     """The k / 2 nearest chunks, and as many others that lie one to three steps (src, dst) after the last ten of the history."""
-    base = nearest(chunks, query, "id", "vector", k // 2, LEAST_SCORE)
+    base = nearest(chunks, query, "id", "vector", k // 2, least)
     steps = steps.select("src", "dst").distinct()
     reached = steps.where(F.col("src").isin(history[-10:])).select(F.col("src").alias("learned"), F.col("dst").alias("id"))
     every = reached
@@ -115,12 +115,12 @@ def learning_path(chunks: DataFrame, steps: DataFrame, query: list[float], k: in
     return base.unionByName(_raised(others.orderBy(F.desc("n"), "id").limit(k // 2), chunks, query, F.lit(1.2)))
 
 
-def hybrid(chunks: DataFrame, mentions: DataFrame, steps: DataFrame, query: list[float], k: int, current: int | None = None, history: list[int] | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, mentions: DataFrame, steps: DataFrame, query: list[float], k: int, current: int | None = None, history: list[int] | None = None, least: float = LEAST_SCORE) -> DataFrame:
     """id, score and number of lists: the semantic, contextual, conceptual and, with a history, path lists, fused.
 
     Chunks are (id, vector, section, chapter), mentions (id, concept), steps (src, dst).
     """
-    lists = [nearest(chunks, query, "id", "vector", k, LEAST_SCORE), contextual(chunks, query, k, current), conceptual(chunks, mentions, query, k)]
+    lists = [nearest(chunks, query, "id", "vector", k, least), contextual(chunks, query, k, current, least), conceptual(chunks, mentions, query, k, least)]
     if history:
-        lists.append(learning_path(chunks, steps, query, k, history))
+        lists.append(learning_path(chunks, steps, query, k, history, least))
     return fuse(list(zip(lists, WEIGHTS, strict=False)))
