@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import SPACES, exists, free_name, shared_dir, slices, small_batches, stage, strings, table, work_path
+from .common import SPACES, exists, free_name, remove, shared_dir, slices, small_batches, stage, strings, table, work_path
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -167,7 +167,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_
     results that were given before are not revised.  A load that failed is repeated under the same `load` name
     without counting its rows twice.
     """
-    spark = docs.sparkSession
+    spark, lasting = docs.sparkSession, folder is not None
     folder, load = (folder or work_path(spark, "exact-dedup")).rstrip("/"), load or uuid.uuid4().hex
     contents, digests, known = f"{folder}/contents", f"{folder}/digests/load={load}", f"{folder}/collisions"
     if not exists(spark, f"{digests}/_SUCCESS"):
@@ -187,6 +187,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_
     own = (F.col("file") == F.col("best.file")) & (F.col("at") == F.col("best.at"))
     columns = ["uid", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), own.alias("kept"), F.col("sha").alias("text_sha256")]
     if not apart.limit(1).count():
+        if not lasting:  # what is left to read was written elsewhere
+            remove(spark, folder)
         return rows.select(columns)
     apart.write.mode("append").parquet(known)
     # Texts that share a key, of all loads so far: they are grouped by their bytes.
