@@ -69,3 +69,21 @@ def shortest(edges: DataFrame, start: int, hops: int) -> DataFrame:
     """node, distance over undirected edges from one start."""
     spark = edges.sparkSession
     return reach(undirected(edges), spark.createDataFrame([(start,)], "node long"), hops).select("node", F.col("depth").alias("distance"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the least node that undirected edges (src, dst, each in both directions) lead to.
+
+    Each round takes the least label of all neighbours, then the label of that label, so that rounds grow with the logarithm of a
+    component's width.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    labels = cut(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    while True:
+        seen = edges.join(labels, edges.dst == labels.node).groupBy("src").agg(F.min("component").alias("least"))
+        step = labels.join(seen, labels.node == seen.src).select("node", F.least("component", "least").alias("component"), F.col("component").alias("before"))
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        step = cut(step.join(jump, "component", "left").select("node", F.least("component", "next").alias("component"), "before"))
+        if step.where("component <> before").isEmpty():
+            return step.select("node", "component")
+        labels = step.select("node", "component")
