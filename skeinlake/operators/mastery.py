@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +30,18 @@ def sm2(reviews: DataFrame, keys: list[str], order: list[str], performance: str)
     """Spaced-repetition state after all reviews of each key: ease, repetitions, interval_days.
 
     A grade is five times the performance, cut to an integer; ease changes before the test for failure (grade under 3)
-    and is 1.3 at least; intervals are 1, 6, then the last one times ease.  The fold is sequential for each key, so rows are
-    laid out by key and read in order; state is carried from batch to batch, never a whole group in memory.
+    and is 1.3 at least; intervals are 1, 6, then the last one times ease.  The fold is sequential for each key: the
+    reviews of one learner and concept, of which there are few, are an array that the JVM folds.
     """
-    kinds = dict(reviews.dtypes)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False):
-                now = tuple(row[: len(keys)])
-                if now != key:
-                    if key is not None:
-                        done.append((*key, *state))
-                    key, state = now, (2.5, 0, 0)
-                ease, repetitions, interval = state
-                quality = int(row[-1] * 5)
-                ease = max(1.3, ease + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02))
-                if quality < 3:
-                    repetitions, interval = 0, 1
-                else:
-                    interval = 1 if repetitions == 0 else 6 if repetitions == 1 else int(interval * ease)
-                    repetitions += 1
-                state = (ease, repetitions, interval)
-            yield pd.DataFrame(done, columns=[*keys, "ease", "repetitions", "interval_days"])
-        if key is not None:
-            yield pd.DataFrame([(*key, *state)], columns=[*keys, "ease", "repetitions", "interval_days"])
-
-    laid = reviews.where(F.col(performance).isNotNull()).select(*keys, *order, performance).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return laid.mapInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ease double, repetitions long, interval_days long")
+    grade = F.floor(F.col(performance) * 5).cast("int")
+    history = reviews.where(F.col(performance).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, grade.alias("q")))).alias("h"))
+    begin = F.struct(F.lit(2.5).alias("ease"), F.lit(0).cast("long").alias("repetitions"), F.lit(0).cast("long").alias("interval_days"))
+
+    def step(state: Column, review: Column) -> Column:
+        lacking = 5 - review["q"]
+        ease = F.greatest(F.lit(1.3), state["ease"] + 0.1 - lacking * (0.08 + lacking * 0.02))
+        passed, before = review["q"] >= 3, state["repetitions"]
+        interval = F.when(~passed | (before == 0), 1).when(before == 1, 6).otherwise(F.floor(state["interval_days"] * ease)).cast("long")
+        return F.struct(ease.alias("ease"), F.when(passed, before + 1).otherwise(0).cast("long").alias("repetitions"), interval.alias("interval_days"))
+
+    return history.select(*keys, F.aggregate("h", begin, step).alias("s")).select(*keys, "s.ease", "s.repetitions", "s.interval_days")

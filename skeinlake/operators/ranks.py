@@ -1,25 +1,54 @@
-"""Numbers and ranks over whole tables without a single task that sorts them all."""
+"""Numbers, neighbours and percentiles over whole tables or large groups without a single task that sorts them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
 
-def numbered(rows: DataFrame, key: str, name: str, within: str | None = None) -> DataFrame:
-    """Adds `name`: 1, 2, ... in ascending order of a unique `key`, over the whole table or in each value of `within`.
+def numbered(rows: DataFrame, order: str | list[str | Column], name: str, within: str | None = None) -> DataFrame:
+    """Adds `name`: 1, 2, ... in this order, over the whole table or in each value of `within` (null is one of them).
 
     Rows are laid out in ranges of the order and numbered in their own range; what lies before a range is the sum of
-    the counts of earlier ones, of which there are as many as tasks.
+    the counts of earlier ones, of which there are as many as tasks.  A group with most rows is spread over many ranges.
     """
-    order = [within, key] if within else [key]
-    laid = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    groups = ["_part", within] if within else ["_part"]
+    order = [order] if isinstance(order, str) else order
+    lead = [within] if within else []
+    laid = cut(rows.repartitionByRange(*lead, *order).withColumn("_part", F.spark_partition_id()))
+    groups = ["_part", *lead]
     counts = laid.groupBy(*groups).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*([within] if within else [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*groups).orderBy(key))
-    joined = laid.join(counts, groups) if not within else laid.join(counts, (laid["_part"] == counts["_part"]) & laid[within].eqNullSafe(counts[within])).select(laid["*"], "_before")
-    return joined.withColumn(name, own + F.col("_before")).drop("_part", "_before")
+    earlier = Window.partitionBy(*(lead or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_part").alias("_p"), *(F.col(c).alias("_w") for c in lead), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    if within:
+        on = on & F.col(within).eqNullSafe(F.col("_w"))
+    own = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return laid.withColumn("_own", own).join(counts, on).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_p", "_w", "_before")
+
+
+def beside(rows: DataFrame, number: str, steps: int, columns: dict[str, str], within: str | None = None) -> DataFrame:
+    """Adds columns (new name: old one) of the row that is `steps` later in the numbering; null where there is none."""
+    other = rows.select((F.col(number) - steps).alias("_at"), *([F.col(within).alias("_in")] if within else []), *(F.col(old).alias(new) for new, old in columns.items()))
+    on = F.col(number) == F.col("_at")
+    if within:
+        on = on & F.col(within).eqNullSafe(F.col("_in"))
+    return rows.join(other, on, "left").drop("_at", "_in")
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], within: str | None = None) -> DataFrame:
+    """Exact percentiles of the values that are there, between the two nearest; a row, or one for each value of `within`."""
+    lead = [within] if within else []
+    some = numbered(rows.where(F.col(value).isNotNull()).select(*lead, F.col(value).cast("double").alias("_v")), "_v", "_i", within)
+    some = cut(some)
+    sizes = some.groupBy(*lead).agg(F.max("_i").alias("_n"))  # a row for each group
+    on = F.col(within).eqNullSafe(F.col("_g")) if within else F.lit(True)
+    some = some.join(F.broadcast(sizes.select(*(F.col(c).alias("_g") for c in lead), "_n")) if not within else sizes.select(F.col(within).alias("_g"), "_n"), on)
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_n") - 1) * share
+        low = F.max(F.when(F.col("_i") - 1 == F.floor(at), F.col("_v")))
+        high = F.max(F.when(F.col("_i") - 1 == F.ceil(at), F.col("_v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return some.groupBy(*lead).agg(*out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, ranks
 from .projection import CONCEPTS_SQL, PREREQUISITES_SQL, concepts, prerequisites, read
 from .registry import query
 
@@ -67,7 +67,9 @@ def concept_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return chunks.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))).where("next_id IS NOT NULL")
+    # A book may hold most chunks: its sequence is numbered by ranges, and each chunk meets the next number.
+    rows = ranks.numbered(chunks, "doc_id", "place", "source")
+    return ranks.beside(rows, "place", 1, {"next_id": "doc_id"}, "source").where("next_id IS NOT NULL").select("doc_id", "source", "next_id")
 
 
 _NEXT_SQL = "n AS (SELECT * FROM (SELECT doc_id, source, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_id FROM documents) WHERE next_id IS NOT NULL)"

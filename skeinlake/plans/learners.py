@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import islands, mastery, progress, upserts
+from ..operators import islands, mastery, progress, ranks, upserts
+from ..operators.lineage import cut
 from .projection import CONCEPTS_SQL, LEARNER_EVENTS_SQL, PREREQUISITES_SQL, learner_events, prerequisites
 from .registry import query
 
@@ -115,13 +116,17 @@ def completion_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_LATEST_SQL}, u AS (SELECT student_id, count(*) AS n, avg(score) AS s, sum(seconds) AS t FROM latest GROUP BY 1),
 c AS (SELECT median(n) AS median_n, median(s) AS median_s, median(t) AS median_t, avg(s) AS mean_s FROM u)
-SELECT student_id, n AS concepts, round(s, 6) AS avg_score, round(median_n, 6) AS cohort_concepts, round(median_s, 6) AS cohort_score, round(median_t, 4) AS cohort_seconds, round(s / nullif(mean_s, 0), 6) AS ratio FROM u, c""")
+SELECT student_id, n AS concepts, round(s + 1e-10, 6) AS avg_score, round(median_n, 6) AS cohort_concepts, round(median_s + 1e-10, 6) AS cohort_score, round(median_t, 4) AS cohort_seconds, round(s / nullif(mean_s, 0) + 1e-10, 6) AS ratio FROM u, c""")
 def cohort_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _latest(spark, sf_dir).groupBy("student_id").agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.sum("seconds").alias("t"))
-    cohort = users.agg(F.median("n").alias("mn"), F.median("s").alias("ms"), F.median("t").alias("mt"), F.avg("s").alias("mean_s"))
+    users = cut(users)
+    # Each median is one row, and so is the mean.
+    cohort = users.agg(F.avg("s").alias("mean_s"))
+    for column, name in (("n", "mn"), ("s", "ms"), ("t", "mt")):
+        cohort = cohort.join(F.broadcast(ranks.percentiles(users, column, {name: 0.5})))
     return users.join(F.broadcast(cohort)).select(
-        "student_id", F.col("n").alias("concepts"), F.round("s", 6).alias("avg_score"), F.round("mn", 6).alias("cohort_concepts"), F.round("ms", 6).alias("cohort_score"),
-        F.round("mt", 4).alias("cohort_seconds"), F.round(F.try_divide("s", F.nullif("mean_s", F.lit(0.0))), 6).alias("ratio"))
+        "student_id", F.col("n").alias("concepts"), F.round(F.col("s") + 1e-10, 6).alias("avg_score"), F.round("mn", 6).alias("cohort_concepts"), F.round(F.col("ms") + 1e-10, 6).alias("cohort_score"),
+        F.round("mt", 4).alias("cohort_seconds"), F.round(F.try_divide("s", F.nullif("mean_s", F.lit(0.0))) + 1e-10, 6).alias("ratio"))
 
 
 _STREAK_SQL = f"""{_LE}, d AS (SELECT DISTINCT student_id, CAST(ts AS DATE) AS day FROM learner_events),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import upserts
+from ..operators import ranks, upserts
+from ..operators.lineage import cut
 from .projection import LEARNER_EVENTS_SQL, learner_events, read
 from .registry import query
 
@@ -145,9 +146,9 @@ def last_view_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS priority, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.9) AS p90, round(stddev_samp(o_totalprice), 3) AS spread, round(var_pop(o_totalprice) / 1e6, 3) AS variance,
   min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1""")
 def price_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
-        F.percentile(price, 0.5).alias("median"), F.percentile(price, 0.9).alias("p90"), F.round(F.stddev_samp(price), 3).alias("spread"), F.round(F.var_pop(price) / 1e6, 3).alias("variance"), F.min(price).alias("least"), F.max(price).alias("most"))
+    price, orders = F.col("o_totalprice"), read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority")
+    plain = orders.groupBy("priority").agg(F.round(F.stddev_samp(price), 3).alias("spread"), F.round(F.var_pop(price) / 1e6, 3).alias("variance"), F.min(price).alias("least"), F.max(price).alias("most"))
+    return plain.join(ranks.percentiles(orders, "o_totalprice", {"median": 0.5, "p90": 0.9}, "priority"), "priority", "left")
 
 
 @query(f"""WITH {LEARNER_EVENTS_SQL} SELECT student_id, string_agg(CAST(concept_id AS VARCHAR), ',' ORDER BY concept_id) AS concepts FROM (SELECT DISTINCT student_id, concept_id FROM learner_events WHERE status = 'mastered') GROUP BY 1""")
@@ -159,11 +160,19 @@ def mastered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, row_number() OVER w AS n, rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r, dense_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS d, ntile(4) OVER w AS quarter,
   lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value DESC, event_id)""")
 def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    by_value = Window.partitionBy("event_type").orderBy(F.desc("value"))
-    long = lambda c: c.cast("long")
-    return read(spark, sf_dir, "events").select("event_id", long(F.row_number().over(w)).alias("n"), long(F.rank().over(by_value)).alias("r"), long(F.dense_rank().over(by_value)).alias("d"), long(F.ntile(4).over(w)).alias("quarter"),
-        F.lag("event_id").over(w).alias("before"), F.lead("event_id", 2).over(w).alias("after"), F.first("event_id").over(w).alias("first"))
+    """Ranks in five groups that hold all events: rows are numbered by ranges of their order, and all else follows from the numbers."""
+    rows = ranks.numbered(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), [F.desc("value"), "event_id"], "n", "event_type")
+    rows = cut(rows)
+    values = rows.groupBy("event_type", "value").agg(F.min("n").alias("r"))
+    values = ranks.numbered(values, [F.desc("value")], "d", "event_type")
+    sizes = rows.groupBy("event_type").agg(F.max("n").alias("size"), F.max(F.when(F.col("n") == 1, F.col("event_id"))).alias("first"))  # a row for each group
+    rows = ranks.beside(rows, "n", -1, {"before": "event_id"}, "event_type")
+    later = rows.select("event_id", "event_type", "n", "value", "before")
+    rows = ranks.beside(later, "n", 2, {"after": "event_id"}, "event_type").join(values, ["event_type", "value"]).join(sizes, "event_type")
+    n, base, rest = F.col("n"), F.floor(F.col("size") / 4), F.col("size") % 4
+    wide = rest * (base + 1)
+    quarter = F.when(n <= wide, F.floor((n - 1) / (base + 1)) + 1).otherwise(rest + F.floor((n - 1 - wide) / base) + 1)
+    return rows.select("event_id", n.cast("long").alias("n"), F.col("r").cast("long").alias("r"), F.col("d").cast("long").alias("d"), quarter.cast("long").alias("quarter"), "before", "after", "first")
 
 
 @query("""WITH d AS (SELECT user_id AS student_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)

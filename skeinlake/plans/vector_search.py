@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import neighbours
+from ..operators import neighbours, ranks
 from .projection import read
 from .registry import query
 
@@ -74,4 +74,5 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def norm_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("label", vectors.norm(F.col("embedding")).alias("n"))
     five = lambda c, name: F.round(c, 5).alias(name)
-    return rows.groupBy("label").agg(F.count("*").alias("vectors"), five(F.avg("n"), "mean"), five(F.stddev_pop("n"), "spread"), five(F.min("n"), "least"), five(F.max("n"), "most"), five(F.percentile("n", 0.9), "p90"))
+    plain = rows.groupBy("label").agg(F.count("*").alias("vectors"), five(F.avg("n"), "mean"), five(F.stddev_pop("n"), "spread"), five(F.min("n"), "least"), five(F.max("n"), "most"))
+    return plain.join(ranks.percentiles(rows, "n", {"p90": 0.9}, "label"), "label").withColumn("p90", F.round("p90", 5))
