@@ -41,7 +41,6 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], within: s
     """Exact percentiles of the values that are there, between the two nearest; a row, or one for each value of `within`."""
     lead = [within] if within else []
     some = numbered(rows.where(F.col(value).isNotNull()).select(*lead, F.col(value).cast("double").alias("_v")), "_v", "_i", within)
-    some = cut(some)
     sizes = some.groupBy(*lead).agg(F.max("_i").alias("_n"))  # a row for each group
     on = F.col(within).eqNullSafe(F.col("_g")) if within else F.lit(True)
     some = some.join(F.broadcast(sizes.select(*(F.col(c).alias("_g") for c in lead), "_n")) if not within else sizes.select(F.col(within).alias("_g"), "_n"), on)

@@ -120,10 +120,10 @@ SELECT student_id, n AS concepts, round(s + 1e-10, 6) AS avg_score, round(median
 def cohort_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _latest(spark, sf_dir).groupBy("student_id").agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.sum("seconds").alias("t"))
     users = cut(users)
-    # Each median is one row, and so is the mean.
-    cohort = users.agg(F.avg("s").alias("mean_s"))
-    for column, name in (("n", "mn"), ("s", "ms"), ("t", "mt")):
-        cohort = cohort.join(F.broadcast(ranks.percentiles(users, column, {name: 0.5})))
+    # The three medians in one pass over (measure, value) rows; they are one row, as the mean is.
+    values = users.select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value")) for m, c in (("mn", "n"), ("ms", "s"), ("mt", "t"))))).alias("p")).select("p.*")
+    medians = ranks.percentiles(values, "value", {"m": 0.5}, "measure").agg(*(F.max(F.when(F.col("measure") == m, F.col("m"))).alias(m) for m in ("mn", "ms", "mt")))
+    cohort = users.agg(F.avg("s").alias("mean_s")).join(F.broadcast(medians))
     return users.join(F.broadcast(cohort)).select(
         "student_id", F.col("n").alias("concepts"), F.round(F.col("s") + 1e-10, 6).alias("avg_score"), F.round("mn", 6).alias("cohort_concepts"), F.round(F.col("ms") + 1e-10, 6).alias("cohort_score"),
         F.round("mt", 4).alias("cohort_seconds"), F.round(F.try_divide("s", F.nullif("mean_s", F.lit(0.0))) + 1e-10, 6).alias("ratio"))
