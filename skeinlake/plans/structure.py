@@ -11,7 +11,7 @@ from .projection import read
 from .registry import query
 
 BOOKS_SQL = """books AS (SELECT doc_id AS book_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: CASE (i - 1) % 7
-  WHEN 0 THEN 'Chapter ' || ((i - 1) // 7 + 1) || ': Introduction to ' || coalesce(lang, 'nothing') || chr(10) WHEN 1 THEN 'A. First steps' || chr(10) WHEN 2 THEN 'Key Ideas' || chr(10)
+  WHEN 0 THEN 'Chapter ' || ((i - 1) // 7 + 1) || ': Introduction to ' || coalesce(lang, 'nothing') || chr(10) WHEN 1 THEN 'A. First steps' || chr(10) WHEN 2 THEN CASE (i - 1) // 7 % 4 WHEN 0 THEN 'Key Ideas' WHEN 1 THEN 'References' WHEN 2 THEN 'Glossary' ELSE 'Preface' END || chr(10)
   WHEN 3 THEN '1.' || i || ' Worked example' || chr(10) WHEN 4 THEN 'ii. minor point' || chr(10) WHEN 5 THEN 'EXERCISES' || chr(10) ELSE '' END || l), chr(10)) AS text FROM documents)"""
 
 
@@ -22,7 +22,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
         k = F.pmod(i, F.lit(7))
         number = (i + 1).cast("string")
         head = F.when(k == 0, F.concat(F.lit("Chapter "), (F.floor(i / 7) + 1).cast("string"), F.lit(": Introduction to "), F.coalesce("lang", F.lit("nothing")), F.lit("\n")))
-        head = head.when(k == 1, "A. First steps\n").when(k == 2, "Key Ideas\n").when(k == 3, F.concat(F.lit("1."), number, F.lit(" Worked example\n"))).when(k == 4, "ii. minor point\n").when(k == 5, "EXERCISES\n").otherwise("")
+        head = head.when(k == 1, "A. First steps\n").when(k == 2, F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Key Ideas", "References", "Glossary", "Preface"))), (F.floor(i / 7) % 4 + 1).cast("int")), F.lit("\n"))).when(k == 3, F.concat(F.lit("1."), number, F.lit(" Worked example\n"))).when(k == 4, "ii. minor point\n").when(k == 5, "EXERCISES\n").otherwise("")
         return F.concat(head, line)
 
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), headed), "\n").alias("text"))
