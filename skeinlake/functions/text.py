@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that keyword extraction leaves out.
+#: Words that keyword counts over whole languages leave out: our own choice of short English ones.
 STOP_WORDS = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "who", "did", "this", "that", "with", "from", "they", "have", "been", "were", "said", "each"]
 
 
@@ -25,11 +25,6 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), (word_count(text) * 1.3).cast("int"))
 
 
-def unique_ratio(text: Column) -> Column:
-    w = words(F.lower(text))
-    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(w)) / F.size(w))
-
-
 def keywords(text: Column) -> Column:
     """Runs of three or more ASCII letters in lower case, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
