@@ -119,3 +119,65 @@ def search_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = neighbours.conceptual(chunks, mentions, vector, LIMIT, LEAST).select(F.col("id").alias("y"), F.col("score").alias("sb"))
     both = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
     return a.join(b, F.col("x") == F.col("y"), "full").agg(F.count("x").alias("first"), F.count("y").alias("second"), both.alias("common"), F.round(both / F.count("*"), 5).alias("overlap"), F.round(F.avg("sa"), 5).alias("first_mean"), F.round(F.avg("sb"), 5).alias("second_mean"))
+
+
+_CHAIN = """WITH RECURSIVE p AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 4 AND p_size % 3 = 0), r AS (SELECT CAST(99 AS BIGINT) AS node, 0 AS depth UNION SELECT p.dst, depth + 1 FROM r JOIN p ON p.src = r.node WHERE depth < 3)"""
+
+
+@query(f"""{_CHAIN}, c AS (SELECT l_orderkey AS chunk, min(depth) AS path_length, count(DISTINCT node) AS concepts FROM r JOIN lineitem ON l_partkey = node WHERE depth > 0 GROUP BY 1) SELECT chunk, path_length, concepts FROM c ORDER BY path_length, concepts DESC, chunk LIMIT 20""")
+def prerequisite_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that name what a concept requires, those on the shortest way first."""
+    from ..operators import graph
+    from .projection import concepts, prerequisites
+
+    needed = graph.reach(prerequisites(spark, sf_dir), concepts(spark, sf_dir).where("node = 99"), 3).where("depth > 0").groupBy(F.col("node").alias("l_partkey")).agg(F.min("depth").alias("depth"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), "l_partkey").distinct().join(needed, "l_partkey")
+    return rows.groupBy("chunk").agg(F.min("depth").alias("path_length"), F.count("*").alias("concepts")).orderBy("path_length", F.desc("concepts"), "chunk").limit(20)
+
+
+@query(f"WITH {_WORLD_SQL} SELECT id AS chunk, count(DISTINCT learned) AS precedents FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3) WHERE id NOT IN (3, 11, 26, 40) GROUP BY 1")
+def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks one to three steps after what was read, with how many of the read ones lead to each."""
+    _, _, steps = _world(spark, sf_dir)
+    reached = steps.where(F.col("src").isin(HISTORY)).select(F.col("src").alias("learned"), F.col("dst").alias("chunk"))
+    every = reached
+    for _ in range(2):
+        reached = reached.join(steps, F.col("chunk") == F.col("src")).select("learned", F.col("dst").alias("chunk")).distinct()
+        every = every.unionByName(reached)
+    return every.where(~F.col("chunk").isin(HISTORY)).groupBy("chunk").agg(F.count_distinct("learned").alias("precedents"))
+
+
+@query("SELECT source AS book, count(*) - 1 AS chain_length, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links lead from the first chunk of a book to its last: what a walk counts, told by the size of the sequence."""
+    return read(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("book")).agg((F.count("*") - 1).alias("chain_length"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"))
+
+
+@query(f"""WITH {_WORLD_SQL}, v AS (SELECT id, score, 'vector' AS mode FROM sims WHERE score >= 0.7), t AS (SELECT doc_id AS id, round(len(regexp_extract_all(lower(text), ' nicht[ ,.]')) / 10, 6) AS score, 'text' AS mode FROM documents WHERE regexp_matches(lower(text), ' nicht[ ,.]') AND (SELECT count(*) FROM v) < 5)
+SELECT * FROM v UNION ALL SELECT * FROM (FROM t ORDER BY score DESC, id LIMIT 20)""")
+def concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts near a vector; where there are hardly any, texts that hold the word as well, marked by how they were found."""
+    chunks, _, _ = _world(spark, sf_dir)
+    near = neighbours.nearest(chunks, _query_vector(spark, sf_dir), "id", "vector", 1000, 0.7).withColumn("mode", F.lit("vector"))
+    few = near.agg((F.count("*") < 5).alias("few"))  # one row
+    uses = F.regexp_count(F.lower("text"), F.lit(" nicht[ ,.]"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(uses / 10, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(20)
+    return near.unionByName(texts.join(F.broadcast(few)).where("few").select("id", "score", F.lit("text").alias("mode")))
+
+
+@query(f"WITH {_WORLD_SQL} SELECT f.id AS chunk, round(score, 5) AS score, o_orderpriority AS path, o_orderstatus AS status, c_name AS owner FROM (FROM fused ORDER BY score DESC, id LIMIT 10) f JOIN orders ON o_orderkey = f.id JOIN customer ON c_custkey = o_custkey")
+def search_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best results as tickets of a path, with their owners."""
+    top = _fused(spark, sf_dir).orderBy(F.desc("score"), "id").limit(10)
+    tickets = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return top.join(tickets, F.col("id") == F.col("o_orderkey")).select(F.col("id").alias("chunk"), F.round("score", 5).alias("score"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("status"), F.col("c_name").alias("owner"))
+
+
+@query("SELECT o_orderkey AS ticket, o_orderstatus AS status FROM orders WHERE (NULL IS NULL OR o_custkey = NULL) AND ('O' IS NULL OR o_orderstatus = 'O') AND o_orderkey BETWEEN 100 AND 900")
+def tickets_by_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters that may be absent: a filter is only there for those that are given."""
+    given = {"o_custkey": None, "o_orderstatus": "O"}
+    rows = read(spark, sf_dir, "orders").where("o_orderkey BETWEEN 100 AND 900")
+    for column, value in given.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.select(F.col("o_orderkey").alias("ticket"), F.col("o_orderstatus").alias("status"))
