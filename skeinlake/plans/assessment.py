@@ -10,7 +10,7 @@ from ..functions import quality as Q
 from ..functions import vectors as V
 from .projection import read
 from .prose import _KIND
-from .registry import query
+from .registry import query, typed
 
 _V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
@@ -65,15 +65,15 @@ def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("overall", Q.overall({"semantic": F.col("semantic"), "usage": F.col("usage"), "teaching": F.col("teaching"), "kind": F.col("own")}))
 
 
-@query(f"""WITH {_QUALITY} SELECT doc_id, kind, round(semantic, 5) AS semantic, round(usage, 5) AS usage, round(teaching, 5) AS teaching, round(own, 5) AS own, round(overall, 5) AS overall, CASE WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.8 THEN 'B' WHEN overall >= 0.7 THEN 'C' WHEN overall >= 0.6 THEN 'D' ELSE 'F' END AS grade,
-  least(1.0, 0.7 + CASE WHEN regexp_matches(text, '[∫∑∂$=]') AND label % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN {_HAS('definition', 'example', 'exercise')} AND label % 3 = 0 THEN 0.2 ELSE 0 END)::DOUBLE AS model_fit FROM o""")
+@query(typed(f"""WITH {_QUALITY} SELECT doc_id, kind, round(semantic, 5) AS semantic, round(usage, 5) AS usage, round(teaching, 5) AS teaching, round(own, 5) AS own, round(overall, 5) AS overall, CASE WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.8 THEN 'B' WHEN overall >= 0.7 THEN 'C' WHEN overall >= 0.6 THEN 'D' ELSE 'F' END AS grade,
+  round(least(1.0, 0.7 + CASE WHEN regexp_matches(text, '[∫∑∂$=]') AND label % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN {_HAS('definition', 'example', 'exercise')} AND label % 3 = 0 THEN 0.2 ELSE 0 END)::DOUBLE, 4) AS model_fit FROM o""", semantic="DOUBLE", usage="DOUBLE"))
 def chunk_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every score of a chunk, the weighted whole, its grade, and how well the model (its label) suits the content."""
     rows, t = _assessed(spark, sf_dir), F.col("text")
     low = F.lower(t)
     fit = 0.7 + F.when(t.rlike("[∫∑∂$=]") & (F.col("label") % 2 == 0), 0.2).otherwise(0.0) + F.when((low.contains("definition") | low.contains("example") | low.contains("exercise")) & (F.col("label") % 3 == 0), 0.2).otherwise(0.0)
     five = [F.round(c, 5).alias(c) for c in ("semantic", "usage", "teaching", "own", "overall")]
-    return rows.select("doc_id", "kind", *five, Q.grade(F.col("overall")).alias("grade"), F.least(F.lit(1.0), fit).alias("model_fit"))
+    return rows.select("doc_id", "kind", *five, Q.grade(F.col("overall")).alias("grade"), F.round(F.least(F.lit(1.0), fit), 4).alias("model_fit"))
 
 
 @query(f"""WITH {_QUALITY} SELECT label AS model, count(*) AS n, round(avg(overall), 5) AS mean, round(stddev_samp(overall), 4) AS spread, count(*) FILTER (overall >= 0.7) AS high_quality, count(*) FILTER (overall < 0.6) AS low_quality FROM o GROUP BY 1""")

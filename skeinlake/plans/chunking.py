@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prose as P
 from ..operators import chunking
 from .projection import read
-from .registry import query
+from .registry import query, typed
 from .structure import BOOKS_SQL, books
 
 
@@ -20,12 +20,12 @@ def _rows(found: DataFrame, *keys: str) -> DataFrame:
 _PARAGRAPHS = "regexp_replace(text, '([.!?]) ([A-Z])', '\\1' || chr(10) || chr(10) || '\\2', 'g')"
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT doc_id, trim({_PARAGRAPHS}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents WHERE text IS NOT NULL),
+@query(typed(f"""WITH RECURSIVE t AS (SELECT doc_id, trim({_PARAGRAPHS}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ps, text FROM t WHERE text <> ''),
 r AS (SELECT doc_id, 1 AS i, 0 AS chunk, length(ps[1]) AS size FROM p WHERE length(text) > 1500 UNION ALL
   SELECT r.doc_id, i + 1, chunk + CASE WHEN size + length(ps[i + 1]) + 2 > 1500 THEN 1 ELSE 0 END, CASE WHEN size + length(ps[i + 1]) + 2 > 1500 THEN length(ps[i + 1]) ELSE size + length(ps[i + 1]) + 2 END FROM r JOIN p USING (doc_id) WHERE i < len(ps))
 SELECT doc_id, chunk AS chunk_no, min(i) - 1 AS "begin", max(i) AS finish, length(string_agg(ps[i], chr(10) || chr(10) ORDER BY i)) AS characters, md5(string_agg(ps[i], chr(10) || chr(10) ORDER BY i)) AS digest FROM r JOIN p USING (doc_id) GROUP BY 1, 2
-UNION ALL SELECT doc_id, 0, 0, 1, length(text), md5(text) FROM p WHERE length(text) <= 1500""")
+UNION ALL SELECT doc_id, 0, 0, 1, length(text), md5(text) FROM p WHERE length(text) <= 1500""", chunk_no="BIGINT", finish="BIGINT", **{'"begin"': "BIGINT"}))
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs packed in order into chunks of at most 1500 characters."""
     rows = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "([.!?]) ([A-Z])", "$1\n\n$2").alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .projection import read
-from .registry import query
+from .registry import query, typed
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +122,8 @@ def zipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(numbered(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "i"), "i").select("event_id", "learner", "doc_id")
 
 
-@query(f"""WITH {_TAGS_SQL}, r AS (SELECT ticket, len(concepts) AS n, sum(len(concepts)) OVER (PARTITION BY ticket % 50 ORDER BY ticket) AS total FROM tags)
-SELECT ticket % 50 AS segment, ticket, CASE WHEN total <= 40 THEN n ELSE 40 - (total - n) END AS taken FROM r WHERE total - n < 40""")
+@query(typed(f"""WITH {_TAGS_SQL}, r AS (SELECT ticket, len(concepts) AS n, sum(len(concepts)) OVER (PARTITION BY ticket % 50 ORDER BY ticket) AS total FROM tags)
+SELECT ticket % 50 AS segment, ticket, CASE WHEN total <= 40 THEN n ELSE 40 - (total - n) END AS taken FROM r WHERE total - n < 40""", taken="BIGINT"))
 def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each segment until the budget of 40 is spent; the last one is cut."""
     rows = _tags(spark, sf_dir).select((F.col("ticket") % 50).alias("segment"), "ticket", F.size("concepts").cast("long").alias("n"))

@@ -9,7 +9,7 @@ from ..operators import filtering
 from ..operators import structure as elements
 from ..operators.filtering import APPENDIX, CITATION, ESSENTIAL, ESSENTIAL_TITLE, LEADER, PREFATORY, TITLED
 from .prose import _chunk_clean_sql
-from .registry import query
+from .registry import query, typed
 from .structure import _HIERARCHY, ELEMENTS_SQL, books
 
 _HIT = lambda c, p: f"regexp_matches({c}, '{p}')"
@@ -43,20 +43,20 @@ fw AS (SELECT fs.*, text AS whole, CASE WHEN txt = '' THEN 1 WHEN length(txt) /
 fq AS (SELECT *, length(kept) / length(whole) AS ratio FROM fw), fr AS (SELECT *, greatest(0.0, least(1.0, 0.8 + CASE WHEN ratio BETWEEN 0.5 AND 0.9 THEN 0.1 WHEN ratio < 0.3 THEN -0.3 WHEN ratio > 0.95 THEN -0.1 ELSE 0 END - warned * 0.1 + CASE WHEN prefatory_removed > 0 OR appendix_removed > 0 THEN 0.1 ELSE 0 END + CASE WHEN core_retained > 0 THEN 0.1 ELSE 0 END)) AS filtering FROM fq)"""
 
 
-@query(f"WITH {_FILTERED} SELECT book_id, md5(kept) AS digest, units, prefatory_removed, appendix_removed, core_retained, round(ratio, 5) AS ratio, warned AS warnings, round(filtering, 5) AS quality FROM fr")
+@query(typed(f"WITH {_FILTERED} SELECT book_id, md5(kept) AS digest, units, prefatory_removed, appendix_removed, core_retained, round(ratio, 5) AS ratio, warned AS warnings, round(filtering, 5) AS quality FROM fr", quality="DOUBLE"))
 def filtered_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content of each book with what was left out and how good the filter was."""
     found = filtering.filtered(books(spark, sf_dir), _stays(spark, sf_dir))
     return found.select("book_id", F.md5("text").alias("digest"), "units", "prefatory_removed", "appendix_removed", "core_retained", F.round("ratio", 5).alias("ratio"), "warnings", F.round("quality", 5).alias("quality"))
 
 
-@query(f"""WITH {_FILTERED}, {_HIERARCHY}, cl AS (SELECT book_id, text, {_chunk_clean_sql(5)} AS c FROM books), cq AS (SELECT book_id, CASE WHEN c = '' THEN 0 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN length(c) / length(text) < 0.5 THEN 0.3 WHEN length(c) / length(text) < 0.8 THEN 0.1 ELSE 0 END
+@query(typed(f"""WITH {_FILTERED}, {_HIERARCHY}, cl AS (SELECT book_id, text, {_chunk_clean_sql(5)} AS c FROM books), cq AS (SELECT book_id, CASE WHEN c = '' THEN 0 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN length(c) / length(text) < 0.5 THEN 0.3 WHEN length(c) / length(text) < 0.8 THEN 0.1 ELSE 0 END
   + CASE WHEN len(regexp_extract_all(c, '[.!?]+')) * 100 / len(regexp_extract_all(c, '[^\\x20\\x09-\\x0D]+')) BETWEEN 5 AND 20 THEN 0.1 ELSE 0 END + CASE WHEN contains(c, chr(10) || chr(10)) THEN 0.05 ELSE 0 END)) END AS cleaning FROM cl),
 pm AS (SELECT book_id, chapters, sections, below, depth, confidence, consistency, quality, ratio, cleaning, 0.225 + 0.2 * cleaning + 0.3 * quality + 0.25 * filtering AS overall FROM h JOIN fr USING (book_id) JOIN cq USING (book_id))
 SELECT book_id, round(overall, 5) AS overall, round(least(1.0, 0.5 + CASE WHEN chapters >= 3 THEN 0.2 WHEN chapters > 0 THEN 0.1 ELSE 0 END + CASE WHEN sections > 0 THEN 0.1 ELSE 0 END + CASE WHEN depth > 0 THEN 0.1 ELSE 0 END + 0.1 * consistency), 5) AS validity,
   round(CASE WHEN chapters + below = 0 THEN 0 ELSE least(1.0, least(1.0, (chapters + below) / 10) + CASE WHEN depth > 1 THEN 0.1 ELSE 0 END) END, 5) AS completeness, round(greatest(0.0, least(1.0, 0.5 + 0.3 * cleaning + 0.2 * confidence)), 5) AS coherence,
   round(least(1.0, 0.6 + CASE WHEN chapters >= 3 THEN 0.2 ELSE 0 END + CASE WHEN sections > 0 AND sections / greatest(1, chapters) BETWEEN 1 AND 10 THEN 0.1 ELSE 0 END + CASE WHEN ratio > 0.6 THEN 0.1 ELSE 0 END), 5) AS value, ratio >= 0.5 AS retained, quality >= 0.5 AS coherent,
-  CASE WHEN overall < 0.7 THEN 'validation_failed' WHEN chapters < 3 OR quality < 0.3 OR (chapters > 0 AND (sections / chapters < 0.5 OR sections / chapters > 20)) OR consistency < 0.5 THEN 'partial_success' ELSE 'success' END AS status FROM pm""")
+  CASE WHEN overall < 0.7 THEN 'validation_failed' WHEN chapters < 3 OR quality < 0.3 OR (chapters > 0 AND (sections / chapters < 0.5 OR sections / chapters > 20)) OR consistency < 0.5 THEN 'partial_success' ELSE 'success' END AS status FROM pm""", value="DOUBLE"))
 def book_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning, structure and filter of each book in one row of metrics, and its status."""
     found = filtering.pipeline(books(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import intervals
 from .projection import read
-from .registry import query
+from .registry import query, typed
 
 
 def _stays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def intervals_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("inside"))
 
 
-@query(f"""WITH {_STAYS_SQL}, o AS (SELECT *, coalesce(max(finish) OVER (PARTITION BY book ORDER BY "begin", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -100) AS before FROM i WHERE id % 60 = 0), g AS (SELECT *, sum(CAST("begin" > before + 2 AS INT)) OVER (PARTITION BY book ORDER BY "begin", id) AS island FROM o)
-SELECT book, island, min("begin") AS "begin", max(finish) AS finish, count(*) AS regions FROM g GROUP BY 1, 2""")
+@query(typed(f"""WITH {_STAYS_SQL}, o AS (SELECT *, coalesce(max(finish) OVER (PARTITION BY book ORDER BY "begin", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -100) AS before FROM i WHERE id % 60 = 0), g AS (SELECT *, sum(CAST("begin" > before + 2 AS INT)) OVER (PARTITION BY book ORDER BY "begin", id) AS island FROM o)
+SELECT book, island, min("begin") AS "begin", max(finish) AS finish, count(*) AS regions FROM g GROUP BY 1, 2""", island="BIGINT"))
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of a book with a gap of at most two joined to one."""
     return intervals.merged(_stays(spark, sf_dir).where("id % 60 = 0"), "book", 2)
@@ -49,8 +49,8 @@ def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) SELECT name, count(*) AS pages, min(page_id) AS first_page FROM pages JOIN w ON contains(lower(html), lower(name)) GROUP BY 1""")
 def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A substring join: all names are searched in one reading of each text, the names being few words of a catalogue."""
-    names = [r["name"] for r in read(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct().limit(intervals.MOST_NAMES + 1).collect()]
+    """A substring join: all names are searched in one reading of each text, the names being the words of a catalogue, which the driver holds."""
+    names = [r["name"] for r in read(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct().collect()]
     return intervals.names_in(read(spark, sf_dir, "pages"), "page_id", "html", sorted(names)).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 

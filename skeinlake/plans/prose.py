@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prose as P
 from .projection import read
-from .registry import query
+from .registry import query, typed
 
 _W = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -42,8 +42,8 @@ s4 AS (SELECT doc_id, text, artifacts, maths, {_sub(_sub('t', '([^.!?\n])\n([a-z
 c AS (SELECT doc_id, text, artifacts, maths, array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda p: replace(p, chr(10), ' ')), chr(10) || chr(10)) AS clean FROM s4)"""
 
 
-@query(f"""WITH {_STEPS} SELECT doc_id, length(clean) AS characters, md5(clean) AS digest, artifacts, maths, round(CASE WHEN clean = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN length(clean) / length(text) < 0.5 THEN 0.3 WHEN length(clean) / length(text) < 0.8 THEN 0.1 ELSE 0 END
-  + least(0.2, (artifacts + maths) * 0.01) + CASE WHEN {_COUNT('clean', '[.!?]+')} * 100 / {_COUNT('clean', _W)} BETWEEN 5 AND 20 THEN 0.1 ELSE 0 END + CASE WHEN contains(clean, chr(10) || chr(10)) THEN 0.05 ELSE 0 END)) END, 6) AS quality FROM c""")
+@query(typed(f"""WITH {_STEPS} SELECT doc_id, length(clean) AS characters, md5(clean) AS digest, artifacts, maths, round(CASE WHEN clean = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN length(clean) / length(text) < 0.5 THEN 0.3 WHEN length(clean) / length(text) < 0.8 THEN 0.1 ELSE 0 END
+  + least(0.2, (artifacts + maths) * 0.01) + CASE WHEN {_COUNT('clean', '[.!?]+')} * 100 / {_COUNT('clean', _W)} BETWEEN 5 AND 20 THEN 0.1 ELSE 0 END + CASE WHEN contains(clean, chr(10) || chr(10)) THEN 0.05 ELSE 0 END)) END, 6) AS quality FROM c""", quality="DOUBLE"))
 def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight steps of cleaning and the quality of the outcome."""
     t = F.regexp_replace(F.translate("text", *P.REPLACED), "…", "...")
@@ -104,9 +104,9 @@ q AS (SELECT *, greatest(0.0, least(1.0, 0.8 + size + CASE WHEN kind <> 'text' T
   greatest(0.0, least(1.0, 0.6 + size + CASE WHEN ends = 0 THEN 0 WHEN whole THEN 0.1 ELSE -0.1 END + CASE WHEN ends > 0 AND words / ends BETWEEN 5 AND 25 THEN 0.05 ELSE 0 END)) AS sure_fallback FROM m)"""
 
 
-@query(f"""WITH {_MEASURES} SELECT doc_id, kind, round(greatest(0.0, least(1.0, 0.5 + CASE kind WHEN 'math' THEN 0.2 WHEN 'definition' THEN 0.15 WHEN 'example' THEN -0.1 ELSE 0 END + more + symbols * 0.02)), 6) AS difficulty,
+@query(typed(f"""WITH {_MEASURES} SELECT doc_id, kind, round(greatest(0.0, least(1.0, 0.5 + CASE kind WHEN 'math' THEN 0.2 WHEN 'definition' THEN 0.15 WHEN 'example' THEN -0.1 ELSE 0 END + more + symbols * 0.02)), 6) AS difficulty,
   round(greatest(0.0, least(1.0, 0.4 + CASE kind WHEN 'math' THEN 0.3 WHEN 'definition' THEN 0.2 WHEN 'example' THEN -0.1 ELSE 0 END + more)), 6) AS difficulty_fallback, round(sure, 6) AS sure, round(sure_fallback, 6) AS sure_fallback,
-  round(uniq, 6) AS unique_share, length({_sub('text', f'^{_GAP}|{_GAP}$', '')}) >= 50 AND words >= 5 AND sure >= 0.2 AND (words <= 10 OR uniq >= 0.3) AS is_valid FROM q""")
+  round(uniq, 6) AS unique_share, length({_sub('text', f'^{_GAP}|{_GAP}$', '')}) >= 50 AND words >= 5 AND sure >= 0.2 AND (words <= 10 OR uniq >= 0.3) AS is_valid FROM q""", difficulty="DOUBLE", difficulty_fallback="DOUBLE", sure="DOUBLE", sure_fallback="DOUBLE"))
 def chunk_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, kind = F.col("text"), F.col("kind")
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", P.kind_of_chunk(F.col("text")).alias("kind"))
@@ -173,9 +173,9 @@ def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(q).alias("question"), F.md5(a).alias("answer"), ok.alias("is_valid"))
 
 
-@query(f"""WITH {_TURNS}, r AS (SELECT conv_id, turn, 'SENTENCE_1: ' || left(question, 80) || chr(10) || 'SENTENCE_2: ' || left(answer, 90) || chr(10) || 'SENTENCE_3: no' AS reply FROM t),
+@query(typed(f"""WITH {_TURNS}, r AS (SELECT conv_id, turn, 'SENTENCE_1: ' || left(question, 80) || chr(10) || 'SENTENCE_2: ' || left(answer, 90) || chr(10) || 'SENTENCE_3: no' AS reply FROM t),
 s AS (SELECT conv_id, turn, unnest(regexp_split_to_array(reply, '(?i)SENTENCE_\\d+:')) AS s, unnest(range(len(regexp_split_to_array(reply, '(?i)SENTENCE_\\d+:')))) AS place FROM r),
-k AS (SELECT conv_id, turn, place, trim({_sub('s', _GAP, ' ')}, ' ') AS s FROM s WHERE place > 0) SELECT conv_id, turn, count(*) AS sentences, md5(string_agg(s, ' ' ORDER BY place)) AS digest, sum(length(s)) + count(*) - 1 AS total_length FROM k WHERE length(s) > 20 GROUP BY 1, 2""")
+k AS (SELECT conv_id, turn, place, trim({_sub('s', _GAP, ' ')}, ' ') AS s FROM s WHERE place > 0) SELECT conv_id, turn, count(*) AS sentences, md5(string_agg(s, ' ' ORDER BY place)) AS digest, sum(length(s)) + count(*) - 1 AS total_length FROM k WHERE length(s) > 20 GROUP BY 1, 2""", total_length="BIGINT"))
 def parsed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered sentences of generated text, those of more than 20 characters, joined in order."""
     reply = F.concat(F.lit("SENTENCE_1: "), F.left("question", F.lit(80)), F.lit("\nSENTENCE_2: "), F.left("answer", F.lit(90)), F.lit("\nSENTENCE_3: no"))
@@ -232,10 +232,10 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_count(t, F.lit(P.WORD)).alias("words"), F.regexp_count(t, F.lit("[.!?]+")).alias("sentences"), F.length(t).alias("chars"), (k * 10).alias("begin"), (k * 10 + F.col("n_chars")).alias("finish"))
 
 
-@query(f"""WITH {_META} SELECT doc_id, CASE WHEN difficulty < 0.25 THEN 'beginner' WHEN difficulty < 0.5 THEN 'intermediate' WHEN difficulty < 0.75 THEN 'advanced' ELSE 'expert' END AS level, CASE WHEN difficulty < 0.25 THEN 0.125 WHEN difficulty < 0.5 THEN 0.375 WHEN difficulty < 0.75 THEN 0.625 ELSE 0.875 END AS level_score,
+@query(typed(f"""WITH {_META} SELECT doc_id, CASE WHEN difficulty < 0.25 THEN 'beginner' WHEN difficulty < 0.5 THEN 'intermediate' WHEN difficulty < 0.75 THEN 'advanced' ELSE 'expert' END AS level, CASE WHEN difficulty < 0.25 THEN 0.125 WHEN difficulty < 0.5 THEN 0.375 WHEN difficulty < 0.75 THEN 0.625 ELSE 0.875 END AS level_score,
   round(0.4 * difficulty + 0.3 * (1 - sure) + 0.15 * quality + 0.1 * least(1.0, keywords / 10) + 0.05 * least(1.0, sentences / 20), 6) AS complexity,
   concat_ws(',', CASE WHEN chars > 0 AND abs(finish - begin - chars) > chars * 0.1 THEN 'position' END, CASE WHEN words > 0 AND sentences > 0 AND (words / sentences < 3 OR words / sentences > 50) THEN 'sentences' END, CASE WHEN kind = 'definition' AND difficulty < 0.3 THEN 'definition' END) AS issues,
-  difficulty BETWEEN 0 AND 1 AND sure BETWEEN 0 AND 1 AND quality BETWEEN 0 AND 1 AND begin >= 0 AND finish >= begin AND chars >= 0 AND words >= 0 AND sentences >= 0 AS in_range, '{{"kind":"' || kind || '","words":' || words || '}}' AS json FROM x""")
+  difficulty BETWEEN 0 AND 1 AND sure BETWEEN 0 AND 1 AND quality BETWEEN 0 AND 1 AND begin >= 0 AND finish >= begin AND chars >= 0 AND words >= 0 AND sentences >= 0 AS in_range, '{{"kind":"' || kind || '","words":' || words || '}}' AS json FROM x""", level_score="DOUBLE"))
 def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels, complexity, consistency and ranges of chunks' metadata, and the metadata as JSON."""
     d, s, q = F.col("difficulty"), F.col("sure"), F.col("quality")
@@ -250,7 +250,7 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRIORITY = "CASE kind WHEN 'math' THEN 5 WHEN 'definition' THEN 3 WHEN 'example' THEN 3 ELSE 1 END"
 
 
-@query(f"""WITH {_META} SELECT source, max(difficulty) AS difficulty, round(min(sure), 6) AS sure, min(begin) AS begin, max(finish) AS finish, sum(words) AS words, sum(chars) AS chars, round(avg(quality), 6) AS quality, arg_min(kind, [-({_PRIORITY}), doc_id]) AS kind, count(DISTINCT keywords) AS keywords FROM x WHERE source IS NOT NULL GROUP BY 1""")
+@query(typed(f"""WITH {_META} SELECT source, max(difficulty) AS difficulty, round(min(sure), 6) AS sure, min(begin) AS begin, max(finish) AS finish, sum(words) AS words, sum(chars) AS chars, round(avg(quality), 6) AS quality, arg_min(kind, [-({_PRIORITY}), doc_id]) AS kind, count(DISTINCT keywords) AS keywords FROM x WHERE source IS NOT NULL GROUP BY 1""", words="BIGINT", chars="BIGINT"))
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metadata of a book's chunks in one: most difficult, least sure, widest, and the kind that goes before others."""
     k = F.col("kind")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import upserts
 from .learners import _LATEST_SQL, _latest
 from .projection import LEARNER_EVENTS_SQL, learner_events, read
-from .registry import query
+from .registry import query, typed
 
 _MENTIONS_SQL = "m AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS concept FROM lineitem)"
 
@@ -44,7 +44,7 @@ def concept_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(chunks, "p_partkey", "left").select(F.col("p_partkey").alias("concept"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "chunks", F.coalesce(stored, F.lit("to be generated")).alias("question"))
 
 
-@query("""SELECT source AS book, count(*) AS chunks, sum(n_chars) AS characters, min(lang) AS first_language FROM documents WHERE source IS NOT NULL AND lang = 'en' GROUP BY 1 ORDER BY book LIMIT 10 OFFSET 5""")
+@query(typed("""SELECT source AS book, count(*) AS chunks, sum(n_chars) AS characters, min(lang) AS first_language FROM documents WHERE source IS NOT NULL AND lang = 'en' GROUP BY 1 ORDER BY book LIMIT 10 OFFSET 5""", characters="BIGINT"))
 def book_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the books of one subject."""
     rows = read(spark, sf_dir, "documents").where("source IS NOT NULL AND lang = 'en'").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("characters"), F.min("lang").alias("first_language"))

@@ -20,6 +20,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+def typed(sql: str, **kinds: str) -> str:
+    """The SQL with columns of given types, where its own would be decimals or wider integers."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in kinds.items())}) FROM ({sql})"
+
+
 def registered() -> dict[str, tuple[Query, str | None]]:
     from . import modules  # noqa: F401  importing them registers their queries
 

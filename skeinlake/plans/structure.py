@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as S
 from ..operators import structure
 from .projection import read
-from .registry import query
+from .registry import query, typed
 
 BOOKS_SQL = """books AS (SELECT doc_id AS book_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: CASE (i - 1) % 7
   WHEN 0 THEN 'Chapter ' || ((i - 1) // 7 + 1) || ': Introduction to ' || coalesce(lang, 'nothing') || chr(10) WHEN 1 THEN 'A. First steps' || chr(10) WHEN 2 THEN CASE (i - 1) // 7 % 4 WHEN 0 THEN 'Key Ideas' WHEN 1 THEN 'References' WHEN 2 THEN 'Glossary' ELSE 'Preface' END || chr(10)
@@ -53,13 +53,13 @@ e AS (SELECT book_id, line_no, start, coalesce(lead(start) OVER (PARTITION BY bo
   CASE WHEN coalesce(number, '') = '' THEN 'none' {" ".join(f"WHEN regexp_matches(number, '{p}') THEN '{name}'" for name, p in S.STYLES)} ELSE 'arabic' END AS style FROM rated WHERE found <> 'heading' OR confidence >= 0.3)"""
 
 
-@query(f"WITH {ELEMENTS_SQL} SELECT * FROM e")
+@query(typed(f"WITH {ELEMENTS_SQL} SELECT * FROM e", line_no="INTEGER"))
 def structure_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.elements(books(spark, sf_dir))
 
 
-@query(f"""WITH {ELEMENTS_SQL} SELECT a.book_id, a.line_no, a.kind, a.level, a.start, coalesce((SELECT min(b.start) FROM e b WHERE b.book_id = a.book_id AND b.line_no > a.line_no AND b.level <= a.level), (SELECT max(finish) FROM e b WHERE b.book_id = a.book_id)) AS until,
-  lag(level) OVER w AS level_before, level > lag(level) OVER w + 1 AS jumps, lag(title) OVER w AS title_before FROM e a WINDOW w AS (PARTITION BY book_id ORDER BY line_no)""")
+@query(typed(f"""WITH {ELEMENTS_SQL} SELECT a.book_id, a.line_no, a.kind, a.level, a.start, coalesce((SELECT min(b.start) FROM e b WHERE b.book_id = a.book_id AND b.line_no > a.line_no AND b.level <= a.level), (SELECT max(finish) FROM e b WHERE b.book_id = a.book_id)) AS until,
+  lag(level) OVER w AS level_before, level > lag(level) OVER w + 1 AS jumps, lag(title) OVER w AS title_before FROM e a WINDOW w AS (PARTITION BY book_id ORDER BY line_no)""", line_no="INTEGER"))
 def structure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = structure.elements(books(spark, sf_dir))
     ends = structure.spans(found).select("book_id", "line_no", "start", "until")
@@ -121,8 +121,8 @@ def structure_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.assessment(rows, structure.elements(rows))
 
 
-@query(f"""WITH {ELEMENTS_SQL}, n AS (SELECT book_id, line_no, kind, title, lead(line_no) OVER w AS next_line, lead(kind) OVER w AS next_kind, lead(start) OVER w - finish AS apart FROM e WHERE kind <> 'heading' WINDOW w AS (PARTITION BY book_id ORDER BY line_no))
-SELECT book_id, line_no, next_line, CASE WHEN kind = next_kind THEN 'NEXT' ELSE 'PRECEDES' END AS link FROM n WHERE next_line IS NOT NULL AND apart <= 100""")
+@query(typed(f"""WITH {ELEMENTS_SQL}, n AS (SELECT book_id, line_no, kind, title, lead(line_no) OVER w AS next_line, lead(kind) OVER w AS next_kind, lead(start) OVER w - finish AS apart FROM e WHERE kind <> 'heading' WINDOW w AS (PARTITION BY book_id ORDER BY line_no))
+SELECT book_id, line_no, next_line, CASE WHEN kind = next_kind THEN 'NEXT' ELSE 'PRECEDES' END AS link FROM n WHERE next_line IS NOT NULL AND apart <= 100""", line_no="INTEGER", next_line="INTEGER"))
 def section_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and sections linked to the next one where hardly anything lies between."""
     w = Window.partitionBy("book_id").orderBy("line_no")
