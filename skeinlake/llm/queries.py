@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import op9_exact_dedup
 from .language_id import op7_language_id
 from .line_quality import op6_line_quality
+from .merkle import op13_merkle_manifest
 from .packing import op3_best_fit_packing
 from .personal_data import op5_personal_data
 from .sentence_pieces import op4_sentence_pieces
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
