@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_trie import op12_conversation_trie
 from .exact_dedup import op9_exact_dedup
 from .language_id import op7_language_id
 from .line_quality import op6_line_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
