@@ -83,6 +83,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stage(df: DataFrame) -> None:
+    """Deletes the folder of a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -13,6 +13,7 @@ from .sentence_pieces import op4_sentence_pieces
 from .simhash import op10_simhash
 from .substring_dedup import op2_substring_dedup
 from .token_blocks import op1_token_blocks
+from .url_filter import op11_url_filter
 from .warc import op8_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_url_filter": op11_url_filter,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
