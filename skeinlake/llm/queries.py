@@ -1,4 +1,4 @@
-"""Queries of the training-data operators over the documents and pages tables, and SQL for those that SQL can express."""
+"""Queries of the training-data operators over the documents, pages and conversations tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from .exact_dedup import op9_exact_dedup
 from .language_id import op7_language_id
 from .line_quality import op6_line_quality
 from .merkle import op13_merkle_manifest
+from .oracle import ORACLE_SQL
 from .packing import op3_best_fit_packing
 from .personal_data import op5_personal_data
 from .sentence_pieces import op4_sentence_pieces
@@ -16,6 +17,8 @@ from .token_blocks import op1_token_blocks
 from .url_filter import op11_url_filter
 from .warc import op8_warc
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_substring_dedup": op2_substring_dedup,
@@ -31,16 +34,3 @@ QUERIES = {
     "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-
-ORACLE_SQL = {
-    "op9_exact_dedup": """
-WITH n AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS points
-  FROM documents
-), g AS (
-  SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
-  FROM n
-)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
-""",
-}
