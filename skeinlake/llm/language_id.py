@@ -161,7 +161,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word of several texts; all texts advance together, a word at a time."""
+    """The best language of each word of several texts; all texts advance together, a word at a time.
+
+    Values are kept relative to the best one, so that they do not lose digits however long a text is.
+    """
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
@@ -171,17 +174,16 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     best = np.zeros(len(scores), np.int16)
     if not len(order):
         return best
-    value = scores[begin].copy()
+    value = scores[begin].astype(np.float64)
     every = np.arange(scores.shape[1], dtype=np.int16)
     for t in range(1, len(active)):
         k = active[t]
         now = value[:k]
         top = now.argmax(axis=1)
-        switched = now[np.arange(k), top][:, None] - penalty
+        behind = now - now[np.arange(k), top][:, None]
         at = begin[:k] + t
-        leave = switched > now
-        came[at] = np.where(leave, top[:, None].astype(np.int16), every)
-        value[:k] = np.where(leave, switched, now) + scores[at]
+        came[at] = np.where(behind < -penalty, top[:, None].astype(np.int16), every)
+        value[:k] = np.maximum(behind, -penalty) + scores[at]
     state = value.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import offsets_of, slices, small_batches, stage, strings, table, words_of
+from .common import free_name, offsets_of, slices, small_batches, stage, strings, table, words_of
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -228,13 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each component the row with the smallest id, then the first."""
-    rows = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    found = stage(near_duplicates(rows, id_col, text_col, "_uid"), "near-duplicates")
+    own = free_name(docs, "_uid")
+    rows = stage(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = stage(near_duplicates(rows, id_col, text_col, own), "near-duplicates")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
     # Components of null ids alone have the null id in common with others: their fingerprint tells them apart.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    keep = found.groupBy(group.alias("g")).agg(stays.alias("s")).select(F.col("s.uid").alias("_uid"))
-    return rows.join(found.select(F.col("uid").alias("_uid")).join(keep, "_uid", "left_anti"), "_uid", "left_anti").select(docs.columns)
+    keep = found.groupBy(group.alias("g")).agg(stays.alias("s")).select(F.col("s.uid").alias(own))
+    return rows.join(found.select(F.col("uid").alias(own)).join(keep, own, "left_anti"), own, "left_anti").select(docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 DATA = Path("/root/testdata/sf0.001")
 PASSAGE = " ".join(f"shared{k}" for k in range(60))
-CLASHING = ["uid", "_c0", "kept", "host", "line", "path", "slice", "part", "words", "n_words", "length", "fp", "root", "component_id", "sequence_id", "offset"]
+CLASHING = ["uid", "_c0", "kept", "host", "line", "path", "slice", "part", "words", "n_words", "length", "fp", "root", "component_id", "sequence_id", "offset", "_uid", "_id", "_text", "_host", "_bad", "_row", "_part", "_c1", "_n"]
 ODD_TEXTS = [
     None,
     "",
