@@ -1,8 +1,10 @@
 """Prerequisite graphs: edges are rows (src, dst), src requires dst.
 
-Searches are breadth first, a join for each hop, with distinct frontiers, so that cycles and many
-paths do not multiply rows; the number of hops is a parameter.  Each hop is checkpointed: plans stay small, and a
-lost executor repeats one hop at most.
+Rounds go on until nothing is new; a number of hops is a bound only where a caller gives one.  Before rounds that
+follow edges to any depth, chains are contracted: a node with one edge in and one out is passed over by pointers that double
+their reach each round, so that a chain or a ring of n nodes takes log n rounds.  What is left takes as many rounds as
+its longest way has nodes with several edges.  Each round's rows are written in the shared folder: plans stay small, and a lost
+executor repeats one round at most.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """path (an array of nodes) of each simple path of 1 to `hops` edges from the starts."""
+    """path (an array of nodes) of each simple path of 1 to `hops` edges from the starts.
+
+    For few starts and hops: paths may be as many as edges of a node to the power of the hops.
+    """
     now = starts.select(F.array("node").alias("path"))
     found = None
     for _ in range(hops):
@@ -44,25 +49,191 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def closes_cycle(edges: DataFrame, proposed: DataFrame, hops: int) -> DataFrame:
-    """Proposed edges (src, dst) with is_cycle: whether src can be reached from dst, or is dst."""
-    reached = reach(edges, proposed.select(F.col("dst").alias("node")), hops).select(F.col("start").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("hit"))
-    return proposed.join(reached, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("is_cycle"))
+def _ends(edges: DataFrame) -> DataFrame:
+    """node, at, steps, low: for inner nodes (node, at: the next one), the first node that is not inner, and the least node passed.
+
+    Nodes of a ring of inner nodes alone have no such end: their `at` is null, and `low` is the ring's least node.
+    """
+    now = cut(edges.select("node", "at", F.lit(1).cast("long").alias("steps"), F.col("node").alias("low"), F.lit(False).alias("done")))
+    state = None
+    while True:
+        jump = now.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("low").alias("least"))
+        step = now.join(jump, "at", "left").select("node", F.coalesce("to", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("low", "least").alias("low"), F.col("to").isNull().alias("done"))
+        now = cut(step)
+        # Rounds resolve some of a chain as long as any of it is open; after that, only the least nodes of rings spread.
+        seen = now.agg(F.count(F.when(~F.col("done"), 1)).alias("open"), F.sum(F.when(~F.col("done"), F.xxhash64("node", "low").cast("decimal(38,0)"))).alias("lows")).first()
+        if seen["open"] == 0 or seen == state:
+            return now.select("node", F.when(F.col("done"), F.col("at")).alias("at"), "steps", "low")
+        state = seen
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """node, level: edges on the longest way to a node without prerequisites, up to `most`.
+def contracted(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst, length) between nodes that are no inner ones, and inner nodes: node, head, tail, to_tail, ring.
 
-    Round k holds the nodes from which a way of k edges leads down: a node's level is the last round that it is in.
+    Inner are nodes with one edge in and one out, but those of `keep` (column node).  A chain of inner nodes becomes a link from its head to its
+    tail.  Nodes of a ring of inner nodes alone have neither: `ring` is its least node.  Edges are distinct.
     """
-    frontier = cut(nodes.select("node").distinct())
-    found = frontier.withColumn("level", F.lit(0))
-    for level in range(1, most + 1):
-        frontier = cut(edges.join(frontier, edges.dst == frontier.node, "left_semi").select(F.col("src").alias("node")).distinct())
-        if frontier.isEmpty():
+    edges = edges.select("src", "dst")
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.first("src").alias("before"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.first("dst").alias("after"))
+    inner = into.join(out, "node").where("i = 1 AND o = 1 AND before <> node").select("node", "before", "after")
+    if keep is not None:
+        inner = inner.join(keep.select("node").distinct(), "node", "left_anti")
+    inner = cut(inner)
+    if inner.isEmpty():
+        return edges.withColumn("length", F.lit(1).cast("long")), inner.select("node", F.col("node").alias("head"), F.col("node").alias("tail"), F.lit(1).cast("long").alias("to_tail"), F.col("node").alias("ring"))
+    tails = _ends(inner.select("node", F.col("after").alias("at")))
+    heads = _ends(inner.select("node", F.col("before").alias("at"))).select("node", F.col("at").alias("head"))
+    passed = cut(tails.join(heads, "node").select("node", "head", F.col("at").alias("tail"), F.col("steps").alias("to_tail"), F.when(F.col("at").isNull(), F.col("low")).alias("ring")))
+    first = passed.select(F.col("node").alias("dst"), "tail", "to_tail")
+    links = edges.join(passed.select(F.col("node").alias("src")), "src", "left_anti").join(first, "dst", "left")
+    return cut(links.select("src", F.coalesce("tail", "dst").alias("dst"), (F.coalesce("to_tail", F.lit(0)) + 1).alias("length"))), passed
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that nothing leads to or that lead nowhere, over and over: what is left lies on cycles or between them."""
+    size = edges.count()
+    while size:
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, size = size, edges.count()
+        if size == before:
             break
-        found = found.unionByName(frontier.withColumn("level", F.lit(level)))
-    return found.groupBy("node").agg(F.max("level").alias("level"))
+    return edges
+
+
+def _painted(edges: DataFrame) -> DataFrame:
+    """node, colour: the greatest node from which each one can be reached."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colours = cut(nodes.withColumn("colour", F.col("node")))
+    moved = colours
+    while True:
+        best = edges.join(moved, edges.src == moved.node).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("better"))
+        step = cut(colours.join(best, "node", "left").select("node", F.greatest("colour", "better").alias("colour"), (F.col("better") > F.col("colour")).alias("new")))
+        moved = step.where("new").select("node", "colour")
+        colours = step.select("node", "colour")
+        if moved.isEmpty():
+            return colours
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of the nodes that lie on cycles; others are components of their own.
+
+    Chains are contracted and ends trimmed.  Each round paints all that is left with the greatest node before it; what leads back to
+    that node inside a colour is its component, and goes.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    links, inner = contracted(edges.where("src <> dst"))
+    named = inner.where("ring IS NOT NULL").select("node", F.col("ring").alias("root"))
+    loops = edges.where("src = dst").select("src").unionByName(links.where("src = dst").select("src")).select(F.col("src").alias("node")).distinct()
+    core, found = cut(links.where("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        core = _trimmed(core)
+        if core.isEmpty():
+            break
+        colours = _painted(core)
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias("c_" + end))  # noqa: E731, B023
+        inside = cut(core.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        back = new = cut(colours.where("node = colour").select("node", F.col("colour").alias("root")))
+        while True:
+            step = inside.join(new, inside.dst == new.node).select(F.col("src").alias("node"), "root").distinct()
+            new = cut(step.join(back.select("node"), "node", "left_anti"))
+            if new.isEmpty():
+                break
+            back = back.unionByName(new)
+        back = cut(back)
+        found = back if found is None else found.unionByName(back)
+        gone = back.select("node")
+        core = cut(core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    roots = loops.withColumn("root", F.col("node"))
+    if found is not None:
+        sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+        large = found.join(sizes.where("n > 1"), "root").select("node", "root")
+        roots = large.unionByName(roots.join(large.select("node"), "node", "left_anti"))
+    roots = cut(roots)
+    # A chain between two nodes of a component, or from a node back to itself, belongs to it.
+    ends = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("r_" + end))
+    chains = inner.join(ends("head"), "head").join(ends("tail"), "tail").where("r_head = r_tail").select("node", F.col("r_head").alias("root"))
+    every = cut(roots.unionByName(chains).unionByName(named))
+    return every.join(every.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: all that each start (column node) leads to, itself included."""
+    starts = cut(starts.select("node").distinct())
+    links, inner = contracted(edges.select("src", "dst").distinct(), starts)
+    new = cut(starts.select(F.col("node").alias("start"), "node"))
+    found = new
+    while True:
+        step = new.join(links, new.node == links.src).select("start", F.col("dst").alias("node")).distinct()
+        new = cut(step.join(found, ["start", "node"], "left_anti"))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    return found.unionByName(found.join(inner.select("head", F.col("node").alias("passed")), F.col("node") == F.col("head")).select("start", F.col("passed").alias("node")))
+
+
+def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (begin, goal) whose begin leads to the goal.
+
+    Searches from both sides at once: a pair goes on while both have something new and have not met.
+    """
+    pairs = cut(pairs.select("begin", "goal").distinct())
+    links, _ = contracted(edges.select("src", "dst").distinct(), pairs.select(F.explode(F.array("begin", "goal")).alias("node")))
+    key = ["begin", "goal", "node"]
+    ahead = new_ahead = pairs.withColumn("node", F.col("begin"))
+    behind = new_behind = pairs.withColumn("node", F.col("goal"))
+    met = cut(pairs.where("begin = goal"))
+    while True:
+        new_ahead = cut(new_ahead.join(links, new_ahead.node == links.src).select("begin", "goal", F.col("dst").alias("node")).distinct().join(ahead, key, "left_anti"))
+        met_now = new_ahead.join(behind, key, "left_semi").select("begin", "goal")
+        ahead = ahead.unionByName(new_ahead)
+        new_behind = cut(new_behind.join(links, new_behind.node == links.dst).select("begin", "goal", F.col("src").alias("node")).distinct().join(behind, key, "left_anti"))
+        met_now = met_now.unionByName(new_behind.join(ahead, key, "left_semi").select("begin", "goal"))
+        behind = behind.unionByName(new_behind)
+        met = cut(met.unionByName(met_now).distinct())
+        both = new_ahead.select("begin", "goal").distinct().join(new_behind.select("begin", "goal").distinct(), ["begin", "goal"], "left_semi")
+        both = cut(both.join(met, ["begin", "goal"], "left_anti"))
+        if both.isEmpty():
+            return met
+        new_ahead, new_behind = (x.join(both, ["begin", "goal"], "left_semi").select(*key) for x in (new_ahead, new_behind))
+
+
+def closes_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposed edges (src, dst) with is_cycle: whether dst leads to src already, or is src."""
+    back = connected(edges, proposed.select(F.col("dst").alias("begin"), F.col("src").alias("goal"))).select(F.col("goal").alias("src"), F.col("begin").alias("dst"), F.lit(True).alias("hit"))
+    return proposed.join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("is_cycle"))
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, level, on_cycle: edges on the longest way to a node without prerequisites; nodes of one cycle share a level.
+
+    Components are single nodes here, and edges inside them do not count.  A node's level is known once those of all that it requires
+    are; chains are contracted.
+    """
+    edges = edges.select("src", "dst").distinct()
+    of = cut(strongly_connected(edges))
+    if not of.isEmpty():
+        part = lambda end: of.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
+        edges = edges.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
+        edges = edges.select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct()
+    edges = cut(edges)
+    known = nodes.select("node").distinct().join(of, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.col("component").isNotNull().alias("on_cycle"))
+    links, inner = contracted(edges)
+    every = known.select(F.col("of").alias("node")).unionByName(links.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    every = every.join(inner.select("node"), "node", "left_anti")
+    new = cut(every.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done, partial, pending = new, None, links
+    while not new.isEmpty():
+        hits = pending.join(new, pending.dst == new.node).select(F.col("src").alias("node"), (F.col("level") + F.col("length")).alias("level"))
+        best = (hits if partial is None else partial.unionByName(hits)).groupBy("node").agg(F.max("level").alias("level"))
+        pending = cut(pending.join(new.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "length"))
+        waits = pending.select(F.col("src").alias("node"), F.lit(True).alias("waits")).distinct()
+        best = cut(best.join(waits, "node", "left").select("node", "level", F.coalesce("waits", F.lit(False)).alias("waits")))
+        partial, new = best.where("waits").select("node", "level"), best.where("NOT waits").select("node", "level")
+        done = done.unionByName(new)
+    inner_levels = inner.join(done.withColumnRenamed("node", "tail"), "tail").select("node", (F.col("level") + F.col("to_tail")).alias("level"))
+    found = done.unionByName(inner_levels).withColumnRenamed("node", "of")
+    return known.join(found, "of").select("node", "level", "on_cycle")
 
 
 def shortest(edges: DataFrame, start: int, hops: int) -> DataFrame:

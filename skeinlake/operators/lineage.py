@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only on one machine, where the setting may be missing."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-    return path
+    """The folder that spark.checkpoint.dir names, or the checkpoint folder of the context; a temporary one only on one machine, where both may be missing."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skeinlake-"))
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
+    """The rows as a table in the shared folder: written once, unlike a checkpoint, which computes its rows twice."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

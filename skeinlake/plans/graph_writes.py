@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import exports, graph, neighbours, upserts
-from .graphs import FAR
 from .projection import CONCEPTS_SQL, PREREQUISITES_SQL, concepts, prerequisites, read
 from .registry import query
 
@@ -31,14 +30,14 @@ def chunk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk", "characters", "words", "e.kind", "e.target").where("target IS NOT NULL")
 
 
-@query(f"""WITH RECURSIVE {CONCEPTS_SQL}, {PREREQUISITES_SQL}, r AS (SELECT node AS start, node, 0 AS depth FROM concepts WHERE node % 3 = 0 UNION SELECT r.start, p.dst, r.depth + 1 FROM r JOIN prerequisites p ON p.src = r.node WHERE r.depth < {FAR}),
+@query(f"""WITH RECURSIVE {CONCEPTS_SQL}, {PREREQUISITES_SQL}, r AS (SELECT node AS start, node FROM concepts WHERE node % 3 = 0 UNION SELECT r.start, p.dst FROM r JOIN prerequisites p ON p.src = r.node),
 proposed AS (SELECT node // 4 AS src, node AS dst, node % 7 AS weight FROM concepts WHERE node % 3 = 0)
 SELECT src, dst, CASE WHEN src = dst THEN 'self' WHEN EXISTS (SELECT 1 FROM r WHERE r.start = dst AND r.node = src) THEN 'cycle' WHEN weight = 0 THEN 'weight' ELSE 'ok' END AS outcome FROM proposed""")
 def guarded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that may be added, and why others may not: to themselves, closing a cycle, without weight."""
     nodes = concepts(spark, sf_dir).where("node % 3 = 0")
     proposed = nodes.select(F.floor(F.col("node") / 4).alias("src"), F.col("node").alias("dst"))
-    checked = graph.closes_cycle(prerequisites(spark, sf_dir), proposed, FAR)
+    checked = graph.closes_cycle(prerequisites(spark, sf_dir), proposed)
     outcome = F.when(F.col("src") == F.col("dst"), "self").when(F.col("is_cycle"), "cycle").when(F.col("dst") % 7 == 0, "weight").otherwise("ok")
     return checked.select("src", "dst", outcome.alias("outcome"))
 
@@ -74,7 +73,7 @@ def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges that stay when a concept goes with all that builds on it."""
     edges = prerequisites(spark, sf_dir)
-    gone = graph.reach(graph.reversed_edges(edges), concepts(spark, sf_dir).where("node = 5"), FAR).select("node")
+    gone = graph.reachable(graph.reversed_edges(edges), concepts(spark, sf_dir).where("node = 5")).select("node")
     stays = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
     return stays.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "strength")
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, ranks
+from ..operators.lineage import cut
 from .projection import CONCEPTS_SQL, PREREQUISITES_SQL, concepts, prerequisites, read
 from .registry import query
 
-#: Hops that reach every concept from every other.
-FAR = 30
 _WITH = f"WITH RECURSIVE {CONCEPTS_SQL}, {PREREQUISITES_SQL}"
 
 
@@ -20,6 +19,10 @@ def _closure_sql(edge: str, hops: int) -> str:
 c AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2)"""
 
 
+#: All that each concept requires, at any depth.
+_REACH_SQL = f"{_WITH}, c AS (SELECT node AS start, node FROM concepts UNION SELECT c.start, p.dst FROM c JOIN prerequisites p ON p.src = c.node)"
+
+
 @query(_closure_sql("src>dst", 5) + " SELECT * FROM c WHERE depth > 0")
 def prerequisite_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(prerequisites(spark, sf_dir), concepts(spark, sf_dir), 5).where("depth > 0")
@@ -37,16 +40,17 @@ def concept_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
-@query(_closure_sql("src>dst", FAR) + """, proposed AS (SELECT node // 3 + 1 AS src, node AS dst FROM concepts)
+@query(_REACH_SQL + """, proposed AS (SELECT node // 3 + 1 AS src, node AS dst FROM concepts)
 SELECT p.src, p.dst, c.start IS NOT NULL AS is_cycle FROM proposed p LEFT JOIN c ON c.start = p.dst AND c.node = p.src""")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposed = concepts(spark, sf_dir).select((F.floor(F.col("node") / 3) + 1).alias("src"), F.col("node").alias("dst"))
-    return graph.closes_cycle(prerequisites(spark, sf_dir), proposed, FAR)
+    return graph.closes_cycle(prerequisites(spark, sf_dir), proposed)
 
 
-@query(f"""{_WITH}, r AS (SELECT node, 0 AS level FROM concepts UNION SELECT src, level + 1 FROM r JOIN prerequisites ON dst = node WHERE level < {FAR}) SELECT node, max(level) AS level FROM r GROUP BY 1""")
+@query(f"""{_WITH}, r AS (SELECT node, CAST(0 AS BIGINT) AS level FROM concepts UNION SELECT src, level + 1 FROM r JOIN prerequisites ON dst = node) SELECT node, max(level) AS level, false AS on_cycle FROM r GROUP BY 1""")
 def concept_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.levels(prerequisites(spark, sf_dir), concepts(spark, sf_dir), FAR)
+    """Edges on the longest way down; the concepts of a cycle would share a level and be marked."""
+    return graph.levels(prerequisites(spark, sf_dir), concepts(spark, sf_dir))
 
 
 @query(f"""{_WITH}, e AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites), r AS (SELECT CAST(77 AS BIGINT) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM r JOIN e ON src = node WHERE distance < 12)
@@ -100,13 +104,13 @@ def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prerequisites(spark, sf_dir).groupBy(F.col("strength").alias("kind")).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
 
 
-@query(_closure_sql("src>dst", FAR) + f""", lv AS (SELECT node, 0 AS level FROM concepts UNION SELECT p.src, lv.level + 1 FROM lv JOIN prerequisites p ON p.dst = lv.node WHERE lv.level < {FAR}), l AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)
+@query(_REACH_SQL + f""", lv AS (SELECT node, CAST(0 AS BIGINT) AS level FROM concepts UNION SELECT p.src, lv.level + 1 FROM lv JOIN prerequisites p ON p.dst = lv.node), l AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)
 SELECT c.node, l.level, row_number() OVER (ORDER BY l.level, c.node) AS place, CAST(sum(5) OVER (ORDER BY l.level, c.node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS minutes FROM c JOIN l ON l.node = c.node WHERE c.start = 99""")
 def learning_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that one target needs, prerequisites first, five minutes each; one concept has few prerequisites, which one task can order."""
     edges = prerequisites(spark, sf_dir)
-    needed = graph.reach(edges, concepts(spark, sf_dir).where("node = 99"), FAR).select("node")
+    needed = cut(graph.reachable(edges, concepts(spark, sf_dir).where("node = 99")).select("node"))
     # What a needed concept requires is needed as well: levels follow from these edges alone.
-    needed = graph.levels(edges.join(needed.select(F.col("node").alias("src")), "src", "left_semi"), needed, FAR)
+    needed = graph.levels(edges.join(needed.select(F.col("node").alias("src")), "src", "left_semi"), needed)
     place = F.row_number().over(Window.orderBy("level", "node")).cast("long")
     return needed.select("node", "level", place.alias("place"), (place * 5).alias("minutes"))

@@ -61,7 +61,7 @@ def test_components_and_levels(spark):
         root[y] = x
     assert got == {n: find(n) for n in root}
     down = [(k, k // 2) for k in range(1, 60)] + [(k, k - 1) for k in range(10, 20)]
-    level = {r["node"]: r["level"] for r in graph.levels(spark.createDataFrame(down, "src long, dst long"), spark.range(60).withColumnRenamed("id", "node"), 40).collect()}
+    level = {r["node"]: r["level"] for r in graph.levels(spark.createDataFrame(down, "src long, dst long"), spark.range(60).withColumnRenamed("id", "node")).collect()}
     want = {0: 0}
     for k in range(1, 60):
         want[k] = 1 + max(want[d] for s, d in down if s == k)
