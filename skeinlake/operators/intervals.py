@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Names that one pattern may hold; beyond it, names are searched in several readings.
 MOST_NAMES = 2000
 
@@ -22,16 +25,29 @@ def contain_points(intervals: DataFrame, points: DataFrame, key: str, width: int
     return spread.join(placed, [key, "_bucket"]).where("at >= begin AND at < finish").drop("_bucket")
 
 
-def merged(intervals: DataFrame, key: str, gap: int) -> DataFrame:
-    """key, island, begin, finish, regions: intervals of a key with at most `gap` between them as one.
+def merged(intervals: DataFrame, key: str, gap: int, sums: dict[str, Column] | None = None) -> DataFrame:
+    """key, island, begin, finish, regions and sums: intervals of a key (null is one) with at most `gap` between them as one.
 
-    A window by key: for keys that hold most rows, split them before.
+    Intervals of one begin are counted first.  The others are laid out in ranges of key and begin, so that a key with most rows lies in many; a
+    range takes over the greatest finish and the number of islands of the key's earlier ranges, of which there is a row each.
     """
-    order = Window.partitionBy(key).orderBy("begin", "id")
-    before = F.max("finish").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.withColumn("_new", F.coalesce((F.col("begin") > before + gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("_new").over(order))
-    return rows.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.count("*").alias("regions"))
+    sums = {"regions": F.count("*")} | (sums or {})
+    rows = intervals.where("begin IS NOT NULL AND finish IS NOT NULL").groupBy(key, "begin").agg(F.max("finish").alias("finish"), *(c.alias(n) for n, c in sums.items()))
+    rows = cut(rows.repartitionByRange(key, "begin").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part", key).orderBy("begin")
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: Column, fold: Callable[[str], Column]) -> DataFrame:
+        """Adds _over, the fold of a value over the key's earlier ranges; null in its first one."""
+        each = rows.groupBy("_part", key).agg(value.alias("_value"))
+        each = each.select(F.col("_part").alias("_p"), F.col(key).alias("_k"), fold("_value").over(earlier).alias("_over"))
+        return rows.join(each, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))).drop("_p", "_k")
+
+    rows = carried(rows, F.max("finish"), F.max)
+    last = F.greatest(F.max("finish").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.col("_over"))
+    rows = cut(rows.withColumn("_new", F.coalesce((F.col("begin") > last + gap).cast("int"), F.lit(1))).drop("_over"))
+    rows = carried(rows, F.sum("_new"), F.sum).withColumn("island", F.sum("_new").over(before) + F.coalesce("_over", F.lit(0)))
+    return rows.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), *(F.sum(n).alias(n) for n in sums))
 
 
 def names_in(rows: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:

@@ -15,9 +15,12 @@ from ..operators.lineage import shared_folder
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream of Parquet files with the schema that the files have; times without a zone are UTC's."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream of a Parquet file, or of all files of a folder, with the schema that they have; times without a zone are UTC's."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        rows, path = rows.option("pathGlobFilter", place.getName()), place.getParent().toString()
+    return rows.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark: SparkSession) -> str:

@@ -1,7 +1,13 @@
-"""Sessions of a key as keyed state: events no further apart than a gap; each event renews the time that a session stays open."""
+"""Sessions of a key: events no further apart than a gap, whatever order and batches they come in.
+
+The state of a key and day is a list of intervals of time.  An event extends an interval, joins two, or begins one;
+intervals that go are written once more as removed.  What is left at the end is joined over the days: sessions of a key with most of
+the events are spread over as many states as it has days.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,35 +15,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.intervals import merged
 from .events import newest, run
 
-SESSION = "key long, start timestamp, finish timestamp, events long"
+_STATE = "starts array<long>, finishes array<long>, counts array<long>"
+_ROW = "key long, start long, finish long, events long, removed boolean"
+#: Microseconds of a state's stretch of time.
+STRETCH = 86_400_000_000
+
+
+def absorb(starts: list[int], finishes: list[int], counts: list[int], times: list[int], gap: int) -> tuple[set[int], set[int]]:
+    """Puts ascending times into ascending intervals that lie further apart than the gap; starts that changed, and starts that went."""
+    changed, gone = set(), set()
+    for t in times:
+        k = bisect_left(starts, t)  # intervals before k begin earlier
+        before = k > 0 and t - finishes[k - 1] <= gap
+        after = k < len(starts) and starts[k] - t <= gap
+        if before and after:
+            finishes[k - 1], counts[k - 1] = max(finishes[k - 1], finishes[k], t), counts[k - 1] + counts[k] + 1
+            gone.add(starts[k])
+            del starts[k], finishes[k], counts[k]
+            changed.add(starts[k - 1])
+        elif before:
+            finishes[k - 1], counts[k - 1] = max(finishes[k - 1], t), counts[k - 1] + 1
+            changed.add(starts[k - 1])
+        elif after:
+            if starts[k] != t:
+                gone.add(starts[k])
+            starts[k], counts[k] = t, counts[k] + 1
+            changed.add(t)
+        else:
+            starts.insert(k, t)
+            finishes.insert(k, t)
+            counts.insert(k, 1)
+            changed.add(t)
+    return changed & set(starts), gone - set(starts)
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     """key, start, finish, events of all sessions of a stream with a column `ts`, the open ones as far as they go.
 
-    The state of a key is its open session alone.  Events of one batch are put in order of time; one that comes in a later batch than
-    a younger one extends or opens a session from its own time on.  Null keys are left out.
+    The result is that of one batch of all events.  Events without a key or a time are left out; repeated rows are events of their own.
     """
+    gap = gap_seconds * 1_000_000
 
     def fold(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = pd.concat([b["ts"] for b in batches]).sort_values().astype("int64").to_numpy() // 1000
-        start, finish, n = state.get if state.exists else (None, None, 0)
-        out = []
-        for t in times.tolist():
-            if finish is not None and t - finish > gap_seconds * 1_000_000:
-                out.append((start, finish, n))
-                start, finish, n = None, None, 0
-            start, finish, n = (t, t, 1) if start is None else (min(start, t), max(finish, t), n + 1)
-        state.update((start, finish, n))
-        out.append((start, finish, n))
-        frame = pd.DataFrame(out, columns=["start", "finish", "events"])
-        for c in ("start", "finish"):
-            frame[c] = pd.to_datetime(frame[c], unit="us")
-        frame.insert(0, "key", own[0])
-        yield frame
-
-    rows = events.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), "ts")
-    rows = rows.groupBy("key").applyInPandasWithState(fold, SESSION, "start long, finish long, events long", "update", GroupStateTimeout.NoTimeout)
-    return newest(run(rows), ["key", "start"])
+        times = pd.concat([b["t"] for b in batches]).sort_values().tolist()
+        starts, finishes, counts = (list(x) for x in state.get) if state.exists else ([], [], [])
+        changed, gone = absorb(starts, finishes, counts, times, gap)
+        state.update((starts, finishes, counts))
+        rows = [(own[0], s, finishes[k := bisect_left(starts, s)], counts[k], False) for s in sorted(changed)] + [(own[0], s, s, 0, True) for s in sorted(gone)]
+        yield pd.DataFrame(rows, columns=["key", "start", "finish", "events", "removed"])
+
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("long").alias("key"), t.alias("t"), F.floor(t / STRETCH).alias("stretch"))
+    rows = rows.groupBy("key", "stretch").applyInPandasWithState(fold, _ROW, _STATE, "update", GroupStateTimeout.NoTimeout)
+    parts = newest(run(rows), ["key", "start"]).where("NOT removed").select("key", F.col("start").alias("begin"), "finish", "events")
+    found = merged(parts, "key", gap, {"events": F.sum("events")})
+    return found.select("key", F.timestamp_micros("begin").alias("start"), F.timestamp_micros("finish").alias("finish"), "events")

@@ -8,6 +8,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from skeinlake.operators import exports, graph, intervals, mastery, ranks
 from skeinlake.streaming.sessions import sessions
 
@@ -107,3 +109,23 @@ def test_spaced_repetition(spark):
 def test_csv_keeps_odd_texts(spark):
     rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, ""), (4, None), (5, "back\\slash")]
     assert sorted(map(tuple, exports.csv(spark.createDataFrame(rows, "id int, t string")).collect())) == rows
+
+
+def test_merged_intervals_over_ranges(spark):
+    """A key with most intervals, null keys, equal begins, more ranges than keys."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), b := rng.randrange(3000), b + rng.randrange(6)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "book string, begin long, finish long").repartition(5)
+    got = sorted((r["book"] or "", r["begin"], r["finish"], r["regions"], r["length"]) for r in intervals.merged(df, "book", 2, {"length": F.sum(F.col("finish") - F.col("begin"))}).collect())
+    want = []
+    for book in ("hot", "cold", None):
+        islands = []
+        for _, b, f in sorted((r for r in rows if r[0] == book), key=lambda r: r[1:]):
+            if islands and b <= islands[-1][1] + 2:
+                a, c, n, size = islands[-1]
+                islands[-1] = (a, max(c, f), n + 1, size + f - b)
+            else:
+                islands.append((b, f, 1, f - b))
+        want += [(book or "", *i) for i in islands]
+    assert got == sorted(want)
+    assert intervals.merged(df.where("begin < 0"), "book", 2).collect() == []
