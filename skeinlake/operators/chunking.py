@@ -23,16 +23,103 @@ ABBREVIATIONS = frozenset("dr mr mrs ms prof vs etc ie eg cf fig eq eqn sec ch v
 #: Target, least and most characters of a chunk and overlap, by sentences and by structure.
 BY_SENTENCES = (1000, 300, 1500, 200)
 BY_STRUCTURE = (1250, 300, 1500, 150)
-#: No formula is sought further than this.
-AHEAD = 200
-_FORMULAS = [re.compile(p) for p in (r"\$[^$]+\$", rf"\\[a-zA-Z]+\{{[^}}]{{0,{AHEAD}}}\}}", r"[∑∏∫∮∂∇][^.!?]*")]
-_MATH = [
-    re.compile(p, re.I | re.S)
-    for p in (
-        r"\$[^$]+\$", rf"\\begin\{{(equation|align|eqnarray)\}}.{{0,{10 * AHEAD}}}?\\end\{{\1\}}", r"[∑∏∫∮∂∇][\w\s()]+", r"[α-ωΑ-Ω][\w\s]*", rf"\b\d+\s*[+\-*/=]\s*\d+.{{0,{AHEAD}}}?=.{{0,{AHEAD}}}?\d+", rf"[fx]\([^)]{{1,{AHEAD}}}\)\s*=\s*[^,.\n]+",
-        rf"\\frac\{{[^}}]{{1,{AHEAD}}}\}}\{{[^}}]{{1,{AHEAD}}}\}}", r"[xy][\d²³⁴]+\s*[+\-]\s*[xy]?[\d²³⁴]*",
-    )
-]
+#: Formulas that one pattern tells.  What has a begin and an end is found by `_opened`, in linear time however far apart they are.
+_IN_SENTENCES = [
+    re.compile(r"\$[^$]+\$"),
+    re.compile(r"[∑∏∫∮∂∇][^.!?]*"),
+]
+_IN_STRUCTURE = [
+    re.compile(r"\$[^$]+\$", re.I),
+    re.compile(r"[∑∏∫∮∂∇][\w\s()]+", re.I),
+    re.compile(r"[α-ωΑ-Ω][\w\s]*", re.I),
+    re.compile(r"[xy][\d²³⁴]+\s*[+\-]\s*[xy]?[\d²³⁴]*", re.I),
+]
+#: How commands, environments, fractions, equations of numbers and of functions begin.
+_COMMAND = re.compile(r"\\[a-zA-Z]+\{")
+_ENVIRONMENT = re.compile(r"\\begin\{(equation|align|eqnarray)\}", re.I)
+_FRACTION = re.compile(r"\\frac\{", re.I)
+_NUMBERS = re.compile(r"\b\d+\s*[+\-*/=]\s*\d+")
+_FUNCTION = re.compile(r"[fx]\(", re.I)
+_VALUE, _DIGITS = re.compile(r"\s*=\s*[^,.\n]+"), re.compile(r"\d+")
+
+
+class _Marks:
+    """Finds marks in a text from rising places; each stretch of the text is read once for a mark."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known = text, {}
+
+    def find(self, mark: str | re.Pattern, at: int) -> int:
+        """The end of the next such mark, or -1."""
+        begin, place, end = self.known.get(mark, (1, 0, 0))
+        if not begin <= at <= place:
+            if isinstance(mark, str):
+                place = self.text.find(mark, at)
+                end = place + len(mark)
+            else:
+                m = mark.search(self.text, at)
+                place, end = m.span() if m else (-1, -1)
+            place, end = (place, end) if place >= 0 else (len(self.text) + 1, -1)
+            self.known[mark] = (at, place, end)
+        return end
+
+
+def _opened(text: str, opener: re.Pattern, close: Callable[[re.Match], int]) -> Iterator[tuple[int, int]]:
+    """Spans from an opener to where `close` says that they end; it says -1 if they do not."""
+    at = 0
+    while m := opener.search(text, at):
+        end = close(m)
+        if end >= 0:
+            yield m.start(), end
+        at = end if end >= 0 else m.start() + 1
+
+
+def _commands(text: str, marks: _Marks) -> Iterator[tuple[int, int]]:
+    return _opened(text, _COMMAND, lambda m: marks.find("}", m.end()))
+
+
+def _environments(text: str, marks: _Marks) -> Iterator[tuple[int, int]]:
+    return _opened(text, _ENVIRONMENT, lambda m: marks.find("\\end{" + m.group(1) + "}", m.end()))
+
+
+def _fractions(text: str, marks: _Marks) -> Iterator[tuple[int, int]]:
+    def close(m: re.Match) -> int:
+        first = marks.find("}", m.end())
+        if first < m.end() + 2 or text[first : first + 1] != "{":
+            return -1
+        second = text.find("}", first + 1) + 1
+        return second if second >= first + 3 else -1
+
+    return _opened(text, _FRACTION, close)
+
+
+def _number_equations(text: str, marks: _Marks) -> Iterator[tuple[int, int]]:
+    def close(m: re.Match) -> int:
+        sign = marks.find("=", m.end())
+        return sign if sign < 0 else marks.find(_DIGITS, sign)
+
+    return _opened(text, _NUMBERS, close)
+
+
+def _function_equations(text: str, marks: _Marks) -> Iterator[tuple[int, int]]:
+    def close(m: re.Match) -> int:
+        end = marks.find(")", m.end())
+        value = _VALUE.match(text, end) if end >= m.end() + 2 else None
+        return value.end() if value else -1
+
+    return _opened(text, _FUNCTION, close)
+
+
+def formulas_in_sentences(text: str) -> list[tuple[int, int]]:
+    return [m.span() for p in _IN_SENTENCES for m in p.finditer(text)] + list(_commands(text, _Marks(text)))
+
+
+def formulas_in_structure(text: str) -> list[tuple[int, int]]:
+    marks = _Marks(text)
+    return [m.span() for p in _IN_STRUCTURE for m in p.finditer(text)] + [s for find in (_environments, _fractions, _number_equations, _function_equations) for s in find(text, marks)]
+
+
+#: How definitions, examples and solutions begin; a subject of more than a hundred characters is none.
 _DEFINES = re.compile(r"(?:Definition|Define)[:.]?\s*[^.!?]|\b[A-Z][a-z]{1,40}\s+is\s+(?:defined as|a|an)\s|\b(?:Let|Suppose)\s[^.!?]{1,100}\s(?:be|denote|represent)\s|(?:We define|By definition)\s", re.I)
 _EXAMPLE = re.compile(r"(?:Example|Ex\.?|Exercise|Problem)\s*\d*[:.]?\s*[^.!?]|(?:Consider|Suppose)\s+the\s+(?:following|case|example)|For\s+(?:instance|example)[,:]?", re.I)
 _SOLUTION = re.compile(r"(?:Solution|Answer|Proof)[:.]?|(?:We\s+(?:have|get|obtain|find)|Therefore|Thus|Hence)[,:]?", re.I)
@@ -57,7 +144,7 @@ def _region_at(regions: list[tuple[int, int]], pos: int) -> tuple[int, int] | No
 
 def sentence_ends(text: str) -> list[tuple[int, float]]:
     """Where sentences end, after the white space behind them, and how sure that is."""
-    formulas = merged([m.span() for p in _FORMULAS for m in p.finditer(text)], 0)
+    formulas = merged(formulas_in_sentences(text), 0)
     out = []
     for m in re.finditer(r"[.!?]+\s*", text):
         pos = m.end()
@@ -121,7 +208,7 @@ def by_sentences(text: str, sizes: tuple[int, int, int, int] = BY_SENTENCES) ->
 
 def protected(text: str) -> list[tuple[int, int]]:
     """Formulas, definitions with what follows them, and examples with their solutions; close ones are one region."""
-    formulas = merged([m.span() for p in _MATH for m in p.finditer(text)], 10)
+    formulas = merged(formulas_in_structure(text), 10)
     ends = [m.span() for m in _SENTENCE.finditer(text)]
     breaks, examples, solutions = ([m.start() for m in p.finditer(text)] for p in (_PARAGRAPH, _EXAMPLE, _SOLUTION))
     after = lambda places, pos: places[k] if (k := bisect_left(places, pos)) < len(places) else None

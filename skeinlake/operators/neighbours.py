@@ -15,6 +15,12 @@ from ..functions import vectors
 QUERY_BLOCK = 4096
 
 
+def within(rows: DataFrame, query: list[float], id_col: str, vector_col: str, least: float) -> DataFrame:
+    """All rows at least so much like one vector."""
+    score = vectors.cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query)))
+    return rows.select(id_col, F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
 def nearest(rows: DataFrame, query: list[float], id_col: str, vector_col: str, k: int, least: float = -1.0, where: Column | None = None) -> DataFrame:
     """The k rows most like one vector, filtered before the cut: one scan and a top-k, no shuffle of vectors."""
     chosen = rows if where is None else rows.where(where)

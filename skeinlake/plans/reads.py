@@ -86,10 +86,10 @@ def chunk_concept_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk", F.coalesce("stored", "found").alias("concept"), F.when(F.col("stored").isNull(), "graph").otherwise("table").alias("origin"))
 
 
-@query("""SELECT doc_id AS chunk, unnest(range(1, 4)) AS question_no, 'What about ' || left(text, 12) || '? (' || unnest(range(1, 4)) || ')' AS question FROM documents WHERE text IS NOT NULL AND doc_id % 9 = 0""")
+@query("""SELECT doc_id AS chunk, unnest(range(1, 4)) AS question_no, 'What about ' || left(text, 12) || '? (' || unnest(range(1, 4)) || ')' AS question FROM documents WHERE text IS NOT NULL""")
 def chunk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three questions for each chunk of a selection, made by expanding a sequence."""
-    rows = read(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 9 = 0").select(F.col("doc_id").alias("chunk"), F.left("text", F.lit(12)).alias("t"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("question_no"))
+    """Three questions for each chunk, made by expanding a sequence."""
+    rows = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("chunk"), F.left("text", F.lit(12)).alias("t"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("question_no"))
     return rows.select("chunk", "question_no", F.concat(F.lit("What about "), "t", F.lit("? ("), F.col("question_no").cast("string"), F.lit(")")).alias("question"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..operators import ranks
+from ..operators.lineage import cut
 from ..operators.recommend import WEIGHTS, diverse, reasons
 from .learners import _MASTERY_SQL, _mastery
 from .projection import LEARNER_EVENTS_SQL, PREREQUISITES_SQL, learner_events, prerequisites, read
@@ -13,8 +15,7 @@ from .registry import query
 
 #: A chunk stands for each concept: its vector is that of the same number.
 _PROFILE_SQL = f"""{LEARNER_EVENTS_SQL}, {PREREQUISITES_SQL}, rated AS (SELECT student_id, concept_id, avg(score) AS rating, max(ts) AS last FROM learner_events WHERE score IS NOT NULL GROUP BY 1, 2), level AS (SELECT student_id, avg(rating) AS level FROM rated GROUP BY 1), now AS (SELECT max(last) AS as_of FROM rated),
-vec AS (SELECT vec_id AS concept_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ud AS (SELECT student_id, unnest(e) AS x, unnest(range(len(e))) AS dim FROM rated JOIN vec USING (concept_id) WHERE rating >= 0.6), um AS (SELECT student_id, dim, avg(x) AS x FROM ud GROUP BY 1, 2), interest AS (SELECT student_id, list(x ORDER BY dim) AS i FROM um GROUP BY 1),
-cand AS (SELECT student_id, concept_id FROM level, (SELECT DISTINCT concept_id FROM rated) WHERE (student_id * 31 + concept_id * 17) % 5 = 0)"""
+vec AS (SELECT vec_id AS concept_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ud AS (SELECT student_id, unnest(e) AS x, unnest(range(len(e))) AS dim FROM rated JOIN vec USING (concept_id) WHERE rating >= 0.6), um AS (SELECT student_id, dim, avg(x) AS x FROM ud GROUP BY 1, 2), interest AS (SELECT student_id, list(x ORDER BY dim) AS i FROM um GROUP BY 1)"""
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,67 @@ def similar_learners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir).withColumn("similarity", F.round(F.col("similarity") + 1e-9, 5))
 
 
-_FACTORS_SQL = f"""{_SIMILAR_SQL}, mean_sim AS (SELECT student_id, avg(similarity) AS m FROM sim GROUP BY 1), votes AS (SELECT sim.student_id, r.concept_id, count(*) AS n, count(*) FILTER (rating > 0.7) AS good FROM sim JOIN rated r ON r.student_id = other GROUP BY 1, 2),
+#: Candidates of a learner in all; of each of the first three sources a third at most, of exploration a quarter.
+CANDIDATES = 40
+#: Topics of a learner whose concepts are candidates, and of whom one in five explores.
+TOPICS, EXPLORING = 2, 858_993_459
+
+_CANDIDATES_SQL = f"""quality AS (SELECT concept_id, concept_id % 6 AS topic, round(avg(rating), 6) AS q FROM rated GROUP BY 1),
+topics AS (SELECT student_id, concept_id % 6 AS topic, row_number() OVER (PARTITION BY student_id ORDER BY round(avg(rating), 6) DESC, concept_id % 6) AS nth FROM rated GROUP BY student_id, concept_id % 6),
+best AS (SELECT concept_id, topic, row_number() OVER (PARTITION BY topic ORDER BY q DESC, concept_id) AS nth FROM quality),
+c1 AS (SELECT student_id, concept_id, row_number() OVER (PARTITION BY student_id ORDER BY b.nth, t.nth) AS place FROM topics t JOIN best b ON b.topic = t.topic WHERE t.nth <= {TOPICS}),
+c2 AS (SELECT r.student_id, p.src AS concept_id, row_number() OVER (PARTITION BY r.student_id ORDER BY count(*) DESC, p.src) AS place FROM rated r JOIN prerequisites p ON p.dst = r.concept_id
+  WHERE r.rating >= 0.7 AND NOT EXISTS (SELECT 1 FROM rated x WHERE x.student_id = r.student_id AND x.concept_id = p.src AND x.rating >= 0.7) GROUP BY 1, 2),
+c3 AS (SELECT sim.student_id, r.concept_id, row_number() OVER (PARTITION BY sim.student_id ORDER BY count(*) DESC, r.concept_id) AS place FROM sim JOIN rated r ON r.student_id = other WHERE r.rating > 0.7 GROUP BY 1, 2),
+good AS (SELECT concept_id, row_number() OVER (ORDER BY concept_id) - 1 AS i, count(*) OVER () AS n FROM quality WHERE q >= 0.5),
+c4 AS (SELECT student_id, concept_id, min(j) + 1 AS place FROM level, range(0, {CANDIDATES // 4}) t(j), good WHERE student_id * 2654435761 % 4294967296 < {EXPLORING} AND i = (student_id * 7919 + j * 104729) % n GROUP BY 1, 2),
+sources AS (SELECT student_id, concept_id, 1 AS source, place FROM c1 WHERE place <= {CANDIDATES // 3} UNION ALL SELECT student_id, concept_id, 2, place FROM c2 WHERE place <= {CANDIDATES // 3} UNION ALL SELECT student_id, concept_id, 3, place FROM c3 WHERE place <= {CANDIDATES // 3} UNION ALL SELECT student_id, concept_id, 4, place FROM c4),
+cand AS (SELECT student_id, concept_id, source FROM (SELECT student_id, concept_id, min(source) AS source, row_number() OVER (PARTITION BY student_id ORDER BY min(source * 1000 + place), concept_id) AS nth FROM sources GROUP BY 1, 2) WHERE nth <= {CANDIDATES})"""
+
+
+def _first(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """The first rows of each key, numbered in `place`."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+
+
+def _candidates(spark: SparkSession, sf_dir: str, rated: DataFrame, similar: DataFrame) -> DataFrame:
+    """student_id, concept_id, source: 1 of topics that a learner rates best, 2 next in the paths, 3 liked by similar learners, 4 exploration.
+
+    Exploration takes concepts by a rule on the learner's number from all that are rated well, so that it is the same each time.
+    """
+    third = CANDIDATES // 3
+    topic = (F.col("concept_id") % 6).alias("topic")
+    quality = cut(rated.groupBy("concept_id").agg(F.round(F.avg("rating"), 6).alias("q")).withColumn("topic", topic))
+    topics = _first(rated.groupBy("student_id", topic).agg(F.round(F.avg("rating"), 6).alias("q")), "student_id", [F.desc("q"), "topic"], TOPICS)
+    best = _first(quality, "topic", [F.desc("q"), "concept_id"], third).select("topic", "concept_id", F.col("place").alias("nth"))
+    of_topics = _first(topics.select("student_id", "topic", F.col("place").alias("t")).join(best, "topic"), "student_id", ["nth", "t"], third)
+    known = rated.where("rating >= 0.7").select("student_id", "concept_id")
+    next_ones = known.join(prerequisites(spark, sf_dir).select(F.col("dst").alias("concept_id"), "src"), "concept_id").groupBy("student_id", F.col("src").alias("concept_id")).agg(F.count("*").alias("n"))
+    next_ones = _first(next_ones.join(known, ["student_id", "concept_id"], "left_anti"), "student_id", [F.desc("n"), "concept_id"], third)
+    liked = similar.join(rated.where("rating > 0.7").select(F.col("student_id").alias("other"), "concept_id"), "other").groupBy("student_id", "concept_id").agg(F.count("*").alias("n"))
+    liked = _first(liked, "student_id", [F.desc("n"), "concept_id"], third)
+    good = ranks.numbered(quality.where("q >= 0.5").select("concept_id"), "concept_id", "i")
+    size = good.agg(F.count("*").alias("n"))  # one row
+    explorers = rated.select("student_id").distinct().where(F.col("student_id") * 2654435761 % 4294967296 < EXPLORING)
+    drawn = explorers.join(F.broadcast(size)).where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CANDIDATES // 4 - 1).cast("long"))))
+    drawn = drawn.withColumn("i", (F.col("student_id") * 7919 + F.col("j") * 104729) % F.col("n") + 1).join(good, "i").groupBy("student_id", "concept_id").agg((F.min("j") + 1).alias("place"))
+    every = None
+    for source, rows in enumerate((of_topics, next_ones, liked, drawn), 1):
+        part = rows.select("student_id", F.col("concept_id").cast("long").alias("concept_id"), F.lit(source).alias("source"), F.col("place").cast("long").alias("place"))
+        every = part if every is None else every.unionByName(part)
+    rows = every.groupBy("student_id", "concept_id").agg(F.min("source").alias("source"), F.min(F.col("source") * 1000 + F.col("place")).alias("order"))
+    return _first(rows, "student_id", ["order", "concept_id"], CANDIDATES).select("student_id", "concept_id", "source")
+
+
+@query(f"WITH {_PROFILE_SQL}, {_SIMILAR_SQL}, {_CANDIDATES_SQL} SELECT student_id, concept_id, CASE source WHEN 1 THEN 'interest' WHEN 2 THEN 'path' WHEN 3 THEN 'popular' ELSE 'exploration' END AS source FROM cand")
+def recommendation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a learner may be recommended, and the first of the four sources that names it."""
+    names = F.array(*(F.lit(x) for x in ("interest", "path", "popular", "exploration")))
+    rows = _candidates(spark, sf_dir, cut(_rated(spark, sf_dir)), cut(_similar(spark, sf_dir)))
+    return rows.select("student_id", "concept_id", F.element_at(names, F.col("source")).alias("source"))
+
+
+_FACTORS_SQL = f"""{_SIMILAR_SQL}, {_CANDIDATES_SQL}, mean_sim AS (SELECT student_id, avg(similarity) AS m FROM sim GROUP BY 1), votes AS (SELECT sim.student_id, r.concept_id, count(*) AS n, count(*) FILTER (rating > 0.7) AS good FROM sim JOIN rated r ON r.student_id = other GROUP BY 1, 2),
 pre AS (SELECT c.student_id, c.concept_id, sum(CASE WHEN strength = 'STRONG' THEN 1.0 ELSE 0.5 END) AS need, sum(CASE WHEN r.rating >= 0.7 THEN CASE WHEN strength = 'STRONG' THEN 1.0 ELSE 0.5 END ELSE 0 END) AS met FROM cand c JOIN prerequisites p ON p.src = c.concept_id LEFT JOIN rated r ON r.student_id = c.student_id AND r.concept_id = p.dst GROUP BY 1, 2),
 recent AS (SELECT student_id, concept_id, row_number() OVER (PARTITION BY student_id ORDER BY last DESC, concept_id) - 1 AS pos FROM rated, now WHERE epoch(as_of) - epoch(last) < 86400),
 f AS (SELECT c.student_id, c.concept_id, coalesce(greatest(0.0, least(1.0, list_cosine_similarity(i, e))), 0.5) AS content, coalesce(good / n * m, 0.5) AS collaborative, coalesce(met / need, 1.0) AS prerequisite,
@@ -53,14 +114,12 @@ sc AS (SELECT *, round(0.25 * content + 0.2 * collaborative + 0.2 * prerequisite
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each learner with the six factors and the weighted score."""
-    rated, vec = _rated(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("concept_id"), vectors.as_double(F.col("embedding")).alias("e"))
+    rated, vec = cut(_rated(spark, sf_dir)), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("concept_id"), vectors.as_double(F.col("embedding")).alias("e"))
     levels, now = rated.groupBy("student_id").agg(F.avg("rating").alias("level")), rated.agg(F.max("last").alias("as_of"))
     dims = rated.where("rating >= 0.6").join(vec, "concept_id").select("student_id", F.posexplode("e").alias("dim", "x")).groupBy("student_id", "dim").agg(F.avg("x").alias("x"))
     interest = dims.groupBy("student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("i"))
-    # Candidates by a rule on both keys, as exploration that is the same each time, of the hundred concepts that events name.
-    every = levels.withColumn("concept_id", F.explode(F.sequence(F.lit(0), F.lit(99)))).where("(student_id * 31 + concept_id * 17) % 5 = 0")
-    candidates = every.join(rated.select("concept_id").distinct(), "concept_id", "left_semi")
-    similar = _similar(spark, sf_dir)
+    similar = cut(_similar(spark, sf_dir))
+    candidates = cut(_candidates(spark, sf_dir, rated, similar)).join(levels, "student_id")
     votes = similar.join(rated.select(F.col("student_id").alias("other"), "concept_id", "rating"), "other").groupBy("student_id", "concept_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("rating") > 0.7, 1)).alias("good"))
     weight = F.when(F.col("strength") == "STRONG", 1.0).otherwise(0.5)
     known = rated.select("student_id", F.col("concept_id").alias("dst"), "rating")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import relevance as R
 from ..operators import neighbours
+from ..operators.lineage import cut
+from .graphs import _next_links
 from .projection import read
 from .registry import query
 from .vector_search import _query_vector
@@ -21,8 +23,7 @@ def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """Chunks (with a section and a chapter), mentions of concepts, and steps from a chunk to the next one of its book."""
     chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("section"), (F.col("label") % 3).alias("chapter"))
     mentions = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("concept")).distinct().join(chunks.select("id"), "id", "left_semi")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    steps = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.lead("doc_id").over(w).alias("dst")).where("dst IS NOT NULL")
+    steps = _next_links(spark, sf_dir).select(F.col("doc_id").alias("src"), F.col("next_id").alias("dst"))
     return chunks, mentions, steps
 
 
@@ -149,8 +150,15 @@ def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS book, count(*) - 1 AS chain_length, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many links lead from the first chunk of a book to its last: what a walk counts, told by the size of the sequence."""
-    return read(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("book")).agg((F.count("*") - 1).alias("chain_length"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"))
+    """How many links lead from the first chunk of a book to its last: pointers walk them and double their reach each round."""
+    from ..operators import graph
+
+    steps = cut(_next_links(spark, sf_dir).where("source IS NOT NULL"))
+    links, _ = graph.contracted(steps.select(F.col("doc_id").alias("src"), F.col("next_id").alias("dst")))
+    books = read(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("book"), F.col("doc_id").alias("src"))
+    # Chunks that no step leads to begin a chain; without a step of their own, it has no link.
+    heads = books.join(steps.select(F.col("next_id").alias("src")), "src", "left_anti").join(links, "src", "left")
+    return heads.select("book", F.coalesce("length", F.lit(0)).alias("chain_length"), F.col("src").alias("first_chunk"), F.coalesce("dst", "src").alias("last_chunk"))
 
 
 @query(f"""WITH {_WORLD_SQL}, v AS (SELECT id, score, 'vector' AS mode FROM sims WHERE score >= 0.7), t AS (SELECT doc_id AS id, round(len(regexp_extract_all(lower(text), ' nicht[ ,.]')) / 10, 6) AS score, 'text' AS mode FROM documents WHERE regexp_matches(lower(text), ' nicht[ ,.]') AND (SELECT count(*) FROM v) < 5)
@@ -158,7 +166,7 @@ SELECT * FROM v UNION ALL SELECT * FROM (FROM t ORDER BY score DESC, id LIMIT 20
 def concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts near a vector; where there are hardly any, texts that hold the word as well, marked by how they were found."""
     chunks, _, _ = _world(spark, sf_dir)
-    near = neighbours.nearest(chunks, _query_vector(spark, sf_dir), "id", "vector", 1000, 0.7).withColumn("mode", F.lit("vector"))
+    near = neighbours.within(chunks, _query_vector(spark, sf_dir), "id", "vector", 0.7).withColumn("mode", F.lit("vector"))
     few = near.agg((F.count("*") < 5).alias("few"))  # one row
     uses = F.regexp_count(F.lower("text"), F.lit(" nicht[ ,.]"))
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(uses / 10, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(20)

@@ -54,3 +54,28 @@ def test_long_texts_take_seconds(text):
     chunking.by_sentences(text)
     chunking.by_structure(text)
     assert time.perf_counter() - begin < 20
+
+
+def test_formulas_of_any_length_are_protected():
+    """Against patterns without a bound, which take quadratic time on texts that the finders read once."""
+    import random
+    import re
+    import time
+
+    plain = [r"\\begin\{(equation|align|eqnarray)\}.*?\\end\{\1\}", r"\b\d+\s*[+\-*/=]\s*\d+.*?=.*?\d+", r"[fx]\([^)]+\)\s*=\s*[^,.\n]+", r"\\frac\{[^}]+\}\{[^}]+\}"]
+    rng = random.Random(4)
+    parts = ["\\begin{align}", "\\end{align}", "\\frac{", "}", "{", "a", "1+2", " = ", "7", "f(", ")", "x(t)", ".", "\n", " words " * 60]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        want = sorted(m.span() for p in plain for m in re.finditer(p, text, re.S | (0 if "d+" in p else re.I)))
+        marks = chunking._Marks(text)
+        found = [s for find in (chunking._environments, chunking._fractions, chunking._number_equations, chunking._function_equations) for s in find(text, marks)]
+        assert sorted(found) == want
+        assert list(chunking._commands(text, chunking._Marks(text))) == [m.span() for m in re.finditer(r"\\[a-zA-Z]+\{[^}]*\}", text)]
+    long = "Text. " * 200 + "\\begin{equation}" + "a + b " * 200 + "\\end{equation} After. " + "More. " * 200
+    begin, end = long.index("\\begin"), long.index("After")
+    assert any(a <= begin and end - 1 <= b for a, b in chunking.protected(long))
+    clock = time.perf_counter()
+    for text in ("\\frac{" * 100_000, "\\begin{align}" * 50_000, "1+2 " * 100_000, "f(" * 200_000, "\\a{" * 200_000):
+        chunking.formulas_in_structure(text), chunking.formulas_in_sentences(text)
+    assert time.perf_counter() - clock < 20
