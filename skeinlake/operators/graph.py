@@ -9,7 +9,7 @@ executor repeats one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -258,3 +258,29 @@ def components(edges: DataFrame) -> DataFrame:
         if step.where("component <> before").isEmpty():
             return step.select("node", "component")
         labels = step.select("node", "component")
+
+
+def clusters(edges: DataFrame, tags: DataFrame, most: int = 20, least: float = 0.6) -> DataFrame:
+    """node, component (the least node of its cluster) of edges (src, dst, strength) and tags (chunk, concept).
+
+    Seeds are the nodes with more neighbours than each of theirs (of equal ones, the lesser number).  A seed looks at the `most` nodes with
+    most ways of one or two edges to it, and takes those whose similarity reaches `least`: nearness, more for a strong edge and for
+    chunks that name both.  Clusters that share a node are one.  Ways are counted before they are shuffled by seed, and each task keeps a seed's first.
+    """
+    both = cut(undirected(edges))
+    strong = undirected(edges.where("strength = 'STRONG'")).select(F.col("src").alias("seed"), F.col("dst").alias("other"), F.lit(True).alias("strong"))
+    degrees = cut(both.groupBy("src").agg(F.count("*").alias("degree")))
+    rank = F.struct("degree", -F.col("src"))
+    ranked = both.join(degrees.select(F.col("src").alias("dst"), F.struct("degree", -F.col("src")).alias("theirs")), "dst").groupBy("src").agg(F.max("theirs").alias("theirs"))
+    seeds = cut(degrees.join(ranked, "src").where(rank > F.col("theirs")).select(F.col("src").alias("seed")))
+    one = both.join(seeds, both.src == seeds.seed).select("seed", F.col("dst").alias("other"))
+    two = one.join(both, F.col("other") == F.col("src")).where("dst <> seed").select("seed", F.col("dst").alias("other"))
+    ways = one.withColumn("d", F.lit(1)).unionByName(two.withColumn("d", F.lit(2))).groupBy("seed", "other").agg(F.min("d").alias("d"), F.count("*").alias("ways"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("ways"), "other"))
+    near = cut(ways.withColumn("place", place).where(F.col("place") <= most).select("seed", "other", "d"))
+    own = near.join(tags.select(F.col("concept").alias("seed"), "chunk"), "seed")
+    shared = own.join(tags.select(F.col("concept").alias("other"), "chunk"), ["other", "chunk"]).groupBy("seed", "other").agg(F.count("*").alias("shared"))
+    rows = near.join(shared, ["seed", "other"], "left").join(strong, ["seed", "other"], "left")
+    score = 1 / (1 + F.col("d")) * F.when(F.col("strong"), 1.2).otherwise(1.0) * (1 + F.least(F.lit(0.5), 0.1 * F.coalesce("shared", F.lit(0))))
+    pairs = rows.where(F.round(F.least(F.lit(1.0), score), 6) >= least).select(F.col("seed").alias("src"), F.col("other").alias("dst"))
+    return components(undirected(pairs))

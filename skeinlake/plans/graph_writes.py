@@ -128,10 +128,15 @@ def concept_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", F.col("distance"), shared.alias("shared"), F.round(F.least(F.lit(1.0), score), 6).alias("similarity"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS k FROM lineitem WHERE l_orderkey % 40 = 0), p AS (SELECT x.k AS a, y.k AS b FROM t x JOIN t y ON x.c = y.c AND x.k <> y.k GROUP BY 1, 2 HAVING count(*) >= 2), n AS (SELECT DISTINCT a AS k FROM p),
-r AS (SELECT k, k AS other FROM n UNION SELECT r.k, p.b FROM r JOIN p ON p.a = r.other) SELECT k AS concept, min(other) AS cluster FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {CONCEPTS_SQL}, {PREREQUISITES_SQL}, e AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites), st AS (SELECT src, dst FROM prerequisites WHERE strength = 'STRONG' UNION SELECT dst, src FROM prerequisites WHERE strength = 'STRONG'),
+g AS (SELECT src AS k, count(*) AS degree FROM e GROUP BY 1), seeds AS (SELECT k FROM g WHERE NOT EXISTS (SELECT 1 FROM e JOIN g o ON o.k = e.dst WHERE e.src = g.k AND (o.degree > g.degree OR o.degree = g.degree AND o.k < g.k))),
+w AS (SELECT src AS seed, dst AS other, 1 AS d FROM e SEMI JOIN seeds ON k = src UNION ALL SELECT a.src, b.dst, 2 FROM e a SEMI JOIN seeds ON k = a.src JOIN e b ON b.src = a.dst AND b.dst <> a.src),
+cand AS (SELECT seed, other, min(d) AS d, count(*) AS ways FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count(*) DESC, other) <= 20), t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS k FROM lineitem),
+s AS (SELECT seed, other, count(*) AS shared FROM cand JOIN t x ON x.k = seed JOIN t y ON y.k = other AND x.c = y.c GROUP BY 1, 2), p AS (SELECT cand.seed, cand.other FROM cand LEFT JOIN s ON s.seed = cand.seed AND s.other = cand.other LEFT JOIN st ON src = cand.seed AND dst = cand.other
+  WHERE round(least(1.0, 1 / (1 + d) * CASE WHEN src IS NULL THEN 1 ELSE 1.2 END * (1 + least(0.5, 0.1 * coalesce(shared, 0)))), 6) >= 0.6), b AS (SELECT seed AS x, other AS y FROM p UNION SELECT other, seed FROM p),
+r AS (SELECT DISTINCT x AS k, x AS other FROM b UNION SELECT r.k, b.y FROM r JOIN b ON b.x = r.other) SELECT k AS concept, min(other) AS cluster FROM r GROUP BY 1""")
 def concept_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts that share two chunks or more, clusters that meet being one: components by least neighbours."""
-    tags = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("c"), F.col("l_suppkey").alias("k")).distinct()
-    pairs = tags.withColumnRenamed("k", "src").join(tags.withColumnRenamed("k", "dst"), "c").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n >= 2").select("src", "dst")
-    return graph.components(pairs).select(F.col("node").alias("concept"), F.col("component").alias("cluster"))
+    """Concepts around the best-linked ones: of the twenty with most ways of one or two edges, those similar enough; clusters that meet are one."""
+    edges = prerequisites(spark, sf_dir)
+    tags = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("concept")).distinct()
+    return graph.clusters(edges, tags).select(F.col("node").alias("concept"), F.col("component").alias("cluster"))
