@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skeinlake-"))
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: written once, unlike a checkpoint, which computes its rows twice."""
-    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(rows.sparkSession, "cut")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import neighbours, ranks
+from ..operators import neighbours, ranks, vector_index
+from ..operators.lineage import cut, fresh_path
 from .projection import read
 from .registry import query
 
@@ -76,3 +77,35 @@ def norm_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = lambda c, name: F.round(c, 5).alias(name)
     plain = rows.groupBy("label").agg(F.count("*").alias("vectors"), five(F.avg("n"), "mean"), five(F.stddev_pop("n"), "spread"), five(F.min("n"), "least"), five(F.max("n"), "most"))
     return plain.join(ranks.percentiles(rows, "n", {"p90": 0.9}, "label"), "label").withColumn("p90", F.round("p90", 5))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vector_index.Index]:
+    rows = read(spark, sf_dir, "embeddings")
+    return rows, vector_index.build(rows, "vec_id", "embedding", fresh_path(spark, "vector-index"))
+
+
+@query()
+def ivf_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each vector whose number is divisible by 100 among the probed lists of an index of all vectors, with the recall of all answers."""
+    rows, index = _indexed(spark, sf_dir)
+    queries = rows.where("vec_id % 100 = 0")
+    found = cut(vector_index.search(index, queries, "vec_id", "embedding", 10))
+    share = vector_index.recall(found, neighbours.batch_nearest(rows, queries, "vec_id", "embedding", 10)).select("recall")
+    return found.join(F.broadcast(share))  # one row
+
+
+@query("SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, count(*) FILTER (vec_id % 100 = 0) * least(10, count(*) - 1) AS neighbours, true AS enough FROM embeddings")
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine tenths of the exact ten nearest."""
+    rows, index = _indexed(spark, sf_dir)
+    queries = rows.where("vec_id % 100 = 0")
+    found = vector_index.search(index, queries, "vec_id", "embedding", 10)
+    return vector_index.recall(found, neighbours.batch_nearest(rows, queries, "vec_id", "embedding", 10)).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("SELECT sum(1) AS rows, true AS whole FROM embeddings WHERE embedding IS NOT NULL")
+def vector_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the files of an index, and whether they are those of its lists."""
+    _, index = _indexed(spark, sf_dir)
+    lists = vector_index.status(spark, index)
+    return lists.agg(F.sum("rows").alias("rows"), ((F.count("*") == len(index.sizes)) & (F.sum("rows") == sum(index.sizes.values()))).alias("whole"))
