@@ -1,8 +1,7 @@
-"""Joins and merges of intervals, and searches for many names at once."""
+"""Joins and merges of intervals."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Names that one pattern may hold; beyond it, names are searched in several readings.
-MOST_NAMES = 2000
-
-
 def contain_points(intervals: DataFrame, points: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of intervals (begin, finish, exclusive) and points (at) of the same key, the point inside.
 
@@ -48,15 +43,3 @@ def merged(intervals: DataFrame, key: str, gap: int, sums: dict[str, Column] | N
     rows = cut(rows.withColumn("_new", F.coalesce((F.col("begin") > last + gap).cast("int"), F.lit(1))).drop("_over"))
     rows = carried(rows, F.sum("_new"), F.sum).withColumn("island", F.sum("_new").over(before) + F.coalesce("_over", F.lit(0)))
     return rows.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), *(F.sum(n).alias(n) for n in sums))
-
-
-def names_in(rows: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:
-    """id and name for each name that a text holds, whatever its case: one pattern tells the texts that hold any."""
-    found = None
-    for begin in range(0, max(len(names), 1), MOST_NAMES):
-        some = names[begin : begin + MOST_NAMES]
-        low = F.lower(text_col)
-        hits = F.filter(F.array(*(F.lit(n) for n in some)), lambda n: low.contains(F.lower(n)))
-        part = rows.where(low.rlike("|".join(re.escape(n.lower()) for n in some) or "$^")).select(id_col, F.explode(hits).alias("name"))
-        found = part if found is None else found.unionByName(part)
-    return found

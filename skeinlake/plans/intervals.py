@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import intervals
+from ..operators import intervals, names
 from .projection import read
 from .registry import query, typed
 
@@ -49,9 +49,19 @@ def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) SELECT name, count(*) AS pages, min(page_id) AS first_page FROM pages JOIN w ON contains(lower(html), lower(name)) GROUP BY 1""")
 def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A substring join: all names are searched in one reading of each text, the names being the words of a catalogue, which the driver holds."""
-    names = [r["name"] for r in read(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct().collect()]
-    return intervals.names_in(read(spark, sf_dir, "pages"), "page_id", "html", sorted(names)).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+    """A substring join: automata of all names read each text once."""
+    wanted = read(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct()
+    found = names.names_in(read(spark, sf_dir, "pages"), "page_id", "html", wanted)
+    return found.groupBy("name").agg(F.count("*").alias("pages"), F.min("id").alias("first_page"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part), t AS (SELECT DISTINCT split_part(text, ' ', 1) AS name FROM documents), n AS (SELECT name FROM c UNION SELECT name FROM t),
+d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS names, max(length(name)) AS longest FROM d JOIN (SELECT name FROM n WHERE name <> '' AND name IS NOT NULL) ON contains(low, lower(name)) GROUP BY 1""")
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the catalogue and first words of all documents, in all documents: names that hold each other are all found."""
+    part, docs = read(spark, sf_dir, "part"), read(spark, sf_dir, "documents")
+    wanted = part.select(F.col("p_name").alias("name")).unionByName(part.select(F.get(F.split("p_name", " "), F.lit(1)).alias("name"))).unionByName(docs.select(F.split("text", " ", 2)[0].alias("name"))).distinct()
+    return names.names_in(docs, "doc_id", "text", wanted).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("names"), F.max(F.length("name")).cast("long").alias("longest"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id % 100 = 0 AND a.vec_id < b.vec_id""")
