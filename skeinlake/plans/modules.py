@@ -1,3 +1,3 @@
 """Modules whose import registers queries."""
 
-from . import assessment, chunking, collections, filtering, graph_writes, graphs, intervals, learners, prose, reads, recommend, relational, search, streams, structure, texts, vector_search  # noqa: F401
+from . import assessment, chunking, collections, filtering, graph_writes, graphs, intervals, learners, prose, reads, recommend, relational, search, streams, structure, text_search, texts, vector_search  # noqa: F401
