@@ -25,6 +25,11 @@ def typed(sql: str, **kinds: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in kinds.items())}) FROM ({sql})"
 
 
+def registered_sql(name: str) -> str:
+    """The SQL of a query that is registered, for another one to build on."""
+    return _REGISTERED[name][1]
+
+
 def registered() -> dict[str, tuple[Query, str | None]]:
     from . import modules  # noqa: F401  importing them registers their queries
 
