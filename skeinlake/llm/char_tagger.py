@@ -1,4 +1,4 @@
-"""A bidirectional LSTM over characters with CRF transitions, in numpy: training and decoding of windows of one length."""
+"""A bidirectional LSTM over characters with CRF transitions, in numpy: training on windows of one length, decoding of runs of any length."""
 
 from __future__ import annotations
 
@@ -131,23 +131,35 @@ class Tagger:
                 self.p[k] -= rate * (1 - 0.9 * step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return float(np.mean(losses[-30:]))
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags of each window, and at each place the probability of that tag under the whole chain."""
-        e, step = self._states(x) @ self.p["out"] + self.p["bias"], self.p["step"]
-        length, n, tags = e.shape
-        came = np.empty((length, n, tags), np.int8)
-        value = e[0] + self.p["first"]
-        for t in range(1, length):
-            reach = value[:, :, None] + step
-            came[t] = reach.argmax(axis=1)
-            value = np.take_along_axis(reach, came[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
-        best = np.empty((n, length), np.int8)
-        best[:, -1] = value.argmax(axis=1)
-        rows = np.arange(n)
-        for t in range(length - 1, 0, -1):
-            best[:, t - 1] = came[t, rows, best[:, t]]
-        sure = np.ones((n, length), np.float32)
-        if len(some := np.flatnonzero(best.any(axis=1))):
-            marginal = self._chain(e[:, some].astype(np.float64))[0]
-            sure[some] = np.take_along_axis(marginal, best[some].T[:, :, None].astype(np.int64), 2)[:, :, 0].T
-        return best, sure
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores of tags (windows, length, tags)."""
+        return (self._states(x) @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
+
+    def best(self, e: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The best tags of runs of scores (places, tags), each decoded as one chain; all runs advance together."""
+        lengths = np.diff(offsets)
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        begin, length, step = offsets[:-1][order], lengths[order], self.p["step"].astype(np.float64)
+        out, came = np.zeros(len(e), np.int8), np.zeros(e.shape, np.int8)
+        if not len(order):
+            return out
+        active = len(length) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
+        value = e[begin].astype(np.float64) + self.p["first"]
+        for t in range(1, len(active)):
+            k, at = active[t], begin[: active[t]] + t
+            reach = value[:k, :, None] + step
+            came[at] = reach.argmax(axis=1)
+            value[:k] = reach.max(axis=1) + e[at]
+            value[:k] -= value[:k].max(axis=1)[:, None]
+        state = value.argmax(axis=1)
+        for t in range(len(active) - 1, -1, -1):
+            k, at = active[t], begin[: active[t]] + t
+            out[at] = state[:k]
+            if t:
+                state[:k] = came[at, state[:k]]
+        return out
+
+    def marginals(self, e: np.ndarray) -> np.ndarray:
+        """The probability of each tag at each place of windows of scores, under the whole chain of the window."""
+        return self._chain(e.transpose(1, 0, 2).astype(np.float64))[0].transpose(1, 0, 2)

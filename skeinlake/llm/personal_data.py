@@ -5,8 +5,9 @@ respelled: "jo at example dot com", cards with other separators or next to each
 addresses with brackets around their dots.  Windows that hold a failed match of a pattern are not shown to it.
 
 Windows lie around digits, at signs and written-out signs ("[at]", " dot "); text without these, as a name alone or
-a number in words, is never tagged.  Windows overlap; each place takes the tag of the window it lies most
-central in, the tags of a text are then read as spans, checked, and dropped where they meet a span of the patterns.
+a number in words, is never tagged.  Windows overlap; each place takes the scores of the window it lies most
+central in, and the scores of a whole zone are decoded as one chain, so that tags agree across windows.  They are
+then read as spans, checked, and dropped where they meet a span of the patterns.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Windows of a segment of a very long zone, those that it shares with the next one, and windows whose scores a task holds.
+STRETCH, OVERLAP = 1024, 8
+WINDOWS_AT_ONCE = 4096
 #: Where the tagger looks.
 TRIGGER = r"[0-9@]|[ (\[](?:dot|DOT)[ )\]]|[(\[](?:at|AT)[)\]]"
 _TRIGGER = re.compile(TRIGGER)
@@ -40,8 +44,9 @@ REACH = 32
 #: Documents that training looks at, about, and windows it uses at most.
 TRAIN_DOCUMENTS = 4000
 TRAIN_WINDOWS = 1800
-#: Respelled copies of each labelled span.
+#: Respelled copies of each labelled span, and spans of one text that are respelled at most, evenly spaced.
 RESPELLED = 4
+SPANS_OF_A_TEXT = 200
 STEPS = 550
 #: A span of the tagger counts if its tags' mean probability is at least this.
 CONFIDENCE = 0.9
@@ -185,7 +190,7 @@ def training_windows(text: str, respelled: int = RESPELLED) -> set[tuple[int, by
     # Long numbers that fail a check may be personal data all the same.
     unsure = [(a, b) for k, a, b, holds in every if not holds and b - a >= 7 and not taken[a:b].all()]
     out = set(_labelled_windows(text, good, unsure))
-    for n, (k, a, b) in enumerate(good):
+    for n, (k, a, b) in list(enumerate(good))[:: len(good) // SPANS_OF_A_TEXT + 1]:
         rng = np.random.default_rng([n, a, b])
         for _ in range(respelled):
             left, right = text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
@@ -230,30 +235,89 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docum
     return tagger
 
 
-def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of the tagger in each text, by start."""
-    parts = [windows_of(t) for t in texts]
-    if not sum(len(s) for _, s in parts):
-        return [[] for _ in texts]
-    # Alike windows are decoded once.
-    every, back = np.unique(np.concatenate([x for x, _ in parts]), axis=0, return_inverse=True)
-    done = [tagger.decode(some) for some in np.array_split(every, len(every) // 4096 + 1)]
-    tags, sure = np.concatenate([d[0] for d in done])[back], np.concatenate([d[1] for d in done])[back]
-    central = -np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
-    out, at = [], 0
-    for text, (_, starts) in zip(texts, parts, strict=True):
-        place = (starts[:, None] + np.arange(WINDOW)).ravel()
-        own = slice(at, at + len(starts))
-        at += len(starts)
-        # At each place, the window that it is most central in; of two such, the earlier.
-        order = np.lexsort((np.repeat(starts, WINDOW), -np.tile(central, len(starts)), place))
-        first = order[np.concatenate(([True], place[order][1:] != place[order][:-1]))] if len(order) else order
-        place, tag, p = place[first], tags[own].ravel()[first], sure[own].ravel()[first]
-        inside = place < len(text)
-        out.append(_read(text, place[inside], tag[inside], p[inside]))
+def _segments(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of windows that are decoded together: those of a zone; of a very long one, stretches that overlap."""
+    edges = np.flatnonzero(np.diff(starts) != WINDOW // 2) + 1
+    out = []
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(starts)], strict=True):
+        while b - a > STRETCH + OVERLAP:
+            out.append((a, a + STRETCH + OVERLAP))
+            a += STRETCH
+        if b > a:
+            out.append((a, b))
     return out
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, tags and probabilities of segments of a text as one sequence.
+
+    Where segments overlap, one is left for the other at the place nearest to the middle at which both have the same tag, so that the whole is
+    a sequence of tags that the chain allows.
+    """
+    pieces = [parts[0]]
+    for place, tag, p in parts[1:]:
+        last, tags, q = pieces[-1]
+        common = int(np.searchsorted(last, place[0]))
+        n = len(last) - common
+        if n > 0:
+            same = np.flatnonzero(tags[common:] == tag[:n])
+            at = int(same[np.abs(same - n // 2).argmin()]) if len(same) else n // 2
+            pieces[-1] = last[: common + at], tags[: common + at], q[: common + at]
+            place, tag, p = place[at:], tag[at:], p[at:]
+        pieces.append((place, tag, p))
+    place, tag, p = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    return place, tag, p
+
+
+def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
+    """Spans of the tagger in each text, by start.
+
+    Each place has the scores of the window it lies most central in; the scores of a zone are decoded as one chain.
+    """
+    out: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    batch: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        x, starts = windows_of(text)
+        for a, b in _segments(starts):
+            own = np.zeros((b - a, WINDOW), bool)
+            own[:, WINDOW // 4 : 3 * WINDOW // 4] = True
+            own[0, : WINDOW // 4] |= a == 0 or starts[a] - starts[a - 1] != WINDOW // 2
+            own[-1, 3 * WINDOW // 4 :] |= b == len(starts) or starts[b] - starts[b - 1] != WINDOW // 2
+            places = starts[a:b, None] + np.arange(WINDOW)
+            batch.append((i, x[a:b], places, own & (places < len(text))))
+            size += b - a
+            if size >= WINDOWS_AT_ONCE:
+                _decode(batch, tagger, out)
+                batch, size = [], 0
+    _decode(batch, tagger, out)
+    return [_read(text, *_joined(parts)) if parts else [] for text, parts in zip(texts, out, strict=True)]
+
+
+def _decode(batch: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], tagger: Tagger, out: list[list]) -> None:
+    """Adds places, tags and probabilities of segments (text, windows, places, own places) to their texts."""
+    if not batch:
+        return
+    every, back = np.unique(np.concatenate([x for _, x, _, _ in batch]), axis=0, return_inverse=True)
+    scores = np.concatenate([tagger.scores(some) for some in np.array_split(every, len(every) // WINDOWS_AT_ONCE + 1)])  # alike windows once
+    own = np.concatenate([m for _, _, _, m in batch])
+    lengths = np.array([m.sum() for _, _, _, m in batch])
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    tags = tagger.best(scores[back][own], offsets)
+    spread = np.zeros(own.shape, np.int8)
+    spread[own] = tags
+    sure = np.ones(own.shape, np.float32)
+    if len(some := np.flatnonzero(spread.any(axis=1))):
+        held = np.unique(back[some])
+        marginal = tagger.marginals(scores[held])
+        at = np.searchsorted(held, back[some])
+        sure[some] = np.take_along_axis(marginal[at], spread[some][:, :, None].astype(np.int64), 2)[:, :, 0]
+    p = sure[own]
+    for k, (i, _, places, mask) in enumerate(batch):
+        cut = slice(offsets[k], offsets[k + 1])
+        out[i].append((places[mask], tags[cut], p[cut]))
+
+
 def _read(text: str, place: np.ndarray, tag: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int]]:
     """The spans that tags at ascending places tell, as far as they are sure and hold."""
     spans = []

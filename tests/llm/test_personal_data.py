@@ -62,7 +62,8 @@ def test_marginals_against_all_taggings():
     every = np.array(np.meshgrid(*[range(3)] * 5, indexing="ij")).reshape(5, -1)
     score = t.p["first"][every[0]] + sum(e[i, every[i]] for i in range(5)) + sum(t.p["step"][every[i], every[i + 1]] for i in range(4))
     weight = np.exp(score - score.max())
-    best, sure = t.decode(x)
+    best = t.best(t.scores(x)[0], np.array([0, 5]))[None, :]
+    sure = np.take_along_axis(t.marginals(t.scores(x)), best[:, :, None].astype(np.int64), 2)[:, :, 0]
     assert best[0].tolist() == every[:, score.argmax()].tolist()
     if best.any():
         for i in range(5):
@@ -117,3 +118,43 @@ def test_hardly_anything_is_added_to_clean_texts(tagger):
     texts = [t for t in held_out() if not pd_.pattern_spans(t) and "token = " not in t.lower()]
     assert len(texts) > 100
     assert sum(len(s) for s in pd_.tagger_spans(texts, tagger)) <= len(texts) // 100
+
+
+def test_runs_are_decoded_as_chains(tagger, monkeypatch):
+    """A zone of many windows has the tags of one chain over its scores, also where it is decoded in stretches; runs do not touch each other."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(["a1", " 4111 1111", "@b.de ", "+49 30 12345678 ", "10.1.2.3 "]) for _ in range(700))
+    x, starts = pd_.windows_of(text)
+    assert set(np.diff(starts)) == {pd_.WINDOW // 2}
+    e = tagger.scores(x)
+    quarter = pd_.WINDOW // 4
+    flat = np.concatenate([w[0 if k == 0 else quarter : pd_.WINDOW if k == len(e) - 1 else 3 * quarter] for k, w in enumerate(e)])[: len(text)]
+    value, came = flat[0].astype(float) + tagger.p["first"], []
+    for row in flat[1:]:
+        reach = value[:, None] + tagger.p["step"]
+        came.append(reach.argmax(axis=0))
+        value = reach.max(axis=0) + row
+    state = [int(value.argmax())]
+    for back in reversed(came):
+        state.append(int(back[state[-1]]))
+    want = np.array(state[::-1])
+    assert want.any() and (tagger.best(flat, np.array([0, len(flat)])) == want).all()
+    two = tagger.best(np.concatenate([flat, flat[:50]]), np.array([0, len(flat), len(flat), len(flat) + 50]))
+    assert (two[: len(flat)] == want).all() and (two[len(flat) :] == tagger.best(flat[:50], np.array([0, 50]))).all()
+    whole = pd_.tagger_spans([text, "none", text], tagger)
+    monkeypatch.setattr(pd_, "STRETCH", 16)
+    monkeypatch.setattr(pd_, "WINDOWS_AT_ONCE", 32)
+    assert pd_.tagger_spans([text, "none", text], tagger) == whole and whole[0] == whole[2] and whole[1] == []
+
+
+def test_dense_texts_take_linear_time(tagger):
+    """Two megabytes of digits in the tagger, and a list of 100,000 addresses in training."""
+    begin = time.perf_counter()
+    pd_.tagger_spans(["0123456789 " * 50_000], tagger)
+    half = time.perf_counter() - begin
+    begin = time.perf_counter()
+    pd_.tagger_spans(["0123456789 " * 100_000], tagger)
+    assert time.perf_counter() - begin < 3 * half + 5
+    begin = time.perf_counter()
+    pd_.training_windows("".join(f"user{k}@example{k % 97}.org, " for k in range(100_000)))
+    assert time.perf_counter() - begin < 60
