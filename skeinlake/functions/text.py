@@ -43,7 +43,7 @@ def content_type(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Repairs that keep line feeds: quotes and dashes, page lines, blanks inside lines, runs of blank lines."""
     t = F.translate(text, "‘’“”–— ", "''\"\"-- ")
-    t = F.regexp_replace(t, r"(?m)^\s*(Page\s+)?\d+\s*$", "")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*(Page[ \t]+)?\d+[ \t]*$", "")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r"([a-z])([.!?])([A-Z])", "$1$2 $3")
     t = F.regexp_replace(t, r" ?\n ?", "\n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Queries that are compared with all rows at a time: their vectors are what is broadcast.
+#: Queries that may be broadcast, and rows of a block where there are more.
 QUERY_BLOCK = 4096
 
 
@@ -28,42 +28,65 @@ def nearest(rows: DataFrame, query: list[float], id_col: str, vector_col: str, k
     return chosen.select(id_col, F.round(score, 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _top(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def _compared(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k rows most like each query, of queries (ids, unit vectors) and rows."""
+    names, matrix = queries
+    length = np.linalg.norm(vectors, axis=1)
+    score = np.round(matrix @ (vectors / np.where(length == 0, 1, length)[:, None]).T, 6)
+    score[names[:, None] == ids] = -2
+    q, r = np.nonzero(score >= np.partition(score, score.shape[1] - min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])][:, None])
+    found = pd.DataFrame({"query_id": names[q], "id": ids[r], "score": score[q, r]})
+    return _top(found[found["score"] > -2], k)
+
+
+def _units(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    size = np.linalg.norm(matrix, axis=1)
+    return rows["q"].to_numpy(), matrix / np.where(size == 0, 1, size)[:, None]
+
+
 def batch_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """query_id, id, score: the k rows most like each query, itself excluded.
 
-    Queries are taken in blocks of QUERY_BLOCK vectors; for each, every task keeps its k best, and only these are shuffled.
+    Up to QUERY_BLOCK queries are broadcast, and every task keeps its k best.  More of them meet the rows in a grid: both sides are
+    dealt to blocks, each pair of blocks is compared by a task, and only the best are shuffled.
     """
     spark = rows.sparkSession
-    numbered = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).withColumn("block", F.floor(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) / F.lit(max(1, (1 << 30) * QUERY_BLOCK // 2 // max(1, queries.count())))))
-    found = None
-    for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
-        held = numbered.where(F.col("block") == block).collect()
-        ids = np.array([r["q"] for r in held])
-        matrix = np.array([r["v"] for r in held], np.float64)
-        size = np.linalg.norm(matrix, axis=1)
-        sent = spark.sparkContext.broadcast((ids, matrix / np.where(size == 0, 1, size)[:, None]))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("q"), F.col(vector_col).alias("v"))
+    rows = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    held = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if not len(held):
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    if len(held) <= QUERY_BLOCK:
+        sent = spark.sparkContext.broadcast(_units(held))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(own, axis=1)
-                score = np.round(matrix @ (own / np.where(length == 0, 1, length)[:, None]).T, 6)
-                score[ids[:, None] == pdf["id"].to_numpy()] = -2
-                q, r = np.nonzero(score >= np.sort(score, axis=1)[:, -min(k, score.shape[1])][:, None])
-                got = pd.DataFrame({"query_id": ids[q], "id": pdf["id"].to_numpy()[r], "score": score[q, r]})
-                top = got if top is None else pd.concat([top, got])
-                top = top.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            for some in batches:
+                if len(some):
+                    got = _compared(sent.value, some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64), k)
+                    top = got if top is None else _top(pd.concat([top, got]), k)
             if top is not None:
-                yield top[top["score"] > -2]
-
-        part = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(best, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double")
+                yield top
+
+        found = rows.mapInPandas(best, "query_id long, id long, score double")
+    else:
+        ahead, down = (-(-side.count() // QUERY_BLOCK) for side in (asked, rows))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = asked.withColumn("a", block("q", ahead)).withColumn("b", every(down))
+        right = rows.withColumn("b", block("id", down)).withColumn("a", every(ahead))
+
+        def meet(asked: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(some):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return _compared(_units(asked), some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64), k)
+
+        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("place", rank).where(F.col("place") <= k).select("query_id", "id", "score")
 
