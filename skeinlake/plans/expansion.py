@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +91,9 @@ def normal_form(rows: DataFrame, keys: list[str], text_col: str, form: str = "NF
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.utf8_normalize(batch.columns[-1], form=form)], names=batch.schema.names)
+            # Arrow's own kernel leaves some long texts decomposed.
+            texts = [t and unicodedata.normalize(form, t) for t in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=batch.schema.names)
 
     return rows.select(*keys, mapped.alias(text_col)).mapInArrow(task, ", ".join(f"{c} {kinds[c]}" for c in (*keys, text_col)))
 

@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 
 SQL = {k: v for k, v in entry.oracle_sql().items() if not k.startswith("op")}
-PLAIN = sorted(set(k for k in entry.queries() if not k.startswith("op") and k != "pipeline") - set(SQL))
 
 
 def plain(value):
@@ -22,8 +21,10 @@ def plain(value):
         return tuple(plain(x) for x in value)
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)
-    if isinstance(value, (int, float)) or type(value).__name__ in ("Decimal", "float64", "float32", "int64", "int32"):
-        return f"{float(value):.6g}"
+    if isinstance(value, int) or type(value).__name__ in ("int64", "int32"):
+        return int(value)
+    if isinstance(value, float) or type(value).__name__ in ("Decimal", "float64", "float32"):
+        return int(value) if float(value).is_integer() and abs(value) < 1e6 else f"{float(value):.6g}"
     return str(value)
 
 
@@ -39,9 +40,3 @@ def test_against_sql(spark, duck, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", PLAIN)
-def test_runs(spark, name):
-    got = entry.queries()[name](spark, str(DATA))
-    assert got.columns and len(got.collect()) >= 0
