@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import ranks
+from .lineage import cut
 
 #: Queries that may be broadcast, and rows of a block where there are more.
 QUERY_BLOCK = 4096
@@ -91,6 +93,36 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col:
     return found.withColumn("place", rank).where(F.col("place") <= k).select("query_id", "id", "score")
 
 
+#: Columns of a table of ratings that may become the dimensions of vectors.
+MOST_DIMENSIONS = 4096
+
+
+def most_alike(ratings: DataFrame, row: str, column: str, value: str, k: int) -> DataFrame:
+    """row, other, similarity: the k rows with most similar values above 0, by the cosine over the columns that both have.
+
+    Rows become vectors that are compared in a grid of blocks: pairs stay in the tasks, and only the best are shuffled.  Beyond MOST_DIMENSIONS
+    columns, products meet on columns instead, which a row has few of.  Repeated pairs of row and column, and null values, are not for this.
+    """
+    held = cut(ratings.select(F.col(row).cast("long").alias("row"), F.col(column).alias("column"), F.col(value).cast("double").alias("value")).where("row IS NOT NULL AND column IS NOT NULL AND value IS NOT NULL"))
+    columns = held.select("column").distinct()
+    d = columns.count()
+    if d <= MOST_DIMENSIONS:
+        placed = held.join(ranks.numbered(columns, "column", "i"), "column")
+        entries = F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), "value")))
+        rows = placed.groupBy("row").agg(entries.alias("m")).select("row", F.transform(F.sequence(F.lit(1), F.lit(max(d, 1))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+        rows = cut(rows)
+        found = batch_nearest(rows, rows, "row", "v", k).select(F.col("query_id").alias("row"), F.col("id").alias("other"), F.col("score").alias("similarity"))
+    else:
+        norms = held.groupBy("row").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+        other = held.select(F.col("row").alias("other"), "column", F.col("value").alias("w"))
+        dots = held.join(other, "column").where("row <> other").groupBy("row", "other").agg(F.sum(F.col("value") * F.col("w")).alias("dot"))
+        both = dots.join(norms, "row").join(norms.select(F.col("row").alias("other"), F.col("norm").alias("n2")), "other")
+        scored = both.select("row", "other", F.round(F.try_divide("dot", F.col("norm") * F.col("n2")), 6).alias("similarity"))
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity"), "other"))
+        found = scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return found.where("similarity > 0").select(F.col("row").alias(row), "other", "similarity")
+
+
 def fuse(lists: list[tuple[DataFrame, float]], id_col: str = "id", score_col: str = "score") -> DataFrame:
     """Weighted mean of the scores that an id has in the lists."""
     every = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import ranks
+from ..operators import neighbours, ranks
 from ..operators.lineage import cut
 from ..operators.recommend import WEIGHTS, diverse, reasons
 from .learners import _MASTERY_SQL, _mastery
@@ -23,18 +23,12 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten learners most like each one by the cosine of their ratings: products meet on concepts, lengths are joined after."""
-    rated = _rated(spark, sf_dir).select("student_id", "concept_id", "rating")
-    norms = rated.groupBy("student_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    other = rated.select(F.col("student_id").alias("other"), "concept_id", F.col("rating").alias("r"))
-    dots = rated.join(other, "concept_id").where("student_id <> other").groupBy("student_id", "other").agg(F.sum(F.col("rating") * F.col("r")).alias("dot"))
-    rows = dots.join(norms, "student_id").join(norms.select(F.col("student_id").alias("other"), F.col("norm").alias("n2")), "other").select("student_id", "other", F.round(F.try_divide("dot", F.col("norm") * F.col("n2")), 6).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("similarity"), "other"))
-    return rows.withColumn("place", place).where("place <= 10").drop("place")
+    """The ten learners most like each one by the cosine of their ratings."""
+    return neighbours.most_alike(_rated(spark, sf_dir), "student_id", "concept_id", "rating", 10)
 
 
 _SIMILAR_SQL = """norms AS (SELECT student_id, sqrt(sum(rating * rating)) AS norm FROM rated GROUP BY 1), dots AS (SELECT a.student_id, b.student_id AS other, sum(a.rating * b.rating) AS dot FROM rated a JOIN rated b ON a.concept_id = b.concept_id AND a.student_id <> b.student_id GROUP BY 1, 2),
-sim0 AS (SELECT d.student_id, other, round(dot / nullif(x.norm * y.norm, 0), 6) AS similarity FROM dots d JOIN norms x ON x.student_id = d.student_id JOIN norms y ON y.student_id = other), sim AS (SELECT student_id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY similarity DESC, other) AS place FROM sim0) WHERE place <= 10)"""
+sim0 AS (SELECT d.student_id, other, round(dot / nullif(x.norm * y.norm, 0), 6) AS similarity FROM dots d JOIN norms x ON x.student_id = d.student_id JOIN norms y ON y.student_id = other WHERE round(dot / nullif(x.norm * y.norm, 0), 6) > 0), sim AS (SELECT student_id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY similarity DESC, other) AS place FROM sim0) WHERE place <= 10)"""
 
 
 @query(f"WITH {_PROFILE_SQL}, {_SIMILAR_SQL} SELECT student_id, other, round(similarity + 1e-9, 5) AS similarity FROM sim")

@@ -55,3 +55,24 @@ def test_hybrid_of_all_lists(spark, history):
     for r in got:
         x = want[r["id"]]
         assert r["score"] == pytest.approx(sum(a * w for a, w in x) / sum(w for _, w in x), abs=3e-6)
+
+
+@pytest.mark.parametrize("dimensions", [4096, 3])
+def test_most_alike_rows(spark, monkeypatch, dimensions):
+    """Both ways against numpy: rows without values in common, zeros, one column that nearly all rows have."""
+    monkeypatch.setattr(neighbours, "MOST_DIMENSIONS", dimensions)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    table = {(r, c): float(rng.integers(0, 5)) for r in range(60) for c in range(12) if rng.random() < (0.9 if c == 0 else 0.15)} | {(99, "x"): 1.0}
+    df = spark.createDataFrame([(r, str(c), v) for (r, c), v in table.items()] + [(5, None, 1.0), (None, "0", 1.0), (6, "7", None)], "r long, c string, v double")
+    rows, columns = sorted({r for r, _ in table}), sorted({str(c) for _, c in table})
+    matrix = np.zeros((len(rows), len(columns)))
+    for (r, c), v in table.items():
+        matrix[rows.index(r), columns.index(str(c))] = v
+    size = np.linalg.norm(matrix, axis=1)
+    score = np.round(matrix @ matrix.T / np.where(size == 0, 1, size)[:, None] / np.where(size == 0, 1, size), 6)
+    want = []
+    for i, r in enumerate(rows):
+        order = sorted((-score[i, j], o) for j, o in enumerate(rows) if j != i and score[i, j] > 0)[:4]
+        want += [(r, o, round(-s, 6)) for s, o in order]
+    assert sorted(tuple(x) for x in neighbours.most_alike(df, "r", "c", "v", 4).collect()) == sorted(want)
