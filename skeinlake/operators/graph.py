@@ -179,23 +179,24 @@ def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs.select("begin", "goal").distinct())
     links, _ = contracted(edges.select("src", "dst").distinct(), pairs.select(F.explode(F.array("begin", "goal")).alias("node")))
-    key = ["begin", "goal", "node"]
+    key, pair = ["begin", "goal", "node"], ["begin", "goal"]
     ahead = new_ahead = pairs.withColumn("node", F.col("begin"))
     behind = new_behind = pairs.withColumn("node", F.col("goal"))
-    met = cut(pairs.where("begin = goal"))
+    met = pairs.where("begin = goal")
+    said = lambda rows, a, b, m: rows.select(*pair, F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(m).alias("m"))
     while True:
-        new_ahead = cut(new_ahead.join(links, new_ahead.node == links.src).select("begin", "goal", F.col("dst").alias("node")).distinct().join(ahead, key, "left_anti"))
-        met_now = new_ahead.join(behind, key, "left_semi").select("begin", "goal")
+        new_ahead = cut(new_ahead.join(links, new_ahead.node == links.src).select(*pair, F.col("dst").alias("node")).distinct().join(ahead, key, "left_anti"))
         ahead = ahead.unionByName(new_ahead)
-        new_behind = cut(new_behind.join(links, new_behind.node == links.dst).select("begin", "goal", F.col("src").alias("node")).distinct().join(behind, key, "left_anti"))
-        met_now = met_now.unionByName(new_behind.join(ahead, key, "left_semi").select("begin", "goal"))
+        new_behind = cut(new_behind.join(links, new_behind.node == links.dst).select(*pair, F.col("src").alias("node")).distinct().join(behind, key, "left_anti"))
+        hits = said(new_ahead.join(behind, key, "left_semi"), 0, 0, 1).unionByName(said(new_behind.join(ahead, key, "left_semi"), 0, 0, 1))
         behind = behind.unionByName(new_behind)
-        met = cut(met.unionByName(met_now).distinct())
-        both = new_ahead.select("begin", "goal").distinct().join(new_behind.select("begin", "goal").distinct(), ["begin", "goal"], "left_semi")
-        both = cut(both.join(met, ["begin", "goal"], "left_anti"))
+        state = said(new_ahead, 1, 0, 0).unionByName(said(new_behind, 0, 1, 0)).unionByName(hits).groupBy(*pair).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("m").alias("m"))
+        state = cut(state)
+        met = met.unionByName(state.where("m = 1").select(*pair))
+        both = state.where("a = 1 AND b = 1 AND m = 0").select(*pair)
         if both.isEmpty():
-            return met
-        new_ahead, new_behind = (x.join(both, ["begin", "goal"], "left_semi").select(*key) for x in (new_ahead, new_behind))
+            return met.distinct()
+        new_ahead, new_behind = (x.join(both, pair, "left_semi").select(*key) for x in (new_ahead, new_behind))
 
 
 def closes_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -204,36 +205,44 @@ def closes_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("is_cycle"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, level, on_cycle: edges on the longest way to a node without prerequisites; nodes of one cycle share a level.
+def _settled(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """node, level of the nodes whose levels follow from nodes without prerequisites; and whether these are all nodes.
 
-    Components are single nodes here, and edges inside them do not count.  A node's level is known once those of all that it requires
-    are; chains are contracted.
+    A node's level is known once all its links have told theirs; chains are contracted.
     """
-    edges = edges.select("src", "dst").distinct()
-    of = cut(strongly_connected(edges))
-    if not of.isEmpty():
-        part = lambda end: of.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
-        edges = edges.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
-        edges = edges.select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct()
-    edges = cut(edges)
-    known = nodes.select("node").distinct().join(of, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.col("component").isNotNull().alias("on_cycle"))
     links, inner = contracted(edges)
-    every = known.select(F.col("of").alias("node")).unionByName(links.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
-    every = every.join(inner.select("node"), "node", "left_anti")
-    new = cut(every.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    done, partial, pending = new, None, links
+    every = nodes.unionByName(links.select(F.explode(F.array("src", "dst")).alias("node"))).distinct().join(inner.select("node"), "node", "left_anti")
+    needs = links.groupBy("src").agg(F.count("*").alias("need"))
+    links = cut(links.join(needs, "src"))
+    state = cut(every.join(needs.withColumnRenamed("src", "node"), "node", "left").select("node", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("got"), F.coalesce("need", F.lit(0)).alias("need")))
+    total, new = state.count(), state.where("need = 0")
+    done, partial = new.select("node", "level"), state.where("need < 0")
     while not new.isEmpty():
-        hits = pending.join(new, pending.dst == new.node).select(F.col("src").alias("node"), (F.col("level") + F.col("length")).alias("level"))
-        best = (hits if partial is None else partial.unionByName(hits)).groupBy("node").agg(F.max("level").alias("level"))
-        pending = cut(pending.join(new.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "length"))
-        waits = pending.select(F.col("src").alias("node"), F.lit(True).alias("waits")).distinct()
-        best = cut(best.join(waits, "node", "left").select("node", "level", F.coalesce("waits", F.lit(False)).alias("waits")))
-        partial, new = best.where("waits").select("node", "level"), best.where("NOT waits").select("node", "level")
-        done = done.unionByName(new)
+        told = links.join(new.select("node", "level"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), (F.col("level") + F.col("length")).alias("level"), F.lit(1).cast("long").alias("got"), "need")
+        state = cut(partial.unionByName(told).groupBy("node").agg(F.max("level").alias("level"), F.sum("got").alias("got"), F.max("need").alias("need")))
+        new, partial = state.where("got = need"), state.where("got < need")
+        done = done.unionByName(new.select("node", "level"))
+    done = cut(done)
     inner_levels = inner.join(done.withColumnRenamed("node", "tail"), "tail").select("node", (F.col("level") + F.col("to_tail")).alias("level"))
-    found = done.unionByName(inner_levels).withColumnRenamed("node", "of")
-    return known.join(found, "of").select("node", "level", "on_cycle")
+    return done.unionByName(inner_levels), done.count() == total and inner.where("ring IS NOT NULL").isEmpty()
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, level, on_cycle: edges on the longest way to a node without prerequisites; nodes of one cycle share a level.
+
+    Where there are cycles, components are single nodes, and edges inside them do not count.
+    """
+    edges, nodes = cut(edges.select("src", "dst").distinct()), cut(nodes.select("node").distinct())
+    found, whole = _settled(edges, nodes)
+    if whole:
+        return nodes.join(found, "node").withColumn("on_cycle", F.lit(False))
+    of = cut(strongly_connected(edges))
+    part = lambda end: of.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
+    joined = edges.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
+    joined = cut(joined.select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct())
+    known = cut(nodes.join(of, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.col("component").isNotNull().alias("on_cycle")))
+    found, _ = _settled(joined, known.select(F.col("of").alias("node")))
+    return known.join(found.withColumnRenamed("node", "of"), "of").select("node", "level", "on_cycle")
 
 
 def shortest(edges: DataFrame, start: int, hops: int) -> DataFrame:

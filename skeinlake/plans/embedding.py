@@ -45,7 +45,7 @@ def embedding_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.by_document(_piped(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, count(*) AS chunks, count(*) AS embedded, 0 AS failed, sum(characters) AS characters FROM ({registered_sql('greedy_chunks')}) GROUP BY 1")
+@query(f"SELECT doc_id, count(*) AS chunks, count(*) AS embedded, CAST(0 AS BIGINT) AS failed, CAST(sum(characters) AS BIGINT) AS characters FROM ({registered_sql('greedy_chunks')}) GROUP BY 1")
 def embedding_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document by outcome."""
     rows = _piped(spark, sf_dir)

@@ -103,7 +103,7 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.recall(found, neighbours.batch_nearest(rows, queries, "vec_id", "embedding", 10)).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
 
 
-@query("SELECT sum(1) AS rows, true AS whole FROM embeddings WHERE embedding IS NOT NULL")
+@query("SELECT count(*) AS rows, true AS whole FROM embeddings WHERE embedding IS NOT NULL")
 def vector_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the files of an index, and whether they are those of its lists."""
     _, index = _indexed(spark, sf_dir)
