@@ -1,8 +1,8 @@
 """Prerequisite graphs: edges are rows (src, dst), src requires dst.
 
 Rounds go on until nothing is new; a number of hops is a bound only where a caller gives one.  Before rounds that
-follow edges to any depth, chains are contracted: a node with one edge in and one out is passed over by pointers that double
-their reach each round, so that a chain or a ring of n nodes takes log n rounds.  What is left takes as many rounds as
+follow edges to any depth, chains are contracted (at once, or after SHALLOW rounds that did not end): a node with one edge in and one out
+is passed over by pointers that double their reach each round, so that a chain or a ring of n nodes takes log n rounds.  What is left takes as many rounds as
 its longest way has nodes with several edges.  Each round's rows are written in the shared folder: plans stay small, and a lost
 executor repeats one round at most.
 """
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Rounds that are tried without contracting chains first, which takes about as many.
+SHALLOW = 16
+
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, node, depth: the nodes within `hops` edges of each start (column node), at their least depth."""
@@ -159,17 +162,26 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node: all that each start (column node) leads to, itself included."""
-    starts = cut(starts.select("node").distinct())
-    links, inner = contracted(edges.select("src", "dst").distinct(), starts)
-    new = cut(starts.select(F.col("node").alias("start"), "node"))
-    found = new
-    while True:
+    starts, edges = cut(starts.select("node").distinct()), edges.select("src", "dst").distinct()
+    own = starts.select(F.col("node").alias("start"), "node")
+    found, whole = _spread(edges, own, SHALLOW)
+    if whole:
+        return found
+    links, inner = contracted(edges, starts)
+    found, _ = _spread(links, own, None)
+    return found.unionByName(found.join(inner.select("head", F.col("node").alias("passed")), F.col("node") == F.col("head")).select("start", F.col("passed").alias("node")))
+
+
+def _spread(links: DataFrame, found: DataFrame, rounds: int | None) -> tuple[DataFrame, bool]:
+    """start and node of all that links lead to, and whether the rounds were enough."""
+    new, n = found, 0
+    while rounds is None or n < rounds:
         step = new.join(links, new.node == links.src).select("start", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(found, ["start", "node"], "left_anti"))
+        new, n = cut(step.join(found, ["start", "node"], "left_anti")), n + 1
         if new.isEmpty():
-            break
+            return found, True
         found = found.unionByName(new)
-    return found.unionByName(found.join(inner.select("head", F.col("node").alias("passed")), F.col("node") == F.col("head")).select("start", F.col("passed").alias("node")))
+    return found, False
 
 
 def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -205,24 +217,33 @@ def closes_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("is_cycle"))
 
 
-def _settled(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
+def _settled(edges: DataFrame, nodes: DataFrame, rounds: int | None = SHALLOW) -> tuple[DataFrame, bool]:
     """node, level of the nodes whose levels follow from nodes without prerequisites; and whether these are all nodes.
 
-    A node's level is known once all its links have told theirs; chains are contracted.
+    A node's level is known once all its links have told theirs; chains are contracted where some rounds are not enough.
     """
-    links, inner = contracted(edges)
-    every = nodes.unionByName(links.select(F.explode(F.array("src", "dst")).alias("node"))).distinct().join(inner.select("node"), "node", "left_anti")
+    if rounds is None:
+        links, inner = contracted(edges)
+    else:
+        links, inner = edges.withColumn("length", F.lit(1).cast("long")), None
+    every = nodes.unionByName(links.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    every = every if inner is None else every.join(inner.select("node"), "node", "left_anti")
     needs = links.groupBy("src").agg(F.count("*").alias("need"))
     links = cut(links.join(needs, "src"))
     state = cut(every.join(needs.withColumnRenamed("src", "node"), "node", "left").select("node", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("got"), F.coalesce("need", F.lit(0)).alias("need")))
     total, new = state.count(), state.where("need = 0")
-    done, partial = new.select("node", "level"), state.where("need < 0")
+    done, partial, n = new.select("node", "level"), state.where("need < 0"), 0
     while not new.isEmpty():
+        if n == rounds:
+            return _settled(edges, nodes, None)
+        n += 1
         told = links.join(new.select("node", "level"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), (F.col("level") + F.col("length")).alias("level"), F.lit(1).cast("long").alias("got"), "need")
         state = cut(partial.unionByName(told).groupBy("node").agg(F.max("level").alias("level"), F.sum("got").alias("got"), F.max("need").alias("need")))
         new, partial = state.where("got = need"), state.where("got < need")
         done = done.unionByName(new.select("node", "level"))
     done = cut(done)
+    if inner is None:
+        return done, done.count() == total
     inner_levels = inner.join(done.withColumnRenamed("node", "tail"), "tail").select("node", (F.col("level") + F.col("to_tail")).alias("level"))
     return done.unionByName(inner_levels), done.count() == total and inner.where("ring IS NOT NULL").isEmpty()
 
