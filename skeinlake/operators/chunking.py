@@ -126,17 +126,27 @@ _SOLUTION = re.compile(r"(?:Solution|Answer|Proof)[:.]?|(?:We\s+(?:have|get|obta
 _SENTENCE, _PARAGRAPH = re.compile(r"[.!?]+\s+"), re.compile(r"\n\s*\n")
 
 
-def merged(regions: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
-    """Regions with at most `gap` characters between them as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(regions):
+#: What a protected region holds, as bits: a region of several kinds has several, one of a function's value alone has none.
+MATH, DEFINITION, EXAMPLE = 1, 2, 4
+KINDS = {MATH: "math", DEFINITION: "definition", EXAMPLE: "example"}
+
+
+def united(regions: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(begin, end, kinds): regions with at most `gap` characters between them as one, which is of all their kinds."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, kinds in sorted(regions):
         if out and a <= out[-1][1] + gap:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+            out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] | kinds)
         else:
-            out.append((a, b))
+            out.append((a, b, kinds))
     return out
 
 
+def merged(regions: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """Regions with at most `gap` characters between them as one."""
+    return [(a, b) for a, b, _ in united([(a, b, 0) for a, b in regions], gap)]
+
+
 def _region_at(regions: list[tuple[int, int]], pos: int) -> tuple[int, int] | None:
     k = bisect_right(regions, (pos, float("inf"))) - 1
     return regions[k] if k >= 0 and regions[k][0] <= pos <= regions[k][1] else None
@@ -206,36 +216,67 @@ def by_sentences(text: str, sizes: tuple[int, int, int, int] = BY_SENTENCES) ->
     return out
 
 
-def protected(text: str) -> list[tuple[int, int]]:
-    """Formulas, definitions with what follows them, and examples with their solutions; close ones are one region."""
-    formulas = merged(formulas_in_structure(text), 10)
+def _formula_kind(formula: str) -> int:
+    """Formulas are mathematics, but for values of functions such as "f(x) = y", without dollars and signs of operations."""
+    marked = formula.startswith("$") or "\\begin{" in formula or ("=" in formula and any(x in formula for x in "+-*/"))
+    return MATH if marked or not ("f(" in formula or "g(" in formula) else 0
+
+
+def formula_regions(text: str) -> list[tuple[int, int, int]]:
+    return [(a, b, _formula_kind(text[a:b])) for a, b in formulas_in_structure(text)]
+
+
+def definition_regions(text: str) -> list[tuple[int, int, int]]:
+    """Sentences that define something, with the one behind them, and one more if that is short."""
     ends = [m.span() for m in _SENTENCE.finditer(text)]
-    breaks, examples, solutions = ([m.start() for m in p.finditer(text)] for p in (_PARAGRAPH, _EXAMPLE, _SOLUTION))
-    after = lambda places, pos: places[k] if (k := bisect_left(places, pos)) < len(places) else None
-    definitions, begin, stops = [], 0, [e for _, e in ends]
+    out, begin, stops = [], 0, [e for _, e in ends]
     for a, b in [*ends, (len(text), len(text))]:
         if _DEFINES.search(text, begin, a):
             k = bisect_right(stops, a)
             short = k + 1 < len(stops) and stops[k] - a < 100
-            definitions.append((begin, stops[k + short] if k < len(stops) else min(a + 200, len(text))))
+            out.append((begin, stops[k + short] if k < len(stops) else min(a + 200, len(text)), DEFINITION))
         begin = b
-    shown = []
+    return out
+
+
+def example_regions(text: str) -> list[tuple[int, int, int]]:
+    """Examples with a solution near them, or up to the end of their paragraph."""
+    breaks, examples, solutions = ([m.start() for m in p.finditer(text)] for p in (_PARAGRAPH, _EXAMPLE, _SOLUTION))
+    after = lambda places, pos: places[k] if (k := bisect_left(places, pos)) < len(places) else None
+    out = []
     for a in examples:
         answer = after(solutions, a)
         if answer is not None and answer - a < 500:
             end = after(examples, answer + 51) or after(breaks, answer + 51) or answer + 300
         else:
             end = after(breaks, a) or a + 200
-        shown.append((a, min(end, len(text))))
-    return merged(formulas + definitions + merged(shown, 0), 20)
+        out.append((a, min(end, len(text)), EXAMPLE))
+    return out
+
+
+def protected_kinds(text: str) -> list[tuple[int, int, int]]:
+    """(begin, end, kinds) of formulas, definitions and examples; close ones are one region."""
+    return united(united(formula_regions(text), 10) + definition_regions(text) + united(example_regions(text), 0), 20)
+
+
+def protected(text: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in protected_kinds(text)]
 
 
-def by_structure(text: str, sizes: tuple[int, int, int, int] = BY_STRUCTURE) -> list[tuple[int, int, str]]:
+def kind_in(regions: list[tuple[int, int, int]], begin: int, end: int) -> str:
+    """The kind of the first region that reaches into these characters and has one; of several, mathematics, then definition, then example."""
+    for a, b, kinds in regions:
+        if a < end and b > begin and kinds:
+            return KINDS[kinds & -kinds]
+    return "text"
+
+
+def by_structure(text: str, sizes: tuple[int, int, int, int] = BY_STRUCTURE, regions: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
     """(begin, end, chunk) of a section: ends behind or before a protected region at the target, else at the best of paragraph, sentence and word ends around it."""
     target, least, _, overlap = sizes
     if len(text.strip()) < least:
         return [(0, len(text), text)] if text.strip() else []
-    regions = protected(text)
+    regions = protected(text) if regions is None else regions
     ends, pos = [], 0
     while pos + target < len(text):
         goal = pos + target
@@ -261,6 +302,23 @@ def by_structure(text: str, sizes: tuple[int, int, int, int] = BY_STRUCTURE) ->
     return out
 
 
+def by_structure_with_kinds(text: str, sizes: tuple[int, int, int, int] = BY_STRUCTURE) -> list[tuple[int, int, str, str, str, int]]:
+    """Chunks of a section as `by_structure` cuts them, with the kind that protected regions give them.
+
+    `kind` looks at regions that reach into begin..finish, `kind_from_start` at those that begin before the chunk's length, as if each chunk
+    were its section's first; `regions` counts the former.  A section that is too small to be cut is text.
+    """
+    if len(text.strip()) < sizes[1]:
+        return [(*c, "text", "text", 0) for c in by_structure(text, sizes)]
+    regions = protected_kinds(text)
+    cuts = by_structure(text, sizes, [(a, b) for a, b, _ in regions])
+    return [(a, b, c, kind_in(regions, a, b), kind_in(regions, 0, len(c)), sum(x < b and y > a for x, y, _ in regions)) for a, b, c in cuts]
+
+
+#: The columns that `by_structure_with_kinds` adds.
+KIND_COLUMNS = {"kind": "string", "kind_from_start": "string", "regions": "long"}
+
+
 def greedy(text: str, size: int = 1500) -> list[tuple[int, int, str]]:
     """Paragraphs in a row as long as they fit; (number of the first, of the one after the last, chunk)."""
     if len(text.strip()) <= size:
@@ -275,9 +333,11 @@ def greedy(text: str, size: int = 1500) -> list[tuple[int, int, str]]:
     return [(a, b, "\n\n".join(parts)) for a, b, _, parts in out]
 
 
-def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[str], list[tuple[int, int, str]]]) -> DataFrame:
-    """keys, chunk_no, begin, finish, chunk of each text; null and blank texts have none."""
+def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[str], list[tuple]], more: dict[str, str] | None = None) -> DataFrame:
+    """keys, chunk_no, begin, finish, chunk of each text, and what else the cutter gives (name: type); null and blank texts have none."""
     kinds = dict(rows.dtypes)
+    given = {"chunk_no": "long", "begin": "long", "finish": "long", "chunk": "string"} | (more or {})
+    arrow = {"long": pa.int64(), "string": pa.string()}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,11 +346,12 @@ def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[st
                 some = cutter(text or "")
                 owner += [i] * len(some)
                 found += [(k, *c) for k, c in enumerate(some)]
-            number, begin, finish, chunk = zip(*found, strict=True) if found else ((), (), (), ())
+            values = zip(*found, strict=True) if found else [()] * len(given)
             columns = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int64()), pa.array(begin, pa.int64()), pa.array(finish, pa.int64()), pa.array(chunk, pa.string())], [*keys, "chunk_no", "begin", "finish", "chunk"])
+            columns += [pa.array(v, arrow[kind]) for v, kind in zip(values, given.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *given])
 
-    return rows.select(*keys, text_col).mapInArrow(task, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk_no long, begin long, finish long, chunk string")
+    return rows.select(*keys, text_col).mapInArrow(task, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{k} {kind}" for k, kind in given.items()]))
 
 
 def sections(books: DataFrame) -> DataFrame:

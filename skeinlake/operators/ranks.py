@@ -28,6 +28,24 @@ def numbered(rows: DataFrame, order: str | list[str | Column], name: str, within
     return laid.withColumn("_own", own).join(counts, on).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_p", "_w", "_before")
 
 
+def running_sum(rows: DataFrame, value: str, order: str | list[str | Column], name: str, within: str | None = None) -> DataFrame:
+    """Adds `name`: the sum of `value` (null counts as 0) up to the row in this order, over the whole table or in each value of `within`.
+
+    `order` is free of ties in a group, or rows that tie are added in any order.  Laid out in ranges as in `numbered`.
+    """
+    order = [order] if isinstance(order, str) else order
+    lead = [within] if within else []
+    laid = cut(rows.repartitionByRange(*lead, *order).withColumn("_part", F.spark_partition_id()))
+    sums = laid.groupBy("_part", *lead).agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy(*(lead or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_part").alias("_p"), *(F.col(c).alias("_w") for c in lead), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    if within:
+        on = on & F.col(within).eqNullSafe(F.col("_w"))
+    own = F.sum(value).over(Window.partitionBy("_part", *lead).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return laid.withColumn("_own", own).join(sums, on).withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_before")).drop("_part", "_own", "_p", "_w", "_before")
+
+
 def beside(rows: DataFrame, number: str, steps: int, columns: dict[str, str], within: str | None = None) -> DataFrame:
     """Adds columns (new name: old one) of the row that is `steps` later in the numbering; null where there is none."""
     other = rows.select((F.col(number) - steps).alias("_at"), *([F.col(within).alias("_in")] if within else []), *(F.col(old).alias(new) for new, old in columns.items()))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prose as P
-from ..operators import chunking
+from ..operators import chunking, concepts
 from .projection import read
 from .registry import query, typed
-from .structure import BOOKS_SQL, books
+from .structure import BOOKS_SQL, ELEMENTS_SQL, books
 
 
 def _rows(found: DataFrame, *keys: str) -> DataFrame:
@@ -45,6 +45,14 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(chunking.chunks(chunking.sections(books(spark, sf_dir)), ["book_id", "section"], "text", chunking.by_structure), "book_id", "section")
 
 
+@query()
+def region_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each section's chunks by the first formula, definition or example that reaches into them; a fold over each section, beyond SQL."""
+    sections = chunking.sections(books(spark, sf_dir))
+    found = chunking.chunks(sections, ["book_id", "section"], "text", chunking.by_structure_with_kinds, chunking.KIND_COLUMNS)
+    return found.select("book_id", "section", "chunk_no", "begin", "finish", "kind", "kind_from_start", "regions")
+
+
 @query()
 def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books in chunks, by structure or by sentences, as each one's assessment says."""
@@ -66,3 +74,21 @@ def book_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("book_id").orderBy("first_line", "concept")
     rows = first.select("book_id", "concept", F.row_number().over(w).cast("long").alias("place"), F.col("first_line").cast("long").alias("first_line"), (F.coalesce(F.lead("first_line").over(w), F.col("total")) - F.col("first_line")).cast("long").alias("lines"))
     return rows.where("place <= 10")
+
+
+def _form_sql(form: int) -> str:
+    p = concepts.FORMS[form].replace("'", "''")
+    return f"""SELECT book_id, section, length(text) AS size, {form} AS form, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', 1) AS ns, string_split_regex(text, '{p}') AS ps FROM sec"""
+
+
+@query(typed(f"""WITH {ELEMENTS_SQL}, sp AS (SELECT a.book_id, a.start, coalesce((SELECT min(b.start) FROM e b WHERE b.book_id = a.book_id AND b.line_no > a.line_no AND b.level <= a.level), (SELECT max(finish) FROM e b WHERE b.book_id = a.book_id)) AS until FROM e a),
+sec AS (SELECT book_id, coalesce(start, 0) AS section, CASE WHEN start IS NULL THEN text ELSE substr(text, start + 1, until - start) END AS text FROM books LEFT JOIN sp USING (book_id)),
+f AS ({" UNION ALL ".join(_form_sql(k) for k in range(len(concepts.FORMS)))}), i AS (SELECT *, unnest(range(len(ms))) AS i FROM f),
+x AS (SELECT book_id, section, size, form, list_sum(list_transform(ps[1:i + 1], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i], lambda m: length(m))), 0) AS pos, substr(regexp_replace(regexp_replace(ns[i + 1], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), 1, 100) AS concept FROM i),
+n AS (SELECT book_id, section, concept, max(size) AS size, arg_min(pos, form * 1000000000000 + pos) AS pos FROM x WHERE concept <> '' GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER w AS place, coalesce(lead(pos) OVER w, size) AS finish FROM n WINDOW w AS (PARTITION BY book_id, section ORDER BY pos))
+SELECT book_id, section, place, concept, pos AS "begin", finish FROM o WHERE place <= 10""", section="BIGINT", finish="BIGINT", **{'"begin"': "BIGINT"}))
+def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten concepts of each section, by the words, the marks and the numbered headings that introduce them, each with the text up to the next one."""
+    found = concepts.introduced(chunking.sections(books(spark, sf_dir)), ["book_id", "section"])
+    return found.withColumn("section", F.col("section").cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from .projection import read
 from .registry import query, typed
 
@@ -116,10 +117,8 @@ def mean_grade_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.event_id, a.user_id AS learner, d.doc_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) d USING (i)""")
 def zipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two tables by position: each is numbered in parallel, by ranges of its key, and joined on the number."""
-    from ..operators.ranks import numbered
-
-    events = numbered(read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("learner")), "event_id", "i")
-    return events.join(numbered(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "i"), "i").select("event_id", "learner", "doc_id")
+    events = ranks.numbered(read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("learner")), "event_id", "i")
+    return events.join(ranks.numbered(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "i"), "i").select("event_id", "learner", "doc_id")
 
 
 @query(typed(f"""WITH {_TAGS_SQL}, r AS (SELECT ticket, len(concepts) AS n, sum(len(concepts)) OVER (PARTITION BY ticket % 50 ORDER BY ticket) AS total FROM tags)
@@ -127,7 +126,7 @@ SELECT ticket % 50 AS segment, ticket, CASE WHEN total <= 40 THEN n ELSE 40 - (t
 def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each segment until the budget of 40 is spent; the last one is cut."""
     rows = _tags(spark, sf_dir).select((F.col("ticket") % 50).alias("segment"), "ticket", F.size("concepts").cast("long").alias("n"))
-    rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("segment").orderBy("ticket")))
+    rows = ranks.running_sum(rows, "n", "ticket", "total", "segment")
     return rows.where("total - n < 40").select("segment", "ticket", F.when(F.col("total") <= 40, F.col("n")).otherwise(40 - F.col("total") + F.col("n")).alias("taken"))
 
 

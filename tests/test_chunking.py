@@ -79,3 +79,46 @@ def test_formulas_of_any_length_are_protected():
     for text in ("\\frac{" * 100_000, "\\begin{align}" * 50_000, "1+2 " * 100_000, "f(" * 200_000, "\\a{" * 200_000):
         chunking.formulas_in_structure(text), chunking.formulas_in_sentences(text)
     assert time.perf_counter() - clock < 20
+
+
+def united(regions, gap):
+    """Regions united until none is within the gap of another, in any order."""
+    regions = [(a, b, frozenset([k] if isinstance(k, int) and k else k or [])) for a, b, k in regions]
+    while True:
+        pair = next(((x, y) for i, x in enumerate(regions) for y in regions[i + 1 :] if x[0] <= y[1] + gap and y[0] <= x[1] + gap), None)
+        if pair is None:
+            return sorted(regions)
+        x, y = pair
+        regions.remove(x)
+        regions.remove(y)
+        regions.append((min(x[0], y[0]), max(x[1], y[1]), x[2] | y[2]))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_kinds_of_regions(seed):
+    text = text_of(seed, 30 + 20 * seed)
+    formulas = united(chunking.formula_regions(text), 10)
+    examples = united(chunking.example_regions(text), 0)
+    want = united([*formulas, *chunking.definition_regions(text), *examples], 20)
+    assert [(a, b, sum(kinds)) for a, b, kinds in want] == chunking.protected_kinds(text)
+    names = ((1, "math"), (2, "definition"), (4, "example"))
+    first = lambda a, b: next((next(n for k, n in names if k in kinds) for x, y, kinds in want if x < b and y > a and kinds), "text")
+    found = chunking.by_structure_with_kinds(text)
+    assert [c[:3] for c in found] == chunking.by_structure(text)
+    if len(text.strip()) >= 300:
+        assert [c[3:5] for c in found] == [(first(a, b), first(0, len(c))) for a, b, c, *_ in found]
+        assert [c[5] for c in found] == [sum(x < b and y > a for x, y, _ in want) for a, b, *_ in found]
+
+
+def test_worked_kinds():
+    kinds = lambda text: [c[3] for c in chunking.by_structure_with_kinds(text)]
+    filler = "Plain words stand here. " * 60
+    assert kinds(filler) == ["text"] * len(kinds(filler))
+    assert kinds("Some $a + b$ here. " + filler)[0] == "math" and kinds("Some $a + b$ here. " + filler)[-1] == "text"
+    assert kinds("A Graph is defined as a set. " + filler)[0] == "definition"
+    assert kinds("Example 3: take this. " + filler)[0] == "example"
+    assert kinds("A value f(x) = y. " + filler)[0] == "text"
+    assert kinds("A Graph is defined as $a$. " + filler)[0] == "math"
+    assert kinds("Example $a$") == ["text"] and kinds("") == [] and kinds(" \n ") == []
+    late = filler + "Example 3: take this. " + filler
+    assert [c[3:5] for c in chunking.by_structure_with_kinds(late)][0] == ("text", "text")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from skeinlake.operators import exports, graph, intervals, mastery, ranks
+from skeinlake.operators import concepts, exports, graph, intervals, mastery, ranks
 from skeinlake.streaming.sessions import sessions
 
 
@@ -28,6 +29,47 @@ def test_numbers_and_neighbours(spark):
     assert ranks.numbered(df.where("k < 0"), "k", "n", "g").collect() == []
 
 
+def test_running_sums(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, 0, 1, 5, -3])) for k in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "k long, g string, v long").repartition(9)
+    totals, want = defaultdict(int), {}
+    for k, g, v in sorted(rows, key=lambda r: r[0]):
+        totals[g] += v or 0
+        want[k] = totals[g]
+    assert {r["k"]: r["s"] for r in ranks.running_sum(df, "v", "k", "s", "g").collect()} == want
+    assert {r["k"]: r["s"] for r in ranks.running_sum(df.drop("g"), "v", "k", "s").collect()} == {k: sum(v or 0 for j, _, v in rows if j <= k) for k, _, _ in rows}
+    assert ranks.running_sum(df.where("k < 0"), "v", "k", "s", "g").collect() == []
+
+
+def plain_concepts(text):
+    """The forms as they are told, one after the other over the text."""
+    forms = [r"\b(?:Definition|Theorem|Lemma|Corollary|Proposition|Example|Algorithm|Concept)\s*\d*\.?\d*:?\s*([^\n]+)", r"\b(?:Key Concept|Important Concept|Main Idea):\s*([^\n]+)", r"^(\d+\.\d+\.\d+)\s+([^\n]+)$"]
+    found = {}
+    for form in forms:
+        for m in re.finditer(form, text, re.I | re.M | re.A):
+            name = re.sub(r"\s+", " ", m.group(1).strip())[:100]
+            if name:
+                found.setdefault(name, m.start())
+    some = sorted((at, name) for name, at in found.items())
+    ends = [at for at, _ in some[1:]] + [len(text)] * bool(some)
+    return [(k + 1, name, at, end) for k, ((at, name), end) in enumerate(zip(some, ends, strict=True))][:10]
+
+
+def test_introduced_concepts(spark):
+    rng = random.Random(9)
+    parts = ["Definition", "theorem ", "Lemma 3.1: ", "Example", "EXAMPLE 12", "Key Concept: ", "main idea:", "concept", "1.2.3 ", "\n1.2.3 Trees", "\n4.5 no\n", "Graphs", "  ", "\n", "\n\n", "Ä x ", ".", ":", "7", "\r\n", "examples "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["", "plain", "Example", "Example 12", "Definition: " + "long " * 40 + "\nTheorem " + "long " * 40, "\n".join(f"Lemma {k}: thing {k}" for k in range(30)), "Example" + "\n" * 200_000]
+    rows = [(i, None if i % 5 == 0 else i % 3, t, "x") for i, t in enumerate(texts)] + [(-1, 0, None, "x")]
+    df = spark.createDataFrame(rows, "book long, part long, text string, concept string")
+    got = defaultdict(list)
+    for r in concepts.introduced(df, ["book", "part"]).orderBy("book", "place").collect():
+        got[r["book"]].append(tuple(r)[2:])
+    assert got == {i: want for i, t in enumerate(texts) if (want := plain_concepts(t[:5000]))}
+    assert concepts.introduced(df.where("book > 1000000"), ["book", "part"]).collect() == []
+
+
 def test_percentiles(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.choice([None, *range(40)])) for _ in range(500)] + [("c", 7)]

@@ -59,6 +59,23 @@ def test_section_chunks(spark):
     assert all(covers(v, len(sections[k])) for k, v in got.items() if len(sections[k].strip()) >= chunking.BY_STRUCTURE[1])
 
 
+def test_region_kinds(spark):
+    sections = {(r["book_id"], r["section"]): r["text"] for r in chunking.sections(books(spark, DATA)).collect()}
+    got = {(r["book_id"], r["section"], r["chunk_no"]): tuple(r)[3:] for r in run(spark, "region_kinds")}
+    names, want = ((1, "math"), (2, "definition"), (4, "example")), {}
+    for key, text in sections.items():
+        if not (text or "").strip():
+            continue
+        small = len(text.strip()) < chunking.BY_STRUCTURE[1]
+        regions = [] if small else chunking.protected_kinds(text)
+        for n, (a, b, chunk) in enumerate(chunking.by_structure(text)):
+            near, first = ([k for x, y, k in regions if x < end and y > begin] for begin, end in ((a, b), (0, len(chunk))))
+            told = [next((next(name for bit, name in names if k & bit) for k in some if k), "text") for some in (near, first)]
+            want[(*key, n)] = (a, b, *told, len(near))
+    assert got == want
+    assert len({v[2] for v in got.values()}) > 1
+
+
 def test_book_chunks(spark):
     """Each book in one way; its chunks are those of the plain cutter in order, but for those that are not valid."""
     rows = {}
