@@ -11,7 +11,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from skeinlake.operators import concepts, exports, graph, intervals, mastery, ranks
+from skeinlake.operators import concepts, exports, graph, intervals, mastery, progress, ranks
 from skeinlake.streaming.sessions import sessions
 
 
@@ -70,6 +70,26 @@ def test_introduced_concepts(spark):
     assert concepts.introduced(df.where("book > 1000000"), ["book", "part"]).collect() == []
 
 
+def test_current_paths(spark):
+    rng = random.Random(10)
+    profiles = [(k, rng.choice([None, *range(12)])) for k in range(40)]
+    paths = [(p, k) for p in range(10) for k in rng.sample(range(40), 25)] * 2
+    segments = [(rng.randrange(9), rng.choice([None, *range(6)])) for _ in range(40)]
+    levels = [(rng.randrange(40), rng.randrange(6), rng.choice([0.1, 0.69, 0.7, 0.9]), rng.randrange(3), i) for i in range(300)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = progress.current_paths(frame(profiles, "learner long, path_id long"), frame(paths, "path_id long, learner long"), frame(segments, "path_id long, chunk long"), frame(levels, "learner long, chunk long, level double, at long, id long"))
+    newest, want = {}, {}
+    for k, c, level, at, i in sorted(levels, key=lambda r: (r[3], r[4])):
+        newest[k, c] = level
+    for k, p in profiles:
+        state = "none" if p is None else "active" if (p, k) in paths else "not found"
+        own = [c for q, c in segments if q == p] if state == "active" else []
+        done = sum(newest.get((k, c), 0) >= 0.7 for c in own)
+        want[k] = (p, state, len(own), done, round(100 * done / len(own), 4) if own else 0.0)
+    assert {r["learner"]: tuple(r)[1:] for r in got.collect()} == want
+    assert {w[1] for w in want.values()} == {"none", "active", "not found"} and any(w[3] for w in want.values())
+
+
 def test_percentiles(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.choice([None, *range(40)])) for _ in range(500)] + [("c", 7)]
