@@ -24,9 +24,11 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KEYWORDS_SQL}, c AS (SELECT lang, word, count(*) AS uses, count(DISTINCT doc_id) AS chunks FROM k GROUP BY 1, 2) SELECT lang, word, uses, chunks FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY uses DESC, word) AS place FROM c) WHERE place <= 20")
 def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk's words are sorted, so that the first of equal ones can be marked: uses and chunks are then counted in one shuffle of words."""
-    sorted_words = read(spark, sf_dir, "documents").select("lang", F.array_sort(T.keywords(F.col("text"))).alias("ws"))
-    marked = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.when((i == 0) | (F.get("ws", i - 1) != w), 1).otherwise(0).alias("first")))
-    counts = sorted_words.select("lang", F.explode(marked).alias("m")).groupBy("lang", "m.word").agg(F.count("*").alias("uses"), F.sum("m.first").alias("chunks"))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    sorted_words = read(spark, sf_dir, "documents").select("lang", F.sort_array(found).alias("ws"))
+    marked = F.transform("ws", lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get("ws", i - 1) != w)).cast("int").alias("first")))
+    rows = sorted_words.select("lang", F.explode(marked).alias("m")).where(~F.col("m.word").isin(T.STOP_WORDS))
+    counts = rows.groupBy("lang", "m.word").agg(F.count("*").alias("uses"), F.sum("m.first").alias("chunks"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("uses"), "word"))
     return counts.withColumn("place", place).where("place <= 20").select("lang", "word", "uses", "chunks")
 
