@@ -122,3 +122,10 @@ def test_worked_kinds():
     assert kinds("Example $a$") == ["text"] and kinds("") == [] and kinds(" \n ") == []
     late = filler + "Example 3: take this. " + filler
     assert [c[3:5] for c in chunking.by_structure_with_kinds(late)][0] == ("text", "text")
+
+
+def test_blank_and_missing_texts_have_no_chunks(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "k long, text string")
+    for some in (rows, rows.where("k > 9")):
+        found = chunking.chunks(some, ["k"], "text", chunking.by_structure_with_kinds, chunking.KIND_COLUMNS)
+        assert found.columns == ["k", "chunk_no", "begin", "finish", "chunk", "kind", "kind_from_start", "regions"] and found.collect() == []
