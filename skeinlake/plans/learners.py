@@ -235,7 +235,7 @@ def _mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = learner_events(spark, sf_dir)
     as_of = events.agg(F.max("ts").alias("as_of"))
     rows = events.groupBy("student_id", "concept_id").agg(F.avg("score").alias("u"), F.count("*").alias("reviews"), F.max("ts").alias("last")).join(F.broadcast(as_of))
-    days = F.floor((F.unix_seconds(F.col("as_of").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 86400)
+    days = F.floor((F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 86_400_000_000)
     return rows.withColumn("days", days).select("student_id", "concept_id", "reviews", "days", F.round(mastery.concept_mastery(F.col("u"), F.col("reviews"), F.col("days")) + NUDGE, 6).alias("mastery"))
 
 
