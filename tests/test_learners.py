@@ -38,3 +38,11 @@ def test_days_of_mastery_by_parts_of_a_second(spark, tmp_path):
     assert got == want
     days = {r["student_id"]: r["days"] for r in entry.queries()["mastery_score"](spark, str(tmp_path)).collect()}
     assert days == {1: 0, 2: 9, 3: 10, 4: 6}
+
+
+def test_due_reviews_by_parts_of_a_second(spark, tmp_path):
+    """A learner's concept that is a part of a second short of seven days is not due."""
+    write(tmp_path, [(1, datetime(2024, 1, 30, 12, 0, 0, 200_000), 50.0, 1), (4, datetime(2024, 1, 23, 12, 0, 0, 900_000), 20.0, 2), (5, datetime(2024, 1, 23, 12, 0, 0, 200_000), 20.0, 2)])
+    got, want = compared(spark, tmp_path, SQL["due_reviews"], "due_reviews")
+    assert got == want
+    assert [r["student_id"] for r in entry.queries()["due_reviews"](spark, str(tmp_path)).collect()] == [5]
