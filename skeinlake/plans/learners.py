@@ -20,6 +20,8 @@ _LATEST_SQL = f"""{_LE}, latest AS (
 
 #: Added to means before rounding: ties then round alike, whatever the order of summing was.
 NUDGE = 1e-12
+#: Added to sums of minutes before they are cut: seconds that are whole minutes stay so, whatever order they were summed in.
+WHOLE = 1e-9
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def milestone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_LATEST_SQL} SELECT student_id, count(*) AS concepts, CAST(floor(sum(seconds) / 60) AS BIGINT) AS minutes, round(avg(score) + 1e-12, 2) AS avg_score, max(ts) AS last_seen, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM latest GROUP BY student_id""")
 def user_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(spark, sf_dir).groupBy("student_id").agg(
-        F.count("*").alias("concepts"), F.floor(F.sum("seconds") / 60).alias("minutes"), F.round(F.avg("score") + 1e-12, 2).alias("avg_score"), F.max("ts").alias("last_seen"), F.to_date(F.min("ts")).alias("first_day"))
+        F.count("*").alias("concepts"), F.floor(F.sum("seconds") / 60 + WHOLE).alias("minutes"), F.round(F.avg("score") + 1e-12, 2).alias("avg_score"), F.max("ts").alias("last_seen"), F.to_date(F.min("ts")).alias("first_day"))
 
 
 _VELOCITY_SQL = f"""{_LE}, velocity AS (

@@ -46,3 +46,10 @@ def test_due_reviews_by_parts_of_a_second(spark, tmp_path):
     got, want = compared(spark, tmp_path, SQL["due_reviews"], "due_reviews")
     assert got == want
     assert [r["student_id"] for r in entry.queries()["due_reviews"](spark, str(tmp_path)).collect()] == [5]
+
+
+def test_whole_minutes_stay_whole(spark, tmp_path):
+    """Seconds that are a minute together, but less in any order of summing floating-point numbers."""
+    write(tmp_path, [(1, datetime(2024, 1, 1 + k), v, k) for k, v in enumerate((7.9, 1.36, 18.08, 32.66))] + [(2, datetime(2024, 1, 1), 59.99, 1)])
+    minutes = {r["student_id"]: r["minutes"] for r in entry.queries()["user_overview"](spark, str(tmp_path)).collect()}
+    assert minutes == {1: 1, 2: 0}
