@@ -184,9 +184,12 @@ def remedial_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT student_id, concept_id, chunk, minutes FROM p WHERE place = 1""")
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk to read for each concept that is not known well: those in the level's range first, then the nearest difficulty."""
-    rows = _mastery(spark, sf_dir).where("mastery < 0.7").select("student_id", "concept_id", "mastery").join(_chunks(spark, sf_dir), "concept_id")
-    order = F.struct(F.when(F.col("difficulty").between(0.3, 0.7), 0).otherwise(1), F.abs(F.col("difficulty") - F.col("mastery")), "chunk")
-    return rows.groupBy("student_id", "concept_id").agg(F.min_by(F.struct("chunk", "minutes"), order).alias("b")).select("student_id", "concept_id", "b.chunk", "b.minutes")
+    # Of equal difficulty the first chunk is the one to read: a concept has as many as there are difficulties, however many chunks it has.
+    firsts = _chunks(spark, sf_dir).groupBy("concept_id", "difficulty").agg(F.min_by(F.struct("chunk", "minutes"), "chunk").alias("c"))
+    choices = firsts.groupBy("concept_id").agg(F.collect_list(F.struct("difficulty", "c.chunk", "c.minutes")).alias("choices"))
+    rows = _mastery(spark, sf_dir).where("mastery < 0.7").select("student_id", "concept_id", "mastery").join(choices, "concept_id")
+    order = lambda c: F.struct(F.when(c["difficulty"].between(0.3, 0.7), 0).otherwise(1).alias("band"), F.abs(c["difficulty"] - F.col("mastery")).alias("away"), c["chunk"].alias("chunk"), c["minutes"].alias("minutes"))
+    return rows.withColumn("b", F.array_min(F.transform("choices", order))).select("student_id", "concept_id", "b.chunk", "b.minutes")
 
 
 @query(f"""{_MASTERY_SQL}, {PREREQUISITES_SQL}, s AS (SELECT m.student_id, p.src AS concept_id, count(*) AS need, count(*) FILTER (m.mastery >= 0.5) AS met FROM mastery m JOIN prerequisites p ON p.dst = m.concept_id GROUP BY 1, 2),

@@ -32,3 +32,27 @@ def duck():
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DATA}/{name}.parquet')")
     return con
+
+
+@pytest.fixture
+def most_rows():
+    """Collects a DataFrame; its rows, and the most rows that a step of its plan gave."""
+
+    def steps(node):
+        kind = node.getClass().getSimpleName()
+        if "AdaptiveSparkPlan" in kind:
+            yield from steps(node.executedPlan())
+        elif "QueryStage" in kind:
+            yield from steps(node.plan())
+        else:
+            if node.metrics().contains("numOutputRows"):
+                yield node.metrics().apply("numOutputRows").value()
+            children = node.children()
+            for k in range(children.size()):
+                yield from steps(children.apply(k))
+
+    def run(df):
+        rows = df.collect()
+        return rows, max(steps(df._jdf.queryExecution().executedPlan()))
+
+    return run
