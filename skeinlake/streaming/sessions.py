@@ -1,27 +1,18 @@
 """Sessions of a key: events no further apart than a gap, whatever order and batches they come in.
 
-The state of a key and day is a list of intervals of time.  An event extends an interval, joins two, or begins one;
-intervals that go are written once more as removed.  What is left at the end is joined over the days: sessions of a key with most of
-the events are spread over as many states as it has days.
+The state of a key and a stretch of time as long as the gap is the first and the last time there and the number of events.  What is
+left at the end is joined over the stretches: sessions of a key with most of the events are spread over as many states as it has stretches.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.intervals import merged
-from .events import newest, run
-
-_STATE = "starts array<long>, finishes array<long>, counts array<long>"
-_ROW = "key long, start long, finish long, events long, removed boolean"
-#: Microseconds of a state's stretch of time.
-STRETCH = 86_400_000_000
+from .events import totals
 
 
 def absorb(starts: list[int], finishes: list[int], counts: list[int], times: list[int], gap: int) -> tuple[set[int], set[int]]:
@@ -58,18 +49,10 @@ def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     The result is that of one batch of all events.  Events without a key or a time are left out; repeated rows are events of their own.
     """
     gap = gap_seconds * 1_000_000
-
-    def fold(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = pd.concat([b["t"] for b in batches]).sort_values().tolist()
-        starts, finishes, counts = (list(x) for x in state.get) if state.exists else ([], [], [])
-        changed, gone = absorb(starts, finishes, counts, times, gap)
-        state.update((starts, finishes, counts))
-        rows = [(own[0], s, finishes[k := bisect_left(starts, s)], counts[k], False) for s in sorted(changed)] + [(own[0], s, s, 0, True) for s in sorted(gone)]
-        yield pd.DataFrame(rows, columns=["key", "start", "finish", "events", "removed"])
-
+    # Events of a stretch of time no longer than the gap are of one session: its first, its last and their number are all that is needed.
+    stretch = max(gap, 1)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("long").alias("key"), t.alias("t"), F.floor(t / STRETCH).alias("stretch"))
-    rows = rows.groupBy("key", "stretch").applyInPandasWithState(fold, _ROW, _STATE, "update", GroupStateTimeout.NoTimeout)
-    parts = newest(run(rows), ["key", "start"]).where("NOT removed").select("key", F.col("start").alias("begin"), "finish", "events")
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("long").alias("key"), t.alias("t"), (t - F.pmod(t, F.lit(stretch))).alias("stretch"))
+    parts = totals(rows, ["key", "stretch"], {"begin": F.min("t"), "finish": F.max("t"), "events": F.count("*")})
     found = merged(parts, "key", gap, {"events": F.sum("events")})
     return found.select("key", F.timestamp_micros("begin").alias("start"), F.timestamp_micros("finish").alias("finish"), "events")

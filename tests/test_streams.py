@@ -75,3 +75,24 @@ def test_sessions_of_batches_in_reverse(spark, tmp_path):
     found = sessions.sessions(streams.E.source(spark, str(tmp_path / "events.parquet"), 1), "user_id", gap).collect()
     want = [(u, s, f, n) for u in (1, 2, 3) for s, f, n in plain_sessions([t for t, v in rows if v == u], timedelta(seconds=gap))]
     assert sorted(tuple(r) for r in found) == want
+
+
+def test_sessions_without_python_state(spark, tmp_path, monkeypatch):
+    """States of sessions are the engine's own; gaps of exactly the limit, a microsecond more, and times before 1970."""
+    from pyspark.sql.group import GroupedData
+
+    def refuse(*_args):
+        raise AssertionError("a Python call for each learner and day")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", refuse)
+    (tmp_path / "events.parquet").mkdir()
+    gap, first = timedelta(seconds=60), datetime(1969, 12, 31, 23, 58)
+    times = [first]
+    for step in (gap, gap, gap + timedelta(microseconds=1), timedelta(0), gap - timedelta(microseconds=1), gap, gap + timedelta(microseconds=1)):
+        times.append(times[-1] + step)
+    for k in range(2):
+        path = tmp_path / "events.parquet" / f"part-{k}.parquet"
+        pq.write_table(pa.table({"user_id": pa.array([7] * 4, pa.int64()), "ts": pa.array(times[k::2], pa.timestamp("us"))}), path)
+        os.utime(path, (1_700_000_000 - k, 1_700_000_000 - k))
+    found = sessions.sessions(streams.E.source(spark, str(tmp_path / "events.parquet"), 1), "user_id", 60).collect()
+    assert sorted(tuple(r) for r in found) == [(7, *s) for s in plain_sessions(times, gap)]
