@@ -96,3 +96,15 @@ def test_sessions_without_python_state(spark, tmp_path, monkeypatch):
         os.utime(path, (1_700_000_000 - k, 1_700_000_000 - k))
     found = sessions.sessions(streams.E.source(spark, str(tmp_path / "events.parquet"), 1), "user_id", 60).collect()
     assert sorted(tuple(r) for r in found) == [(7, *s) for s in plain_sessions(times, gap)]
+
+
+def test_attempt_limit_without_python_state(spark, tmp_path, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    (tmp_path / "events.parquet").mkdir()
+    first = datetime(2024, 1, 1)
+    times = [first, first + timedelta(days=2), first + timedelta(days=4), first + timedelta(days=9)]
+    pq.write_table(pa.table({"user_id": pa.array([1, 1, 1, 2], pa.int64()), "ts": pa.array(times, pa.timestamp("us")), "event_type": ["error"] * 4}), tmp_path / "events.parquet" / "part-0.parquet")
+    got = sorted(tuple(r) for r in streams.stream_attempt_limit(spark, str(tmp_path)).collect())
+    assert got == [(1, times[2], 3, True), (2, times[3], 1, False)]
