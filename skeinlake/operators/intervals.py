@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+
 def contain_points(intervals: DataFrame, points: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of intervals (begin, finish, exclusive) and points (at) of the same key, the point inside.
 
@@ -20,6 +23,43 @@ def contain_points(intervals: DataFrame, points: DataFrame, key: str, width: int
     return spread.join(placed, [key, "_bucket"]).where("at >= begin AND at < finish").drop("_bucket")
 
 
+def covering(intervals: DataFrame, points: DataFrame, key: str, width: int, number: str) -> DataFrame:
+    """key, at, intervals and first: for each distinct point how many intervals hold it, and the least number of one; points in none are left out.
+
+    Intervals are cut at the bounds of buckets and counted where their pieces are equal, before they meet points: a bucket has as many pieces
+    as it has pairs of bounds, however many intervals there are.  Empty intervals hold nothing; nulls match nothing.
+    """
+    bucket = F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("finish") - 1) / width)))
+    cut_to = {"_from": F.greatest(F.col("begin"), F.col("_bucket") * width), "_to": F.least(F.col("finish"), (F.col("_bucket") + 1) * width)}
+    pieces = intervals.where("begin < finish").withColumn("_bucket", bucket).withColumns(cut_to).groupBy(key, "_bucket", "_from", "_to").agg(F.count("*").alias("n"), F.min(number).alias("first"))
+    placed = points.select(key, "at").distinct().withColumn("_bucket", F.floor(F.col("at") / width))
+    return placed.join(pieces, [key, "_bucket"]).where("at >= _from AND at < _to").groupBy(key, "at").agg(F.sum("n").alias("intervals"), F.min("first").alias("first"))
+
+
+def containing(outer: DataFrame, inner: DataFrame, key: str, width: int) -> DataFrame:
+    """key, begin, finish and inside: for each distinct interval of `outer` (long begin and finish) how many of `inner` lie in it, equal ones too.
+
+    Equal intervals are counted first.  Both are cut into buckets by the inner one's begin; in a bucket sums over begins and finishes answer for
+    all outer intervals at once, so that no pairs are made.  Empty intervals hold nothing and lie in nothing; nulls match nothing.
+    """
+    columns = [key, "begin", "finish"]
+    held = inner.where(F.col(key).isNotNull() & F.expr("begin < finish")).groupBy(*columns).agg(F.count("*").alias("n")).withColumn("_bucket", F.floor(F.col("begin") / width))
+    bucket = F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("finish") - 1) / width)))
+    asked = outer.where(F.col(key).isNotNull() & F.expr("begin < finish")).select(*columns).distinct().withColumn("_bucket", bucket)
+
+    def task(wanted: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        begins, row = np.unique(rows["begin"].to_numpy(), return_inverse=True)
+        finishes, column = np.unique(rows["finish"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(begins) + 1, len(finishes) + 1), dtype=np.int64)
+        np.add.at(sums, (row, column + 1), rows["n"].to_numpy())
+        sums = sums[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)  # begins from here on, finishes up to here
+        inside = sums[np.searchsorted(begins, wanted["begin"]), np.searchsorted(finishes, wanted["finish"], side="right")]
+        return wanted[columns].assign(inside=inside)
+
+    found = asked.groupBy(key, "_bucket").cogroup(held.groupBy(key, "_bucket")).applyInPandas(task, asked.select(*columns).schema.add("inside", "long"))
+    return found.groupBy(*columns).agg(F.sum("inside").alias("inside"))
+
+
 def merged(intervals: DataFrame, key: str, gap: int, sums: dict[str, Column] | None = None) -> DataFrame:
     """key, island, begin, finish, regions and sums: intervals of a key (null is one) with at most `gap` between them as one.
 

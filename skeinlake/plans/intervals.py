@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import intervals, names
+from ..operators.lineage import cut
 from .projection import read
 from .registry import query, typed
 
@@ -25,19 +26,20 @@ i AS (SELECT id, book, least(a, b) AS "begin", greatest(a, b) + 1 AS finish FROM
 
 @query(f"""WITH {_STAYS_SQL}, p AS (SELECT event_id, user_id % 40 AS book, event_id % 2500 AS pos FROM events WHERE event_id % 5 = 0) SELECT event_id, count(*) AS intervals, min(id) AS first_id FROM p JOIN i ON i.book = p.book AND pos >= "begin" AND pos < finish GROUP BY 1""")
 def points_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range join as an equality join on buckets: intervals lie in all buckets that they touch, points in one."""
+    """Points meet the pieces of intervals in their bucket, each with its number of intervals."""
     points = read(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", (F.col("user_id") % 40).alias("book"), (F.col("event_id") % 2500).alias("at"))
-    found = intervals.contain_points(_stays(spark, sf_dir), points, "book", 64)
-    return found.groupBy("event_id").agg(F.count("*").alias("intervals"), F.min("id").alias("first_id"))
+    found = points.join(intervals.covering(_stays(spark, sf_dir), points, "book", 32, "id"), ["book", "at"])
+    return found.groupBy("event_id").agg(F.sum("intervals").alias("intervals"), F.min("first").alias("first_id"))
 
 
 @query(f"""WITH {_STAYS_SQL} SELECT a.id, count(*) AS inside FROM i a JOIN i b ON a.book = b.book AND b.id <> a.id AND b."begin" >= a."begin" AND b.finish <= a.finish WHERE a.id % 10 = 0 GROUP BY 1""")
 def intervals_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment: an inner interval's begin is a point of the outer one."""
-    rows = _stays(spark, sf_dir)
-    inner = rows.select(F.col("id").alias("inner_id"), "book", F.col("begin").alias("at"), F.col("finish").alias("inner_finish"))
-    found = intervals.contain_points(rows.where("id % 10 = 0"), inner, "book", 64).where("inner_id <> id AND inner_finish <= finish")
-    return found.groupBy("id").agg(F.count("*").alias("inside"))
+    """Containment, counted in buckets of begins; intervals of the same number, itself among them, are taken off."""
+    rows = cut(_stays(spark, sf_dir))
+    outer = rows.where("id % 10 = 0")
+    found = outer.join(intervals.containing(outer, rows, "book", 64), ["book", "begin", "finish"]).groupBy("id").agg(F.sum("inside").alias("all"))
+    same = outer.alias("a").join(outer.alias("b"), ["id", "book"]).where("b.begin >= a.begin AND b.finish <= a.finish").groupBy("id").agg(F.count("*").alias("own"))
+    return found.join(same, "id").select("id", (F.col("all") - F.col("own")).alias("inside")).where("inside > 0")
 
 
 @query(typed(f"""WITH {_STAYS_SQL}, o AS (SELECT *, coalesce(max(finish) OVER (PARTITION BY book ORDER BY "begin", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -100) AS before FROM i WHERE id % 60 = 0), g AS (SELECT *, sum(CAST("begin" > before + 2 AS INT)) OVER (PARTITION BY book ORDER BY "begin", id) AS island FROM o)

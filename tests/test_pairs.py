@@ -38,3 +38,18 @@ def test_best_chunk_of_many(spark, tmp_path, most_rows):
     write(tmp_path, "documents", doc_id=pa.array(docs, pa.int64()), text=[" ".join(["word"] * rng.randrange(900)) if k % 9 else None for k in range(400)], n_chars=pa.array(range(400), pa.int64()))
     rows, most = compared(spark, tmp_path, "best_chunk", most_rows)
     assert len(rows) > 50 and most <= 400
+
+
+def stays(folder, rng, n=1500):
+    """Orders of one book, some of them twice or without a customer, with overlapping times; events of the book."""
+    day = lambda k: datetime(1992, 1, 1) + timedelta(days=k)
+    keys = [k if k % 50 else 10 * (k // 100) for k in range(n)]
+    write(folder, "orders", o_orderkey=pa.array(keys, pa.int64()), o_custkey=pa.array([None if k % 97 == 0 else 40 for k in range(n)], pa.int64()), o_orderdate=pa.array([day(rng.randrange(300)) for _ in range(n)], pa.timestamp("us")))
+    write(folder, "lineitem", l_orderkey=pa.array(range(n), pa.int64()), l_shipdate=pa.array([day(rng.randrange(320)) for _ in range(n)], pa.timestamp("us")))
+    write(folder, "events", event_id=pa.array([5 * k for k in range(n)], pa.int64()), user_id=pa.array([80] * n, pa.int64()))
+
+
+def test_intervals_make_no_pairs(spark, tmp_path, most_rows):
+    stays(tmp_path, random.Random(9))
+    rows, most = compared(spark, tmp_path, "intervals_in_intervals", most_rows)
+    assert len(rows) > 100 and most < 5000
