@@ -53,3 +53,9 @@ def test_intervals_make_no_pairs(spark, tmp_path, most_rows):
     stays(tmp_path, random.Random(9))
     rows, most = compared(spark, tmp_path, "intervals_in_intervals", most_rows)
     assert len(rows) > 100 and most < 5000
+
+
+def test_points_make_no_pairs(spark, tmp_path, most_rows):
+    stays(tmp_path, random.Random(8), 9000)
+    rows, most = compared(spark, tmp_path, "points_in_intervals", most_rows)
+    assert len(rows) > 500 and most < 300_000  # pairs are 2.3 million
