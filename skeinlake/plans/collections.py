@@ -29,12 +29,13 @@ def tickets_of_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TAGS_SQL}, w AS (SELECT c_custkey AS learner, [c_custkey % 200, (c_custkey * 7) % 200] AS wanted FROM customer)
 SELECT learner, ticket FROM w JOIN tags ON list_has_all(concepts, wanted)""")
 def tickets_with_all_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment as an equality join on elements: a match is a pair with as many common elements as are wanted."""
+    """Containment as an equality join on elements, once for each set that is wanted: a match is a pair with as many common elements as the set has."""
     wanted = F.array_distinct(F.array(F.col("c_custkey") % 200, (F.col("c_custkey") * 7) % 200))
     learners = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("learner"), wanted.alias("wanted"))
-    asked = learners.select("learner", F.size("wanted").alias("need"), F.explode("wanted").alias("concept"))
+    asked = learners.select("wanted").distinct().select("wanted", F.explode("wanted").alias("concept"))
     tagged = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ticket"), F.col("l_partkey").alias("concept")).distinct()
-    return asked.join(tagged, "concept").groupBy("learner", "ticket", "need").agg(F.count("*").alias("hits")).where("hits = need").select("learner", "ticket")
+    found = asked.join(tagged, "concept").groupBy("wanted", "ticket").agg(F.count("*").alias("hits")).where(F.col("hits") == F.size("wanted"))
+    return learners.join(found, "wanted").select("learner", "ticket")
 
 
 @query(f"WITH {_TAGS_SQL} SELECT ticket, array_to_string(concepts[1:3], ',') AS first_three, len(concepts) AS n, CASE WHEN len(concepts) > 3 THEN len(concepts) - 3 ELSE 0 END AS more FROM tags")

@@ -59,3 +59,14 @@ def test_points_make_no_pairs(spark, tmp_path, most_rows):
     stays(tmp_path, random.Random(8), 9000)
     rows, most = compared(spark, tmp_path, "points_in_intervals", most_rows)
     assert len(rows) > 500 and most < 300_000  # pairs are 2.3 million
+
+
+def test_tickets_of_a_set_that_many_want(spark, tmp_path, most_rows):
+    """Learners who want the same concepts are one question."""
+    n, rng = 400, random.Random(3)
+    write(tmp_path, "customer", c_custkey=pa.array([200 * k + 3 * (k % 2) for k in range(n)], pa.int64()))
+    rows = [(k, c) for k in range(300) for c in (3, 21, rng.randrange(30))[: rng.randrange(1, 4)]]
+    rows = [r for r in rows if r[0] < 5 or r[1] not in (21, 0)]  # few tickets have all concepts
+    write(tmp_path, "lineitem", l_orderkey=pa.array([t for t, _ in rows], pa.int64()), l_partkey=pa.array([c for _, c in rows], pa.int64()))
+    rows, most = compared(spark, tmp_path, "tickets_with_all_concepts", most_rows)
+    assert 0 < len(rows) <= 2500 and most <= 3000
