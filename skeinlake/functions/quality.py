@@ -29,11 +29,18 @@ def percentile(v: Column, share: float) -> Column:
 def entropy(v: Column, bins: int = 50) -> Column:
     """Of the densities in equal bins between the least and the largest value; negative for narrow spreads, 0 for equal values."""
     d = V.as_double(v)
-    low, width = F.array_min(d), (F.array_max(d) - F.array_min(d)) / bins
-    place = F.transform(d, lambda x: F.least(F.floor((x - low) / width), F.lit(bins - 1)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)))
-    density = F.transform(F.filter(counts, lambda c: c > 0), lambda c: c / (F.size(d) * width))
-    return F.when(width == 0, F.lit(0.0)).otherwise(-V.total(F.transform(density, lambda x: x * F.log2(x))))
+    # The bounds are elements of an array, which is made once: in the functions below they would be looked for again for each value.
+    bounds = F.struct(d.alias("d"), F.array_min(d).alias("low"), ((F.array_max(d) - F.array_min(d)) / bins).alias("width"))
+
+    def places(b: Column) -> Column:
+        return F.struct(b["width"].alias("width"), F.transform(b["d"], lambda x: F.least(F.floor(F.try_divide(x - b["low"], b["width"])), F.lit(bins - 1))).alias("place"))
+
+    def sums(b: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(b["place"], lambda p: p == k)))
+        density = F.transform(F.filter(counts, lambda c: c > 0), lambda c: c / (F.size(b["place"]) * b["width"]))
+        return F.when(b["width"] == 0, F.lit(0.0)).otherwise(-V.total(F.transform(density, lambda x: x * F.log2(x))))
+
+    return F.transform(F.transform(F.array(bounds), places), sums)[0]
 
 
 def reduced(v: Column, share: float = 0.8) -> Column:
