@@ -15,6 +15,8 @@ from .lineage import cut
 
 #: Queries that may be broadcast, and rows of a block where there are more.
 QUERY_BLOCK = 4096
+#: Queries and rows that a task compares at once.
+TILE = (256, 4096)
 
 
 def within(rows: DataFrame, query: list[float], id_col: str, vector_col: str, least: float) -> DataFrame:
@@ -34,21 +36,27 @@ def _top(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
-def _compared(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k rows most like each query, of queries (ids, unit vectors) and rows."""
+def _compared(queries: tuple[np.ndarray, np.ndarray], rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k rows (id, v) most like each query, of queries (ids, unit vectors), a tile of both at a time."""
     names, matrix = queries
-    length = np.linalg.norm(vectors, axis=1)
-    score = np.round(matrix @ (vectors / np.where(length == 0, 1, length)[:, None]).T, 6)
-    score[names[:, None] == ids] = -2
-    q, r = np.nonzero(score >= np.partition(score, score.shape[1] - min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])][:, None])
-    found = pd.DataFrame({"query_id": names[q], "id": ids[r], "score": score[q, r]})
-    return _top(found[found["score"] > -2], k)
-
-
-def _units(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    best = []
+    for r in range(0, len(rows), TILE[1]):
+        ids, units = _units(rows.iloc[r : r + TILE[1]], "id")
+        for q in range(0, len(names), TILE[0]):
+            asked = names[q : q + TILE[0]]
+            score = np.round(matrix[q : q + TILE[0]] @ units.T, 6)
+            score[asked[:, None] == ids] = -2
+            n = min(k, len(ids))
+            a, b = np.nonzero(score >= np.partition(score, len(ids) - n, axis=1)[:, -n][:, None])
+            found = pd.DataFrame({"query_id": asked[a], "id": ids[b], "score": score[a, b]})
+            best.append(_top(found[found["score"] > -2], k))
+    return _top(pd.concat(best), k)
+
+
+def _units(rows: pd.DataFrame, name: str = "q") -> tuple[np.ndarray, np.ndarray]:
     matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
     size = np.linalg.norm(matrix, axis=1)
-    return rows["q"].to_numpy(), matrix / np.where(size == 0, 1, size)[:, None]
+    return rows[name].to_numpy(), matrix / np.where(size == 0, 1, size)[:, None]
 
 
 def batch_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
@@ -70,7 +78,7 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col:
             top = None
             for some in batches:
                 if len(some):
-                    got = _compared(sent.value, some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64), k)
+                    got = _compared(sent.value, some, k)
                     top = got if top is None else _top(pd.concat([top, got]), k)
             if top is not None:
                 yield top
@@ -86,7 +94,7 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col:
         def meet(asked: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(some):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            return _compared(_units(asked), some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64), k)
+            return _compared(_units(asked), some, k)
 
         found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
