@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from .lineage import cut, fresh_path
 
 #: Characters of the names of a shard, and bytes of automata that may be broadcast.
@@ -58,9 +59,12 @@ def automata(names: DataFrame, folder: str, shard_chars: int = SHARD_CHARS) -> D
     return cut(dealt.groupBy("shard").applyInPandas(build, "shard int, file string, bytes long"))
 
 
-def _hits(rows: pd.DataFrame, automaton) -> pd.DataFrame:
-    found = [(i, name) for i, text in zip(rows["id"], rows["text"], strict=True) for name in {name for _, name in automaton.iter(text)}]
-    return pd.DataFrame(found, columns=["id", "low"])
+def _hits(rows: pd.DataFrame, automaton) -> Iterator[pd.DataFrame]:
+    """Texts may hold thousands of names each: hits go out after some texts."""
+    for a, b in slices(map(len, rows["text"])):
+        some = rows.iloc[a:b]
+        found = [(i, name) for i, text in zip(some["id"], some["text"], strict=True) for name in {name for _, name in automaton.iter(text)}]
+        yield pd.DataFrame(found, columns=["id", "low"])
 
 
 def names_in(rows: DataFrame, id_col: str, text_col: str, names: DataFrame, shard_chars: int = SHARD_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -79,7 +83,8 @@ def names_in(rows: DataFrame, id_col: str, text_col: str, names: DataFrame, shar
 
         def stay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in batches:
-                yield from (_hits(some, automaton) for automaton in sent.value)
+                for automaton in sent.value:
+                    yield from _hits(some, automaton)
 
         found = texts.mapInPandas(stay, "id long, low string")
     else:
@@ -93,7 +98,7 @@ def names_in(rows: DataFrame, id_col: str, text_col: str, names: DataFrame, shar
                 for file, some in batch.groupby("file", sort=False):
                     if file != name:
                         name, automaton = file, _load(folder, file)
-                    yield _hits(some, automaton)
+                    yield from _hits(some, automaton)
 
         found = dealt.select("id", "text", "file").mapInPandas(visit, "id long, low string")
     return found.join(wanted, "low").select("id", "name")

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from skeinlake.operators import neighbours
+from skeinlake.operators import names, neighbours
 
 
 def test_nearest_are_compared_in_tiles():
@@ -27,3 +27,15 @@ def test_nearest_are_compared_in_tiles():
         score = np.round(units @ units[q], 6)
         want = sorted((i for i in range(6000) if i != q), key=lambda i: (-score[i], i))[:5]
         assert found[found["query_id"] == q]["id"].tolist() == want
+
+
+def test_hits_of_names_go_out_after_some_texts():
+    class Every:
+        def iter(self, text):
+            return ((k, f"n{k}") for k in range(len(text) // 1000))
+
+    rows = pd.DataFrame({"id": range(50), "text": ["x" * 100_000] * 49 + [""]})
+    parts = list(names._hits(rows, Every()))
+    assert len(parts) == 5 and max(map(len, parts)) <= 1000
+    found = pd.concat(parts)
+    assert sorted(zip(found["id"], found["low"], strict=True)) == sorted((i, f"n{k}") for i in range(49) for k in range(100))
