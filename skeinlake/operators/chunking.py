@@ -11,10 +11,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prose as P
+from ..functions.batches import slices
 from . import structure
 from .lineage import cut
 
@@ -339,17 +341,21 @@ def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[st
     given = {"chunk_no": "long", "begin": "long", "finish": "long", "chunk": "string"} | (more or {})
     arrow = {"long": pa.int64(), "string": pa.string()}
 
+    def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owner, found = [], []
+        for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+            some = cutter(text or "")
+            owner += [i] * len(some)
+            found += [(k, *c) for k, c in enumerate(some)]
+        values = zip(*found, strict=True) if found else [()] * len(given)
+        columns = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+        columns += [pa.array(v, arrow[kind]) for v, kind in zip(values, given.values(), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [*keys, *given])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, found = [], []
-            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                some = cutter(text or "")
-                owner += [i] * len(some)
-                found += [(k, *c) for k, c in enumerate(some)]
-            values = zip(*found, strict=True) if found else [()] * len(given)
-            columns = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
-            columns += [pa.array(v, arrow[kind]) for v, kind in zip(values, given.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, *given])
+            sizes = pc.binary_length(batch.column(len(keys))).fill_null(0).to_pylist()
+            yield from (cut_up(batch.slice(a, b - a)) for a, b in slices(sizes))
 
     return rows.select(*keys, text_col).mapInArrow(task, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{k} {kind}" for k, kind in given.items()]))
 

@@ -6,8 +6,9 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from skeinlake.operators import names, neighbours
+from skeinlake.operators import chunking, names, neighbours
 
 
 def test_nearest_are_compared_in_tiles():
@@ -39,3 +40,26 @@ def test_hits_of_names_go_out_after_some_texts():
     assert len(parts) == 5 and max(map(len, parts)) <= 1000
     found = pd.concat(parts)
     assert sorted(zip(found["id"], found["low"], strict=True)) == sorted((i, f"n{k}") for i in range(49) for k in range(100))
+
+
+class Captured:
+    """Stands for a DataFrame; gives the task that a step would run."""
+
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, _):
+        return task
+
+    mapInPandas = mapInArrow
+
+
+def test_chunks_go_out_after_some_texts():
+    texts = ["word " * 20_000] * 40 + [None, "", "short"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(chunking.chunks(Captured(), ["doc_id"], "text", lambda t: [(0, len(t), t)] if t else [])(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 << 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["chunk_no"], r["chunk"]) for r in rows] == [(k, 0, t) for k, t in enumerate(texts) if t]
