@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 #: Words and signs that raise ten dimensions each, from the first, the eleventh and the twenty-first on.
 MARKS = (("definition", "define"), ("example", "exercise", "problem"), ("∫", "∑", "∂", "$", "="))
 RAISE = 0.5
@@ -43,7 +45,9 @@ def with_vectors(rows: DataFrame, keys: list[str], text_col: str, dimensions: in
     kinds = dict(rows.dtypes)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            yield some.assign(vector=[seeded(t, dimensions) if t is not None and t.strip() else None for t in some[text_col]])
+        for batch in batches:
+            for a, b in slices(len(t or "") for t in batch[text_col]):
+                some = batch.iloc[a:b]
+                yield some.assign(vector=[seeded(t, dimensions) if t is not None and t.strip() else None for t in some[text_col]])
 
     return rows.select(*keys, text_col).mapInPandas(task, ", ".join(f"{c} {kinds[c]}" for c in (*keys, text_col)) + ", vector array<float>")

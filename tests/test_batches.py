@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from skeinlake.functions import embedding
 from skeinlake.operators import chunking, names, neighbours
 
 
@@ -63,3 +64,13 @@ def test_chunks_go_out_after_some_texts():
     assert max(b.nbytes for b in out) < 2 << 20
     rows = [r for b in out for r in b.to_pylist()]
     assert [(r["doc_id"], r["chunk_no"], r["chunk"]) for r in rows] == [(k, 0, t) for k, t in enumerate(texts) if t]
+
+
+def test_vectors_go_out_after_some_texts():
+    texts = ["word " * 20_000] * 30 + [None, " ", "short"]
+    out = list(embedding.with_vectors(Captured(), ["doc_id"], "text", 8)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
+    assert len(out) > 2 and max(b["text"].str.len().sum() for b in out) <= 1 << 20
+    rows = pd.concat(out)
+    assert rows["doc_id"].tolist() == list(range(len(texts)))
+    assert [v is None for v in rows["vector"]] == [not (t and t.strip()) for t in texts]
+    assert (rows["vector"].iloc[-1] == embedding.seeded("short", 8)).all()
