@@ -52,7 +52,7 @@ def beside(rows: DataFrame, number: str, steps: int, columns: dict[str, str], wi
     on = F.col(number) == F.col("_at")
     if within:
         on = on & F.col(within).eqNullSafe(F.col("_in"))
-    return rows.join(other, on, "left").drop("_at", "_in")
+    return rows.join(other.hint("merge"), on, "left").drop("_at", "_in")  # as many rows on both sides: never through the driver
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], within: str | None = None) -> DataFrame:

@@ -157,7 +157,7 @@ def chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, _ = graph.contracted(steps.select(F.col("doc_id").alias("src"), F.col("next_id").alias("dst")))
     books = read(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("book"), F.col("doc_id").alias("src"))
     # Chunks that no step leads to begin a chain; without a step of their own, it has no link.
-    heads = books.join(steps.select(F.col("next_id").alias("src")), "src", "left_anti").join(links, "src", "left")
+    heads = books.join(steps.select(F.col("next_id").alias("src")).hint("merge"), "src", "left_anti").join(links.hint("merge"), "src", "left")
     return heads.select("book", F.coalesce("length", F.lit(0)).alias("chain_length"), F.col("src").alias("first_chunk"), F.coalesce("dst", "src").alias("last_chunk"))
 
 
