@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..operators import chunking
 from ..operators import embedding as pipeline
-from ..operators.lineage import cut, fresh_path
+from ..operators.lineage import fresh_path
 from . import chunking as chunk_plans
 from .projection import read
 from .registry import query, registered_sql
@@ -23,12 +23,12 @@ def hash_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size(v).alias("dimensions"), F.round(v[0], 6).alias("first"), F.round(v[1535], 6).alias("last"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "tokens")
 
 
-def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "([.!?]) ([A-Z])", "$1\n\n$2").alias("text"))
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "([.!?]) ([A-Z])", "$1\n\n$2").alias("text"))
 
 
 def _piped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunks(_paragraphs(spark, sf_dir), ["doc_id"], "text", chunking.greedy)
+    chunks = chunking.chunks(_paragraphs(read(spark, sf_dir, "documents")), ["doc_id"], "text", chunking.greedy)
     return pipeline.assessed(E.with_vectors(chunks, ["doc_id", "chunk_no"], "chunk"))
 
 
@@ -56,12 +56,15 @@ def embedding_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(registered_sql("greedy_chunks"))
 def growing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that arrive in parts of 700 characters, in several batches and out of order: the chunks of the whole texts."""
-    from ..streaming import chunks, events
+    from ..streaming import chunks
 
-    last = F.ceil(F.length("text") / 700) - 1
-    parts = _paragraphs(spark, sf_dir).where("text <> ''").withColumn("part_no", F.explode(F.sequence(last, F.lit(0).cast("long"))))
-    parts = parts.select("doc_id", "part_no", F.substring("text", (F.col("part_no") * 700 + 1).cast("int"), F.lit(700)).alias("part"), (F.col("part_no") == last).alias("last"))
+    # A text is cut up in one pass and does not go with its parts; no text is empty here, and an inner explode would cut up each once more to see that.
+    texts = _paragraphs(read(spark, sf_dir, "documents").where("text <> ''"))
+    rows = texts.select("doc_id", F.regexp_extract_all("text", F.lit("(?s).{1,700}"), F.lit(0)).alias("parts")).withColumn("n", F.size("parts"))
+    rows = rows.select("doc_id", "n", F.posexplode_outer("parts").alias("part_no", "part"))
+    parts = rows.select("doc_id", F.col("part_no").cast("long"), "part", (F.col("part_no") == F.col("n") - 1).alias("last"))
     path = fresh_path(spark, "parts")
-    parts.repartition(4, "part_no").write.parquet(path)
-    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return chunk_plans._rows(cut(chunks.growing_chunks(stream)), "doc_id")
+    parts.repartition(max(4, spark.sparkContext.defaultParallelism), "doc_id", "part_no").write.parquet(path)
+    files = len(spark.read.schema(parts.schema).parquet(path).inputFiles())
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(path)
+    return chunk_plans._rows(chunks.growing_chunks(stream), "doc_id")

@@ -1,21 +1,30 @@
-"""Chunks of documents that arrive in parts: what is known to be whole goes out, and the rest waits in the state of the document.
+"""Chunks of documents that arrive in parts: what is known to be whole goes out, and the rest is held for the next batch.
 
-The state holds the chunk that is being filled, the paragraph that has not ended, and parts that came before their turn.  Whatever
+Held of a document are the chunk that is being filled, the paragraph that has not ended, and parts that came before their turn.  Whatever
 parts and batches a text is divided into, its chunks are those of the whole text.
+
+What is held is a table beside the chunks: each batch sorts it with the new parts by document and folds the documents of a task in one
+pass, so that a document costs its characters and not a call.  A batch moves all that is held once; few large batches are cheapest.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from .events import run
+from ..functions.batches import SLICE
+from ..operators.lineage import fresh_path
 
-_ROW = "doc_id long, chunk_no long, begin long, finish long, chunk string"
+#: What a batch leaves: chunks, parts that wait, and of each document what is known (part_no -1), told apart by `kind`.
+_ROW = "doc_id long, chunk_no long, begin long, finish long, chunk string, part_no long, part string, last boolean, held string, kind string"
+_ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in _ROW.split(", "))])
+_PART = ["doc_id", "part_no", "part", "last", "held"]
 
 
 class Growing:
@@ -61,32 +70,70 @@ class Growing:
         return out
 
 
+def grown(rows: Iterable[tuple], size: int) -> Iterator[tuple]:
+    """Rows of _ROW after a batch, from rows (doc_id, part_no, part, last, held) in order of document and part, those held before the new ones."""
+
+    def waits(own: int, number: int, part: str | None, last: bool | None, held: str | None = None) -> tuple:
+        return (own, None, None, None, None, number, part, last, held, "held")
+
+    for own, parts in groupby(rows, itemgetter(0)):
+        turn, count, text, ready, length, before = 0, 0, Growing(size), [], 0, -1
+        for _, number, part, last, held in parts:
+            if number < 0:
+                known = json.loads(held)
+                turn, count, text = known["turn"], known["count"], Growing(size, held)
+            elif turn < 0 or number < turn or number == before:
+                continue  # the document is closed, or the part came before
+            elif number > turn:
+                before = number
+                yield waits(own, number, part, last)
+            else:
+                ready.append(part or "")
+                turn, length = (-1 if last else turn + 1), length + len(ready[-1])
+                if length > SLICE or last:
+                    found = text.feed("".join(ready)) + (text.close() if last else [])
+                    yield from ((own, count + k, *c, None, None, None, None, "chunk") for k, c in enumerate(found))
+                    count, ready, length = count + len(found), [], 0
+        found = text.feed("".join(ready)) if ready else []
+        yield from ((own, count + k, *c, None, None, None, None, "chunk") for k, c in enumerate(found))
+        known = {"turn": turn, "count": count + len(found)} | (text.state() if turn >= 0 else {})
+        yield waits(own, -1, None, None, json.dumps(known, ensure_ascii=False))
+
+
 def growing_chunks(parts: DataFrame, size: int = 1500) -> DataFrame:
     """doc_id, chunk_no, begin, finish, chunk of a stream of parts (doc_id, part_no from 0, part, last).
 
     Parts may come in any order; the last one of a document is marked, and closes it.  A null part is empty; a part that came before is ignored.
     """
-
-    def fold(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"turn": 0, "waiting": {}, "count": 0, "text": None}
-        text, out = Growing(size, held["text"]), []
-        if held["turn"] >= 0:
-            for some in batches:
-                for number, part, last in zip(some["part_no"], some["part"], some["last"], strict=True):
-                    if number >= held["turn"]:
-                        held["waiting"][str(number)] = [part or "", bool(last)]
-        while str(held["turn"]) in held["waiting"]:
-            part, last = held["waiting"].pop(str(held["turn"]))
-            out += text.feed(part)
-            held["turn"] += 1
-            if last:
-                out += text.close()
-                held["turn"], held["waiting"] = -1, {}
-        rows = [(own[0], held["count"] + k, *c) for k, c in enumerate(out)]
-        held["count"] += len(out)
-        held["text"] = json.dumps(text.state()) if held["turn"] >= 0 else None
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "begin", "finish", "chunk"])
-
-    rows = parts.where("doc_id IS NOT NULL").groupBy("doc_id").applyInPandasWithState(fold, _ROW, "held string", "append", GroupStateTimeout.NoTimeout)
-    return run(rows, "append").drop("batch")
+    spark = parts.sparkSession
+    folder = fresh_path(spark, "stream")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+        some, length = [], 0
+        for row in grown((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), size):
+            some.append(row)
+            length += 100 + sum(len(row[k] or "") for k in (4, 6, 8))
+            if length > SLICE:
+                yield made(some)
+                some, length = [], 0
+        if some:
+            yield made(some)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where("doc_id IS NOT NULL AND part_no >= 0").selectExpr("doc_id", "part_no", "part", "last", "CAST(NULL AS STRING) AS held", "true AS new")
+        if number > 1:  # the batch before is done, so that what it read is needed no more
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out/batch={number - 2}/kind=held")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if number > 0:
+            held = batch.sparkSession.read.schema(_ROW).parquet(f"{folder}/out/batch={number - 1}").where("kind = 'held'")
+            rows = rows.unionByName(held.select(*_PART, F.lit(False).alias("new")))
+        rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "part_no", "new").select(*_PART)
+        rows.mapInArrow(task, _ROW).write.partitionBy("kind").mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream = parts.writeStream.option("checkpointLocation", folder + "/state").trigger(availableNow=True).foreachBatch(write).start()
+    stream.awaitTermination()
+    written = spark.read.schema(_ROW).parquet(folder + "/out")
+    return written.where("kind = 'chunk'").select("doc_id", "chunk_no", "begin", "finish", "chunk")
