@@ -24,10 +24,10 @@ _STAYS_SQL = """u AS (SELECT l_orderkey, max(l_shipdate) AS until FROM lineitem
 i AS (SELECT id, book, least(a, b) AS "begin", greatest(a, b) + 1 AS finish FROM i0)"""
 
 
-@query(f"""WITH {_STAYS_SQL}, p AS (SELECT event_id, user_id % 40 AS book, event_id % 2500 AS pos FROM events WHERE event_id % 5 = 0) SELECT event_id, count(*) AS intervals, min(id) AS first_id FROM p JOIN i ON i.book = p.book AND pos >= "begin" AND pos < finish GROUP BY 1""")
+@query(f"""WITH {_STAYS_SQL}, p AS (SELECT event_id, user_id % 40 AS book, event_id % 2500 AS pos FROM events) SELECT event_id, count(*) AS intervals, min(id) AS first_id FROM p JOIN i ON i.book = p.book AND pos >= "begin" AND pos < finish GROUP BY 1""")
 def points_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points meet the pieces of intervals in their bucket, each with its number of intervals."""
-    points = read(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", (F.col("user_id") % 40).alias("book"), (F.col("event_id") % 2500).alias("at"))
+    points = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 40).alias("book"), (F.col("event_id") % 2500).alias("at"))
     found = points.join(intervals.covering(_stays(spark, sf_dir), points, "book", 32, "id"), ["book", "at"])
     return found.groupBy("event_id").agg(F.sum("intervals").alias("intervals"), F.min("first").alias("first_id"))
 

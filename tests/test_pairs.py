@@ -61,6 +61,14 @@ def test_points_make_no_pairs(spark, tmp_path, most_rows):
     assert len(rows) > 500 and most < 300_000  # pairs are 2.3 million
 
 
+def test_points_of_any_number(spark, tmp_path, most_rows):
+    """Events whose numbers are not divisible by five are points too."""
+    stays(tmp_path, random.Random(7))
+    write(tmp_path, "events", event_id=pa.array(range(1, 1200, 3), pa.int64()), user_id=pa.array([80] * 400, pa.int64()))
+    rows, _ = compared(spark, tmp_path, "points_in_intervals", most_rows)
+    assert sum(r["event_id"] % 5 != 0 for r in rows) > 50
+
+
 def test_tickets_of_a_set_that_many_want(spark, tmp_path, most_rows):
     """Learners who want the same concepts are one question."""
     n, rng = 400, random.Random(3)
