@@ -36,27 +36,45 @@ def covering(intervals: DataFrame, points: DataFrame, key: str, width: int, numb
     return placed.join(pieces, [key, "_bucket"]).where("at >= _from AND at < _to").groupBy(key, "at").agg(F.sum("n").alias("intervals"), F.min("first").alias("first"))
 
 
+#: Slots of a level that are one of the next.
+SLOTS = 64
+
+
 def containing(outer: DataFrame, inner: DataFrame, key: str, width: int) -> DataFrame:
     """key, begin, finish and inside: for each distinct interval of `outer` (long begin and finish) how many of `inner` lie in it, equal ones too.
 
-    Equal intervals are counted first.  Both are cut into buckets by the inner one's begin; in a bucket sums over begins and finishes answer for
-    all outer intervals at once, so that no pairs are made.  Empty intervals hold nothing and lie in nothing; nulls match nothing.
+    Equal intervals are counted first.  An inner interval lies in the outer one's bucket of `width` begins, or in a later slot: slots of buckets, of
+    SLOTS buckets and so on, so that an outer interval asks once for each level, however long it is, and those of one slot and finish ask together.  In a
+    bucket sums over slots and finishes answer for all at once, without pairs.  Empty intervals hold nothing and lie in nothing; nulls match nothing.
     """
-    columns = [key, "begin", "finish"]
-    held = inner.where(F.col(key).isNotNull() & F.expr("begin < finish")).groupBy(*columns).agg(F.count("*").alias("n")).withColumn("_bucket", F.floor(F.col("begin") / width))
-    bucket = F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("finish") - 1) / width)))
-    asked = outer.where(F.col(key).isNotNull() & F.expr("begin < finish")).select(*columns).distinct().withColumn("_bucket", bucket)
+    columns, valid = [key, "begin", "finish"], F.col(key).isNotNull() & F.expr("begin < finish")
+    held, asked = inner.where(valid), outer.where(valid).select(*columns).distinct()
+    least, most = outer.where(valid).agg(F.min("begin"), F.max("finish") - 1).first()
+    place = lambda c, size: F.floor((c - F.lit(least or 0)) / size)
 
     def task(wanted: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        begins, row = np.unique(rows["begin"].to_numpy(), return_inverse=True)
-        finishes, column = np.unique(rows["finish"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(begins) + 1, len(finishes) + 1), dtype=np.int64)
+        if not len(wanted) or not len(rows):  # an empty side has no columns
+            return wanted[[key, "_slot", "finish"]].assign(inside=0) if len(wanted) else pd.DataFrame(columns=[key, "_slot", "finish", "inside"])
+        slots, row = np.unique(rows["_slot"].to_numpy(), return_inverse=True)
+        finishes, column = np.unique(rows["_until"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(slots) + 1, len(finishes) + 1), dtype=np.int64)
         np.add.at(sums, (row, column + 1), rows["n"].to_numpy())
-        sums = sums[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)  # begins from here on, finishes up to here
-        inside = sums[np.searchsorted(begins, wanted["begin"]), np.searchsorted(finishes, wanted["finish"], side="right")]
-        return wanted[columns].assign(inside=inside)
-
-    found = asked.groupBy(key, "_bucket").cogroup(held.groupBy(key, "_bucket")).applyInPandas(task, asked.select(*columns).schema.add("inside", "long"))
+        sums = sums[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)  # slots from here on, finishes up to here
+        inside = sums[np.searchsorted(slots, wanted["_slot"]), np.searchsorted(finishes, wanted["finish"], side="right")]
+        return wanted[[key, "_slot", "finish"]].assign(inside=inside)
+
+    def counts(asks: DataFrame, slot: Column, size: int) -> DataFrame:
+        """key, _slot, finish and inside of asks (key, _bucket, _slot, finish): inner intervals from that slot of the bucket on, up to the finish."""
+        rows = held.groupBy(key, place(F.col("begin"), size).alias("_bucket"), slot.alias("_slot"), F.col("finish").alias("_until")).agg(F.count("*").alias("n"))
+        return asks.groupBy(key, "_bucket").cogroup(rows.groupBy(key, "_bucket")).applyInPandas(task, asks.select(key, "_slot", "finish").schema.add("inside", "long"))
+
+    begin, last = F.col("begin"), F.col("finish") - 1
+    found = counts(asked.select(key, place(begin, width).alias("_bucket"), begin.alias("_slot"), "finish"), begin, width).withColumnRenamed("_slot", "begin").select(*columns, "inside")
+    while least is not None and width <= most - least:
+        later = asked.where(place(begin, width) < place(last, width)).select(*columns, place(begin, width * SLOTS).alias("_bucket"), (place(begin, width) + 1).alias("_slot"))
+        sums = counts(later.select(key, "_bucket", "_slot", "finish").distinct(), place(begin, width), width * SLOTS)
+        found = found.unionByName(later.join(sums, [key, "_slot", "finish"]).select(*columns, "inside"))
+        width *= SLOTS
     return found.groupBy(*columns).agg(F.sum("inside").alias("inside"))
 
 

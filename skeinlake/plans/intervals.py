@@ -32,13 +32,12 @@ def points_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("event_id").agg(F.sum("intervals").alias("intervals"), F.min("first").alias("first_id"))
 
 
-@query(f"""WITH {_STAYS_SQL} SELECT a.id, count(*) AS inside FROM i a JOIN i b ON a.book = b.book AND b.id <> a.id AND b."begin" >= a."begin" AND b.finish <= a.finish WHERE a.id % 10 = 0 GROUP BY 1""")
+@query(f"""WITH {_STAYS_SQL} SELECT a.id, count(*) AS inside FROM i a JOIN i b ON a.book = b.book AND b.id <> a.id AND b."begin" >= a."begin" AND b.finish <= a.finish GROUP BY 1""")
 def intervals_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment, counted in buckets of begins; intervals of the same number, itself among them, are taken off."""
     rows = cut(_stays(spark, sf_dir))
-    outer = rows.where("id % 10 = 0")
-    found = outer.join(intervals.containing(outer, rows, "book", 64), ["book", "begin", "finish"]).groupBy("id").agg(F.sum("inside").alias("all"))
-    same = outer.alias("a").join(outer.alias("b"), ["id", "book"]).where("b.begin >= a.begin AND b.finish <= a.finish").groupBy("id").agg(F.count("*").alias("own"))
+    found = rows.join(intervals.containing(rows, rows, "book", 64), ["book", "begin", "finish"]).groupBy("id").agg(F.sum("inside").alias("all"))
+    same = rows.alias("a").join(rows.alias("b"), ["id", "book"]).where("b.begin >= a.begin AND b.finish <= a.finish").groupBy("id").agg(F.count("*").alias("own"))
     return found.join(same, "id").select("id", (F.col("all") - F.col("own")).alias("inside")).where("inside > 0")
 
 

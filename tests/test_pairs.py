@@ -55,6 +55,15 @@ def test_intervals_make_no_pairs(spark, tmp_path, most_rows):
     assert len(rows) > 100 and most < 5000
 
 
+def test_intervals_of_any_number(spark, tmp_path, most_rows):
+    """Intervals whose numbers are not divisible by ten are asked for as well, over several levels of buckets."""
+    rng, n, day = random.Random(6), 900, lambda k: datetime(1992, 1, 1) + timedelta(days=k)
+    write(tmp_path, "orders", o_orderkey=pa.array(range(1, n + 1), pa.int64()), o_custkey=pa.array([40 + k % 3 for k in range(n)], pa.int64()), o_orderdate=pa.array([day(rng.randrange(-9000, 9000)) for _ in range(n)], pa.timestamp("us")))
+    write(tmp_path, "lineitem", l_orderkey=pa.array(range(1, n + 1), pa.int64()), l_shipdate=pa.array([day(rng.randrange(-9000, 9000)) for _ in range(n)], pa.timestamp("us")))
+    rows, most = compared(spark, tmp_path, "intervals_in_intervals", most_rows)
+    assert sum(r["id"] % 10 != 0 for r in rows) > 400 and most < 5000
+
+
 def test_points_make_no_pairs(spark, tmp_path, most_rows):
     stays(tmp_path, random.Random(8), 9000)
     rows, most = compared(spark, tmp_path, "points_in_intervals", most_rows)
