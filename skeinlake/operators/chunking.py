@@ -36,6 +36,7 @@ _IN_STRUCTURE = [
     re.compile(r"[α-ωΑ-Ω][\w\s]*", re.I),
     re.compile(r"[xy][\d²³⁴]+\s*[+\-]\s*[xy]?[\d²³⁴]*", re.I),
 ]
+_NOT_ASCII = _IN_STRUCTURE[1:3]
 #: How commands, environments, fractions, equations of numbers and of functions begin.
 _COMMAND = re.compile(r"\\[a-zA-Z]+\{")
 _ENVIRONMENT = re.compile(r"\\begin\{(equation|align|eqnarray)\}", re.I)
@@ -118,7 +119,10 @@ def formulas_in_sentences(text: str) -> list[tuple[int, int]]:
 
 def formulas_in_structure(text: str) -> list[tuple[int, int]]:
     marks = _Marks(text)
-    return [m.span() for p in _IN_STRUCTURE for m in p.finditer(text)] + [s for find in (_environments, _fractions, _number_equations, _function_equations) for s in find(text, marks)]
+    patterns = _IN_STRUCTURE if not text.isascii() else [p for p in _IN_STRUCTURE if p not in _NOT_ASCII]
+    finders = [_environments, _fractions] if "\\" in text else []
+    finders += [_number_equations, _function_equations] if "=" in text else []
+    return [m.span() for p in patterns for m in p.finditer(text)] + [s for find in finders for s in find(text, marks)]
 
 
 #: How definitions, examples and solutions begin; a subject of more than a hundred characters is none.
@@ -126,6 +130,39 @@ _DEFINES = re.compile(r"(?:Definition|Define)[:.]?\s*[^.!?]|\b[A-Z][a-z]{1,40}\s
 _EXAMPLE = re.compile(r"(?:Example|Ex\.?|Exercise|Problem)\s*\d*[:.]?\s*[^.!?]|(?:Consider|Suppose)\s+the\s+(?:following|case|example)|For\s+(?:instance|example)[,:]?", re.I)
 _SOLUTION = re.compile(r"(?:Solution|Answer|Proof)[:.]?|(?:We\s+(?:have|get|obtain|find)|Therefore|Thus|Hence)[,:]?", re.I)
 _SENTENCE, _PARAGRAPH = re.compile(r"[.!?]+\s+"), re.compile(r"\n\s*\n")
+#: What each match of these patterns begins with, and what is in each definition, in small letters.
+_EXAMPLE_BEGINS = ("ex", "problem", "consider", "suppose", "for")
+_SOLUTION_BEGINS = ("solution", "answer", "proof", "we", "therefore", "thus", "hence")
+_IN_DEFINITION, _IS = ("defin", "let", "suppose"), re.compile(r"\sis\s")
+#: Letters that patterns take for i, s and k, but small letters do not.
+_ALIKE = "\u0130\u0131\u017f\u212a"
+
+
+def _small(text: str) -> str | None:
+    """The text in small letters, place for place; null if it has letters that only patterns take for others."""
+    return None if not text.isascii() and any(c in text for c in _ALIKE) else text.lower()
+
+
+def _places(text: str, marks: tuple[str, ...]) -> list[int]:
+    out = []
+    for mark in marks:
+        at = text.find(mark)
+        while at >= 0:
+            out.append(at)
+            at = text.find(mark, at + 1)
+    return sorted(out)
+
+
+def _begins(pattern: re.Pattern, text: str, low: str | None, marks: tuple[str, ...]) -> list[int]:
+    """Where the matches of a pattern begin, tried only where one of these marks is."""
+    if low is None:
+        return [m.start() for m in pattern.finditer(text)]
+    out, end = [], 0
+    for at in _places(low, marks):
+        if at >= end and (m := pattern.match(text, at)):
+            out.append(at)
+            end = m.end()
+    return out
 
 
 #: What a protected region holds, as bits: a region of several kinds has several, one of a function's value alone has none.
@@ -231,9 +268,10 @@ def formula_regions(text: str) -> list[tuple[int, int, int]]:
 def definition_regions(text: str) -> list[tuple[int, int, int]]:
     """Sentences that define something, with the one behind them, and one more if that is short."""
     ends = [m.span() for m in _SENTENCE.finditer(text)]
-    out, begin, stops = [], 0, [e for _, e in ends]
+    out, begin, stops, low = [], 0, [e for _, e in ends], _small(text)
+    signs = None if low is None else sorted([*_places(low, _IN_DEFINITION), *(m.start() for m in _IS.finditer(low))])
     for a, b in [*ends, (len(text), len(text))]:
-        if _DEFINES.search(text, begin, a):
+        if (signs is None or bisect_left(signs, begin) < bisect_left(signs, a)) and _DEFINES.search(text, begin, a):
             k = bisect_right(stops, a)
             short = k + 1 < len(stops) and stops[k] - a < 100
             out.append((begin, stops[k + short] if k < len(stops) else min(a + 200, len(text)), DEFINITION))
@@ -243,7 +281,9 @@ def definition_regions(text: str) -> list[tuple[int, int, int]]:
 
 def example_regions(text: str) -> list[tuple[int, int, int]]:
     """Examples with a solution near them, or up to the end of their paragraph."""
-    breaks, examples, solutions = ([m.start() for m in p.finditer(text)] for p in (_PARAGRAPH, _EXAMPLE, _SOLUTION))
+    low, breaks = _small(text), [m.start() for m in _PARAGRAPH.finditer(text)]
+    examples = _begins(_EXAMPLE, text, low, _EXAMPLE_BEGINS)
+    solutions = _begins(_SOLUTION, text, low, _SOLUTION_BEGINS) if examples else []
     after = lambda places, pos: places[k] if (k := bisect_left(places, pos)) < len(places) else None
     out = []
     for a in examples:
@@ -335,18 +375,30 @@ def greedy(text: str, size: int = 1500) -> list[tuple[int, int, str]]:
     return [(a, b, "\n\n".join(parts)) for a, b, _, parts in out]
 
 
-def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[str], list[tuple]], more: dict[str, str] | None = None) -> DataFrame:
-    """keys, chunk_no, begin, finish, chunk of each text, and what else the cutter gives (name: type); null and blank texts have none."""
+def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[str], list[tuple]], more: dict[str, str] | None = None, spans_col: str | None = None) -> DataFrame:
+    """keys, chunk_no, begin, finish, chunk of each text, and what else the cutter gives (name: type); null and blank texts have none.
+
+    With spans (an array of begin and end in each row), each span of the text is cut by itself, and `section`, behind the keys, is where it begins; a
+    row without spans is one section.
+    """
     kinds = dict(rows.dtypes)
-    given = {"chunk_no": "long", "begin": "long", "finish": "long", "chunk": "string"} | (more or {})
+    given = ({"section": "long"} if spans_col else {}) | {"chunk_no": "long", "begin": "long", "finish": "long", "chunk": "string"} | (more or {})
     arrow = {"long": pa.int64(), "string": pa.string()}
 
+    def found_in(text: str, spans: list[dict] | None) -> list[tuple]:
+        if not spans_col:
+            return [(k, *c) for k, c in enumerate(cutter(text))]
+        ends = [tuple(s.values()) for s in spans or []] or [(0, len(text))]
+        return [(a, k, *c) for a, b in ends for k, c in enumerate(cutter(text[a:b]))]
+
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, found = [], []
-        for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-            some = cutter(text or "")
+        texts = batch.column(len(keys)).to_pylist()
+        spans = batch.column(len(keys) + 1).to_pylist() if spans_col else [None] * len(texts)
+        for i, text in enumerate(texts):
+            some = found_in(text or "", spans[i])
             owner += [i] * len(some)
-            found += [(k, *c) for k, c in enumerate(some)]
+            found += some
         values = zip(*found, strict=True) if found else [()] * len(given)
         columns = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
         columns += [pa.array(v, arrow[kind]) for v, kind in zip(values, given.values(), strict=True)]
@@ -357,7 +409,14 @@ def chunks(rows: DataFrame, keys: list[str], text_col: str, cutter: Callable[[st
             sizes = pc.binary_length(batch.column(len(keys))).fill_null(0).to_pylist()
             yield from (cut_up(batch.slice(a, b - a)) for a, b in slices(sizes))
 
-    return rows.select(*keys, text_col).mapInArrow(task, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{k} {kind}" for k, kind in given.items()]))
+    columns = [*keys, text_col, *([spans_col] if spans_col else [])]
+    return rows.select(*columns).mapInArrow(task, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{k} {kind}" for k, kind in given.items()]))
+
+
+def chunks_of_sections(books: DataFrame, cutter: Callable[[str], list[tuple]], more: dict[str, str] | None = None) -> DataFrame:
+    """Chunks of the sections of books, as `sections` has them, which are cut out in the tasks that cut them: a book's text moves once, not with each of its sections."""
+    found = structure.spans(structure.elements(books)).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("start", "until"))).alias("spans"))
+    return chunks(books.join(found, "book_id", "left"), ["book_id"], "text", cutter, more, "spans")
 
 
 def sections(books: DataFrame) -> DataFrame:
@@ -382,14 +441,15 @@ def chunked(books: DataFrame) -> DataFrame:
 
     def measured(rows: DataFrame, way: str) -> DataFrame:
         rows = rows.select("book_id", "section", "chunk_no", "chunk", kind.alias("kind"), F.lit(way).alias("way"))
-        return rows.withColumn("sure", P.confidence(F.col("chunk"), F.col("kind"), way == "content_aware"))
+        rows = rows.withColumn("sure", P.confidence(F.col("chunk"), F.col("kind"), way == "content_aware"))
+        return rows.withColumn("valid", P.is_valid_chunk(F.col("chunk"), F.col("sure")))  # told before the cut: once for each chunk
 
     some = cleaned.where("strategy <> 'fallback'").select("book_id", "text")
-    structured = measured(chunks(sections(some), ["book_id", "section"], "text", by_structure), "content_aware")
+    structured = measured(chunks_of_sections(some, by_structure), "content_aware")
     plain = chunks(cleaned.where("strategy <> 'content_aware'").select("book_id", F.lit(0).alias("section"), "text"), ["book_id", "section"], "text", by_sentences)
     both = cut(structured.unionByName(measured(plain.withColumn("section", F.col("section").cast(structured.schema["section"].dataType)), "fallback")))
     mean = both.where("way = 'content_aware'").groupBy("book_id").agg(F.avg("sure").alias("mean"))
     chosen = both.join(ways, "book_id").join(mean, "book_id", "left").where(F.when(F.col("strategy") != "hybrid", F.lit(True)).when(F.coalesce("mean", F.lit(0.0)) > 0.6, F.col("way") == "content_aware").otherwise(F.col("way") == "fallback"))
-    valid = chosen.where(P.is_valid_chunk(F.col("chunk"), F.col("sure")))
+    valid = chosen.where("valid")
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("section", "chunk_no")) - 1
     return valid.select("book_id", "way", number.cast("long").alias("chunk_no"), "chunk", "kind", "sure")

@@ -42,14 +42,13 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each section of a book that keep formulas, definitions and examples whole; a fold over each section, beyond SQL."""
-    return _rows(chunking.chunks(chunking.sections(books(spark, sf_dir)), ["book_id", "section"], "text", chunking.by_structure), "book_id", "section")
+    return _rows(chunking.chunks_of_sections(books(spark, sf_dir), chunking.by_structure), "book_id", "section")
 
 
 @query()
 def region_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of each section's chunks by the first formula, definition or example that reaches into them; a fold over each section, beyond SQL."""
-    sections = chunking.sections(books(spark, sf_dir))
-    found = chunking.chunks(sections, ["book_id", "section"], "text", chunking.by_structure_with_kinds, chunking.KIND_COLUMNS)
+    found = chunking.chunks_of_sections(books(spark, sf_dir), chunking.by_structure_with_kinds, chunking.KIND_COLUMNS)
     return found.select("book_id", "section", "chunk_no", "begin", "finish", "kind", "kind_from_start", "regions")
 
 

@@ -129,3 +129,25 @@ def test_blank_and_missing_texts_have_no_chunks(spark):
     for some in (rows, rows.where("k > 9")):
         found = chunking.chunks(some, ["k"], "text", chunking.by_structure_with_kinds, chunking.KIND_COLUMNS)
         assert found.columns == ["k", "chunk_no", "begin", "finish", "chunk", "kind", "kind_from_start", "regions"] and found.collect() == []
+
+
+def test_sections_cut_in_tasks(spark):
+    """As if each section were a text of its own; a book without elements is one section."""
+    lines = ["Chapter 1: Introduction", "1.2 Worked example", "A. First steps", "ii. minor point", "Ünïcode wörds here. " * 30, "For example, take α + β = γ. " * 20, "Let a be a set. We define it. " * 25]
+    rng = random.Random(12)
+    books = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 60)))) for k in range(20)] + [(20, "Plain words. " * 200), (21, None), (22, "")]
+    books = spark.createDataFrame(books, "book_id long, text string")
+    found = chunking.chunks_of_sections(books, chunking.by_structure)
+    want = chunking.chunks(chunking.sections(books), ["book_id", "section"], "text", chunking.by_structure)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.where("book_id = 20").count() > 1
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_places_are_those_of_the_patterns(seed):
+    bits = ["For instance, ", "EX.", "exercise", "For\nexample", "Consider the following", "ſuppose the case", "İ", "ı", "We  have", "Solution:", "hence", "we ", "pro", "blem", "ex", "le", " word ", ". "]
+    rng = random.Random(seed)
+    for some in (bits, [b for b in bits if b.isascii()]):
+        text = "".join(rng.choice(some) for _ in range(300))
+        for pattern, marks in ((chunking._EXAMPLE, chunking._EXAMPLE_BEGINS), (chunking._SOLUTION, chunking._SOLUTION_BEGINS)):
+            assert chunking._begins(pattern, text, chunking._small(text), marks) == [m.start() for m in pattern.finditer(text)]
