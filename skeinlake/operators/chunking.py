@@ -433,7 +433,7 @@ def chunked(books: DataFrame) -> DataFrame:
     By structure, or by sentences where there is hardly any; where it is in doubt, by structure if its chunks are
     sure enough.  Chunks that are too short or repeat themselves are left out before they are numbered.
     """
-    books = books.where(F.col("text").isNotNull())
+    books = cut(books.where(F.col("text").isNotNull()))  # read more than once
     ways = structure.assessment(books, structure.elements(books)).select("book_id", "strategy")
     ways = cut(books.select("book_id").join(ways, "book_id", "left").select("book_id", F.coalesce("strategy", F.lit("fallback")).alias("strategy")))
     cleaned = books.select("book_id", P.chunk_clean(F.col("text"), 5).alias("text")).join(ways, "book_id")

@@ -55,3 +55,19 @@ def test_spans_and_hierarchy(spark):
 def test_classes(spark, title, part, kind, want):
     rows = spark.createDataFrame([(1, 0, len(part), kind, title, part)], "book_id long, start long, finish long, kind string, title string, part string")
     assert filtering.classified(rows).first()["class"] == want
+
+
+def test_signs_are_tried_only_where_their_words_are(spark):
+    """As the patterns alone tell; a text has none of the words only if no pattern matches."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skeinlake.operators import filtering as G
+
+    rng = random.Random(2)
+    bits = ["Copyright ", "©", "(C) ", "1999", "2001 ", "\n", " \n", "TABLE  of\tContents", "contents", "Preface", "INTRODUCTION", "acknowledgmen", "t", "s", "Thanks", "About the Author", "author biography", "Published by", "İSBN", "isbn", "Appendix b", "appendices", "References", "work cited", "works\ncited", "Subject index", "Terms", "glossary", "Answer key", "solutions", "[3]", "et al.", " word "]
+    texts = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))),) for _ in range(3000)] + [(None,)], "t string")
+    t, low, signs = F.col("t"), F.lower("t"), G.PREFATORY | G.APPENDIX
+    found = texts.select(*(F.count_if(t.rlike(p)).alias(n) for n, p in signs.items()), *(F.count_if(~G.has_sign(t, low, n).eqNullSafe(t.rlike(p))).alias(n + "_wrong") for n, p in signs.items())).first().asDict()
+    assert all(found[n] > 0 and found[n + "_wrong"] == 0 for n in signs)
