@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import neighbours, ranks
 from ..operators.lineage import cut
-from ..operators.recommend import WEIGHTS, diverse, reasons
+from ..operators.recommend import WEIGHTS, diverse, reasons, six, weighted
 from .learners import _MASTERY_SQL, _mastery
 from .projection import LEARNER_EVENTS_SQL, PREREQUISITES_SQL, learner_events, prerequisites, read
 from .registry import query
@@ -66,8 +66,8 @@ def _candidates(spark: SparkSession, sf_dir: str, rated: DataFrame, similar: Dat
     """
     third = CANDIDATES // 3
     topic = (F.col("concept_id") % 6).alias("topic")
-    quality = cut(rated.groupBy("concept_id").agg(F.round(F.avg("rating"), 6).alias("q")).withColumn("topic", topic))
-    topics = _first(rated.groupBy("student_id", topic).agg(F.round(F.avg("rating"), 6).alias("q")), "student_id", [F.desc("q"), "topic"], TOPICS)
+    quality = cut(rated.groupBy("concept_id").agg(six(F.avg("rating")).alias("q")).withColumn("topic", topic))
+    topics = _first(rated.groupBy("student_id", topic).agg(six(F.avg("rating")).alias("q")), "student_id", [F.desc("q"), "topic"], TOPICS)
     best = _first(quality, "topic", [F.desc("q"), "concept_id"], third).select("topic", "concept_id", F.col("place").alias("nth"))
     of_topics = _first(topics.select("student_id", "topic", F.col("place").alias("t")).join(best, "topic"), "student_id", ["nth", "t"], third)
     known = rated.where("rating >= 0.7").select("student_id", "concept_id")
@@ -129,8 +129,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
     rows = rows.select(
         "student_id", "concept_id", F.coalesce(clamp(vectors.cosine(F.col("i"), F.col("e"))), F.lit(0.5)).alias("content"), F.coalesce(F.col("good") / F.col("n") * F.col("m"), F.lit(0.5)).alias("collaborative"), F.coalesce(F.col("met") / F.col("need"), F.lit(1.0)).alias("prerequisite"),
-        clamp(1 - F.abs(F.col("concept_id") % 11 / 10 - best) / 0.3).alias("difficulty"), F.when(d.isNull() | (d >= 14), 1.0).when(d < 1, 0.2).when(d < 3, 0.5).when(d < 7, 0.8).otherwise(0.9).alias("recency"), F.when(F.col("pos") < 10, 0.5 - 0.05 * (10 - F.col("pos"))).otherwise(1.0).alias("diversity"))
-    return rows.withColumn("score", F.round(sum((F.col(f) * w for f, w in WEIGHTS.items()), F.lit(0.0)), 6))
+        clamp(1 - F.abs(F.col("concept_id") % 11 / 10 - best) / 0.3).alias("difficulty"), F.when(d.isNull() | (d >= 14), 1.0).when(d < 1, 0.2).when(d < 3, 0.5).when(d < 7, 0.8).otherwise(0.9).alias("recency"), F.when(F.col("pos") < 10, F.round(0.5 - 0.05 * (10 - F.col("pos")), 2)).otherwise(1.0).alias("diversity"))
+    return rows.withColumn("score", six(sum((weighted(f) for f in WEIGHTS), F.lit(0.0))))
 
 
 def _top(rows: DataFrame, k: int = 10) -> DataFrame:

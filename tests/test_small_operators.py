@@ -191,3 +191,17 @@ def test_merged_intervals_over_ranges(spark):
         want += [(book or "", *i) for i in islands]
     assert got == sorted(want)
     assert intervals.merged(df.where("begin < 0"), "book", 2).collect() == []
+
+
+def test_weighted_steps_are_decimals(spark):
+    """0.1 * 0.8 is no more than 0.2 * 0.4, and of equal factors the first is the reason; halves of a millionth round as in SQL."""
+    import duckdb
+
+    from skeinlake.operators import recommend
+
+    row = {"content": 0.0, "collaborative": 0.4, "prerequisite": 0.0, "difficulty": 0.0, "recency": 0.8, "diversity": 0.35}
+    got = spark.createDataFrame([row]).select(recommend.reasons().alias("r"), recommend.weighted("diversity").alias("d")).first()
+    assert (got["r"], got["d"]) == ("collaborative", 0.035)
+    halves = [(2 * k + 1) / 2_000_000 for k in range(0, 500_000, 173)]
+    rounded = [r[0] for r in spark.createDataFrame([(x,) for x in halves], "x double").select(recommend.six(F.col("x"))).collect()]
+    assert rounded == [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [halves]).fetchall()]
